@@ -51,20 +51,30 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def repeat_while(
+    value: Column, test: Callable[[Column], Column], step: Callable[[Column], Column], times: int
+) -> Column:
+    """Apply `step` while `test` holds, at most `times` times; a round with nothing to do costs the test."""
+    for _ in range(times):
+        value = bind(value, lambda v: F.when(test(v), step(v)).otherwise(v))
+    return value
+
+
 def entries_to_map(entries: Column) -> Column:
     """Entries to a map. A repeated key keeps its first place and takes its last value."""
 
-    def build(items: Column) -> Column:
-        names = F.transform(items, lambda e: e["key"])
-        merged = F.transform(
-            F.array_distinct(names),
+    def merge(items: Column) -> Column:
+        return F.transform(
+            F.array_distinct(F.transform(items, lambda e: e["key"])),
             lambda k: F.struct(
                 k.alias("key"),
                 F.element_at(F.filter(items, lambda e: e["key"] == k), -1)["value"].alias("value"),
             ),
         )
-        unique = F.size(F.array_distinct(names)) == F.size(items)
-        return F.map_from_entries(F.when(unique, items).otherwise(merged))
+
+    def build(items: Column) -> Column:
+        distinct = F.size(F.array_distinct(F.transform(items, lambda e: e["key"])))
+        return F.map_from_entries(F.when(distinct == F.size(items), items).otherwise(merge(items)))
 
     return bind(entries, build)
 
@@ -84,17 +94,21 @@ def _expand(entries: Column) -> Column:
     return F.flatten(F.transform(entries, open_up))
 
 
+def _holds_object(entries: Column) -> Column:
+    return F.exists(entries, lambda e: is_object(e["value"]))
+
+
 def flatten_record(record: Column, depth: int = DEPTH) -> Column:
     """Nested objects to dotted names. Plain keys come first, then nested ones; arrays stay whole."""
 
     def arrange(entries: Column) -> Column:
-        nested = F.filter(entries, lambda e: is_object(e["value"]))
-        for _ in range(depth):
-            nested = _expand(nested)
         plain = F.filter(entries, lambda e: ~is_object(e["value"]))
+        nested = F.filter(entries, lambda e: is_object(e["value"]))
+        ordered = F.when(
+            _holds_object(entries), F.concat(plain, repeat_while(nested, _holds_object, _expand, depth))
+        ).otherwise(entries)
         return F.transform(
-            F.concat(plain, nested),
-            lambda e: F.struct(unmark(e["key"]).alias("key"), unmark(e["value"]).alias("value")),
+            ordered, lambda e: F.struct(unmark(e["key"]).alias("key"), unmark(e["value"]).alias("value"))
         )
 
     return entries_to_map(bind(F.map_entries(record), arrange))
@@ -119,39 +133,38 @@ def section_payload(payload_json: Column) -> Column:
 def key_paths(json_text: Column, depth: int = DEPTH) -> Column:
     """Every object path in a JSON text, inner objects included, arrays transparent. Not distinct.
 
-    Works on (path, value) pairs: each round turns objects into their children and arrays into
-    their items, and keeps the path of every object member it passes.
+    Works on a list of (path, value) nodes. Each round gives every object its members and every
+    array its items as nodes of their own, and takes the value from the opened node.
     """
 
-    def pair(path: Column, value: Column) -> Column:
+    def node(path: Column, value: Column) -> Column:
         return F.struct(path.alias("path"), value.alias("value"))
 
-    def step(node: Column) -> Column:
-        prefix = F.when(node["path"] == "", F.lit("")).otherwise(F.concat(node["path"], F.lit(".")))
+    def opens(n: Column) -> Column:
+        return is_object(n["value"]) | is_array(n["value"])
+
+    def children(n: Column) -> Column:
+        prefix = F.when(n["path"] == "", F.lit("")).otherwise(F.concat(n["path"], F.lit(".")))
         members = F.transform(
-            F.map_entries(parse_record(node["value"])),
-            lambda c: pair(F.concat(prefix, unmark(c["key"])), c["value"]),
+            F.map_entries(parse_record(n["value"])),
+            lambda c: node(F.concat(prefix, unmark(c["key"])), c["value"]),
         )
         items = F.transform(
-            F.from_json(node["value"], "array<string>", STRICT_JSON), lambda v: pair(node["path"], v)
+            F.from_json(n["value"], "array<string>", STRICT_JSON), lambda v: node(n["path"], v)
         )
-        return F.when(is_object(node["value"]), members).when(is_array(node["value"]), items)
+        return F.when(is_object(n["value"]), members).otherwise(items)
 
     def opened(nodes: Column) -> Column:
+        closed = F.lit(None).cast("string")
         return F.flatten(
-            F.filter(F.transform(nodes, lambda n: F.coalesce(step(n), F.array().cast(_PAIRS))), lambda a: F.size(a) > 0)
+            F.transform(
+                nodes,
+                lambda n: F.when(
+                    opens(n), F.concat(F.array(node(n["path"], closed)), children(n))
+                ).otherwise(F.array(n)),
+            )
         )
 
-    def rounds(nodes: Column, left: int) -> Column:
-        if left == 0:
-            return F.transform(nodes, lambda n: n["path"])
-        return bind(
-            nodes,
-            lambda ns: F.concat(F.transform(ns, lambda n: n["path"]), rounds(opened(ns), left - 1)),
-        )
-
-    start = F.array(pair(F.lit(""), mark_text(json_text)))
-    return F.filter(rounds(start, 2 * depth), lambda p: p != "")
-
-
-_PAIRS = "array<struct<path:string,value:string>>"
+    start = F.array(node(F.lit(""), mark_text(json_text)))
+    nodes = repeat_while(start, lambda ns: F.exists(ns, opens), opened, 2 * depth)
+    return F.filter(F.transform(nodes, lambda n: n["path"]), lambda p: p != "")
