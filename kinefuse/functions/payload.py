@@ -16,12 +16,14 @@ TEXT_MARK = "\u0002"
 RECORD = "map<string,string>"
 STRICT_JSON = {"allowSingleQuotes": "false"}
 
-# Nested objects are flattened this deep; what lies deeper stays as JSON text.
-DEPTH = 8
+# Levels of nesting that are opened, in groups: before each group one test decides whether anything
+# is left to open. What lies deeper stays as JSON text.
+LEVELS = (1, 2, 3)
 
 # Names the export keeps for itself.
 RESERVED = ("event_timestamp", "sensor_id", "id")
 
+_QUOTED_MARK = '"\\u0002'
 _CONFUSABLE = r'(?<!\\)"(?=[\[{+\-.0-9]|true"|false")'
 
 
@@ -34,16 +36,24 @@ def unmark(value: Column) -> Column:
     return F.ltrim(value, F.lit(TEXT_MARK))
 
 
+def _clean(value: Column) -> Column:
+    """Value without marks, also inside what stayed JSON text."""
+    return F.when(
+        F.contains(value, F.lit(_QUOTED_MARK)), F.replace(value, F.lit(_QUOTED_MARK), F.lit('"'))
+    ).otherwise(unmark(value))
+
+
 def parse_record(json_text: Column) -> Column:
     return F.from_json(json_text, RECORD, STRICT_JSON)
 
 
 def is_object(value: Column) -> Column:
-    return F.coalesce(F.startswith(value, F.lit("{")), F.lit(False))
+    """Null for null, so for conditions only."""
+    return F.startswith(value, F.lit("{"))
 
 
 def is_array(value: Column) -> Column:
-    return F.coalesce(F.startswith(value, F.lit("[")), F.lit(False))
+    return F.startswith(value, F.lit("["))
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -52,11 +62,21 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def repeat_while(
-    value: Column, test: Callable[[Column], Column], step: Callable[[Column], Column], times: int
+    value: Column,
+    test: Callable[[Column], Column],
+    step: Callable[[Column], Column],
+    groups: tuple[int, ...],
 ) -> Column:
-    """Apply `step` while `test` holds, at most `times` times; a round with nothing to do costs the test."""
-    for _ in range(times):
-        value = bind(value, lambda v: F.when(test(v), step(v)).otherwise(v))
+    """Apply `step` in groups of so many times, each group only while `test` holds."""
+
+    def run(v: Column, times: int) -> Column:
+        stepped = v
+        for _ in range(times):
+            stepped = step(stepped)
+        return F.when(test(v), stepped).otherwise(v)
+
+    for times in groups:
+        value = bind(value, lambda v: run(v, times))  # noqa: B023 - called at once
     return value
 
 
@@ -98,20 +118,20 @@ def _holds_object(entries: Column) -> Column:
     return F.exists(entries, lambda e: is_object(e["value"]))
 
 
-def flatten_record(record: Column, depth: int = DEPTH) -> Column:
+def flatten_record(record: Column, levels: tuple[int, ...] = LEVELS) -> Column:
     """Nested objects to dotted names. Plain keys come first, then nested ones; arrays stay whole."""
 
-    def arrange(entries: Column) -> Column:
-        plain = F.filter(entries, lambda e: ~is_object(e["value"]))
+    def plain_first(entries: Column) -> Column:
         nested = F.filter(entries, lambda e: is_object(e["value"]))
-        ordered = F.when(
-            _holds_object(entries), F.concat(plain, repeat_while(nested, _holds_object, _expand, depth))
-        ).otherwise(entries)
-        return F.transform(
-            ordered, lambda e: F.struct(unmark(e["key"]).alias("key"), unmark(e["value"]).alias("value"))
-        )
+        plain = F.filter(entries, lambda e: F.coalesce(~is_object(e["value"]), F.lit(True)))
+        return F.concat(plain, _expand(nested))
+
+    def tidy(e: Column) -> Column:
+        return F.struct(unmark(e["key"]).alias("key"), _clean(e["value"]).alias("value"))
 
-    return entries_to_map(bind(F.map_entries(record), arrange))
+    ordered = repeat_while(F.map_entries(record), _holds_object, plain_first, levels[:1])
+    opened = repeat_while(ordered, _holds_object, _expand, levels[1:])
+    return entries_to_map(F.transform(opened, tidy))
 
 
 def strip_reserved(payload: Column) -> Column:
@@ -130,7 +150,7 @@ def section_payload(payload_json: Column) -> Column:
     return strip_reserved(flatten_record(F.coalesce(parse_record(mark_text(payload_json)), empty)))
 
 
-def key_paths(json_text: Column, depth: int = DEPTH) -> Column:
+def key_paths(json_text: Column, levels: tuple[int, ...] = LEVELS) -> Column:
     """Every object path in a JSON text, inner objects included, arrays transparent. Not distinct.
 
     Works on a list of (path, value) nodes. Each round gives every object its members and every
@@ -166,5 +186,6 @@ def key_paths(json_text: Column, depth: int = DEPTH) -> Column:
         )
 
     start = F.array(node(F.lit(""), mark_text(json_text)))
-    nodes = repeat_while(start, lambda ns: F.exists(ns, opens), opened, 2 * depth)
+    rounds = tuple(2 * n for n in levels)
+    nodes = repeat_while(start, lambda ns: F.exists(ns, opens), opened, rounds)
     return F.filter(F.transform(nodes, lambda n: n["path"]), lambda p: p != "")

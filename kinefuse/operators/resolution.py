@@ -90,16 +90,3 @@ def resolve_by_file(
         return F.min(F.when(fits, F.struct("ordinal", "name")))["name"].alias(f"{suffix}_col")
 
     return joined.groupBy(*keys).agg(*[best(r) for r in ROLES], ending("lat"), ending("lon"))
-
-
-def keep_candidates(payload: Column, wanted: list[Column]) -> Column:
-    """Payload reduced to the entries some wanted name or a location column could resolve to."""
-
-    def wanted_here(name: Column, _: Column) -> Column:
-        low = F.lower(name)
-        test = F.endswith(low, F.lit("lat")) | F.endswith(low, F.lit("lon"))
-        for want in wanted:
-            test = test | F.coalesce(match_tier(name, want).isNotNull(), F.lit(False))
-        return test
-
-    return F.map_filter(payload, wanted_here)

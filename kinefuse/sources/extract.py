@@ -75,7 +75,7 @@ def _object_records(entries: Column, body: Column) -> Column:
     arrays = F.transform(
         entries, lambda e: F.when(is_array(e["value"]), F.from_json(e["value"], _ITEMS, STRICT_JSON))
     )
-    chosen = F.filter(arrays, lambda a: is_object(F.get(a, F.lit(0))))
+    chosen = F.filter(arrays, lambda a: F.coalesce(is_object(F.get(a, F.lit(0))), F.lit(False)))
     return F.when(
         entries.isNotNull(),
         bind(F.flatten(chosen), lambda items: F.when(F.size(items) > 0, items).otherwise(F.array(body))),

@@ -68,7 +68,7 @@ def extract_json_array(spark: SparkSession, folder: str) -> DataFrame:
         F.col("source"), F.lit('"}, 7, "{\\"speed\\":1}", null, [{"speed":2}],\n{"speed":'), _k(),
         F.lit(',"date":"'), iso, F.lit('"}]\n'),
     )
-    events = extract.extract_events(_file_rows(sensor_events(spark, folder), text))
+    events = extract.extract_events(_file_rows(sensor_events(spark, folder, spread=True), text))
     return events.select(
         F.col("file_path").cast("long").alias("file"),
         F.col("position").alias("event_no"),
@@ -97,7 +97,7 @@ def extract_json_object(spark: SparkSession, folder: str) -> DataFrame:
     three = F.concat(F.lit('{"a":['), alert, F.lit("],"), F.lit('"b":['), jam, F.lit(',{}],"c":{"speed":9}}'))
     turn = F.col("position") % 3
     text = F.when(turn == 0, whole).when(turn == 1, two).otherwise(three)
-    events = extract.extract_events(_file_rows(sensor_events(spark, folder), text))
+    events = extract.extract_events(_file_rows(sensor_events(spark, folder, spread=True), text))
     return events.select(
         F.col("file_path").cast("long").alias("file"),
         F.col("position").alias("event_no"),
@@ -121,7 +121,7 @@ def extract_csv(spark: SparkSession, folder: str) -> DataFrame:
         _digits("speed_val"), F.lit(',"a ""q"", \nb",'), F.col("source"), F.lit("\n\n"),
         _k(), F.lit(',5" pipe\n'),
     )
-    events = extract.extract_events(_file_rows(sensor_events(spark, folder), text))
+    events = extract.extract_events(_file_rows(sensor_events(spark, folder, spread=True), text))
     return events.select(
         F.col("file_path").cast("long").alias("file"),
         F.col("position").alias("event_no"),
@@ -150,7 +150,7 @@ def route_format(spark: SparkSession, folder: str) -> DataFrame:
         .when(turn == 4, F.lit("{'a': 1}"))
         .otherwise(F.col("text"))
     )
-    routed = extract.route_format(table(spark, folder, "documents").select("doc_id", shown.alias("text")))
+    routed = extract.route_format(table(spark, folder, "documents", "doc_id").select("doc_id", shown.alias("text")))
     return routed.select(
         "doc_id",
         "format",
@@ -233,7 +233,7 @@ def key_paths(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("flow_val").cast("long") % 3).cast("string"), F.lit('":"{\\"y\\":1}","'),
         F.col("source"), F.lit('":null,"n":{}}'),
     )
-    documents = sensor_events(spark, folder).select("source", text.alias("json_text"))
+    documents = sensor_events(spark, folder, spread=True).select("source", text.alias("json_text"))
     return roles.source_key_paths(documents).select("source", F.array_join("paths", ",").alias("paths"))
 
 
@@ -338,7 +338,7 @@ def discover_roles(spark: SparkSession, folder: str) -> DataFrame:
     )
     second = payload(averageSpeed=quantity, flow=number, density=number, occupancy=number, speed_note=F.lit("fast"))
     third = payload(seg__length=quantity, duration=number, time=zero, occ=F.col("l_tax"), q=F.lit("none"))
-    events = table(spark, folder, "lineitem").select(
+    events = table(spark, folder, "lineitem", "l_orderkey").select(
         flag.alias("source"), F.when(flag == "A", first).when(flag == "N", second).otherwise(third).alias("payload")
     )
     kinds = events.select("source").distinct().withColumn(

@@ -39,7 +39,7 @@ def write_sensor_files(spark: SparkSession, folder: str, target: str) -> None:
     )
     line = F.concat_ws(",", speed.cast("string"), (k % 5).cast("string"), (k / 4).cast("string"))
     is_csv = F.col("source").isin(*CSV_SOURCES)
-    lines = sensor_events(spark, folder).select(
+    lines = sensor_events(spark, folder, spread=True).select(
         "source",
         F.floor(number / EVENTS_PER_FILE).alias("chunk"),
         F.struct(number.alias("number"), F.when(is_csv, line).otherwise(record).alias("line")).alias("entry"),

@@ -170,7 +170,7 @@ _KIND = "CASE WHEN user_id % 2 = 0 THEN 'global' ELSE 'LOCAL' END"
 
 
 def _with_roles(spark: SparkSession, folder: str) -> DataFrame:
-    rows = sensor_events(spark, folder)
+    rows = sensor_events(spark, folder, spread=True)
     return rows.withColumns({role: F.expr(_ROLE_OF[role]) for role in ROLES}).withColumns(
         {
             "payload": F.expr(_PAYLOAD),

@@ -191,7 +191,7 @@ def section_unpack(spark: SparkSession, folder: str) -> DataFrame:
         .when(turn == 2, F.concat(speed, F.lit(',"lat":"'), F.col("flow_val").cast("string"), F.lit('"}')))
         .otherwise(F.concat(speed, F.lit(',"lat":{"deg":1}}')))
     )
-    rows = sensor_events(spark, folder).select(
+    rows = sensor_events(spark, folder, spread=True).select(
         F.concat(F.lit("section_"), "source").alias("section"),
         time_text().alias("event_timestamp"),
         F.col("position").cast("string").alias("sensor_id"),

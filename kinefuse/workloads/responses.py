@@ -35,7 +35,7 @@ def _whole_turns(spark: SparkSession, folder: str) -> DataFrame:
     """Conversation turns with a block behind the whole text."""
     block = F.concat(F.lit('{"role": "'), "role", F.lit('", "inner": {"turn": '), F.col("turn").cast("string"), F.lit("}}"))
     text = F.concat(F.translate("text", "{}", "()"), F.lit("\n"), block, F.lit("\nbye"))
-    return table(spark, folder, "conversations").select("conv_id", "turn", "role", text.alias("answer"))
+    return table(spark, folder, "conversations", "conv_id").select("conv_id", "turn", "role", text.alias("answer"))
 
 
 def _entry(column: str, name: str) -> Column:

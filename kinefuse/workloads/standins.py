@@ -15,9 +15,9 @@ def time_text(column: str = "event_timestamp") -> Column:
     return F.date_format(column, TIME_TEXT)
 
 
-def sensor_events(spark: SparkSession, folder: str) -> DataFrame:
+def sensor_events(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
     """Events as sensor rows: one source per event type, one file per day and source."""
-    events = table(spark, folder, "events")
+    events = table(spark, folder, "events", "event_id" if spread else None)
     time = F.col("ts").cast("timestamp")
     return events.select(
         F.col("event_id").alias("position"),

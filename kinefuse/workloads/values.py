@@ -59,7 +59,7 @@ def lenient_decode(spark: SparkSession, folder: str) -> DataFrame:
         F.encode(F.substr(F.col("text"), half + 1), "UTF-8"),
         F.unhex(F.lit("E282")),
     )
-    decoded = table(spark, folder, "documents").select("doc_id", text.lenient_utf8(broken).alias("decoded"))
+    decoded = table(spark, folder, "documents", "doc_id").select("doc_id", text.lenient_utf8(broken).alias("decoded"))
     return decoded.select(
         "doc_id", F.md5("decoded").alias("digest"), F.length("decoded").cast("long").alias("characters")
     )
@@ -100,7 +100,7 @@ def event_time(spark: SparkSession, folder: str) -> DataFrame:
         shown("time", F.lit("true")),
     )
     fallback = F.lit("2001-02-03 04:05:06").cast("timestamp")
-    rows = table(spark, folder, "orders").select(
+    rows = table(spark, folder, "orders", "o_orderkey").select(
         "o_orderkey", payload.parse_record(payload.mark_text(document)).alias("record")
     )
     rows = rows.withColumn("time_text", times.time_value(F.col("record")))
@@ -173,7 +173,7 @@ def flatten_payload(spark: SparkSession, folder: str) -> DataFrame:
         F.lit('{"l":[],"x":null,"y":{"w":{"v":{}}}}'),
         F.concat(F.lit('{"a.b":1,"z":0,"a":{"b":'), (F.col("value") * 2).cast("string"), F.lit("}}")),
     )
-    flat = table(spark, folder, "events").select(
+    flat = table(spark, folder, "events", "event_id").select(
         "event_id", payload.flatten_record(payload.parse_record(payload.mark_text(document))).alias("flat")
     )
 
@@ -201,7 +201,7 @@ def reserved_strip(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit('{"speed_val":'), F.col("value").cast("string"), F.lit(',"id":{}}')),
     )
     flat = payload.section_payload(document)
-    return table(spark, folder, "events").select(
+    return table(spark, folder, "events", "event_id").select(
         "event_id", F.array_join(F.map_keys(flat), ",").alias("names")
     )
 
