@@ -111,16 +111,16 @@ def apply_assignments(sources: DataFrame, elements: DataFrame, assignments: Data
     """
     wishes = assignments.groupBy("path").agg(
         F.max_by("element_id", "seq").alias("new_element"),
-        F.count_distinct("element_id").alias("wishes"),
+        (F.min("element_id") == F.max("element_id")).alias("one_wish"),
     )
     edited = elements.select(F.col("element_id").alias("edited")).distinct()
     joined = sources.join(wishes, "path", "left").join(edited, F.col(_ELEMENT) == F.col("edited"), "left")
     wished = F.col("new_element").isNotNull()
-    stays = wished & (F.col("wishes") == 1) & F.col("new_element").eqNullSafe(F.col(_ELEMENT))
+    stays = F.col("one_wish") & F.col("new_element").eqNullSafe(F.col(_ELEMENT))
     return _set(
         sources,
         joined,
-        F.when(wished & ~stays, "LOCAL").otherwise(F.col(_TYPE)),
+        F.when(wished & ~F.coalesce(stays, F.lit(False)), "LOCAL").otherwise(F.col(_TYPE)),
         F.when(wished, F.col("new_element")).when(F.col("edited").isNull(), F.col(_ELEMENT)),
     )
 

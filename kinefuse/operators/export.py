@@ -83,6 +83,13 @@ def section_list(rows: DataFrame) -> DataFrame:
     return rows.select("section").filter(F.col("section").like("section_%")).distinct()
 
 
+def file_counts(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """Files (source_path, source, file_path) with the number of rows each gave, zero included."""
+    keys = ["source_path", "file_path"]
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("events"))
+    return files.join(counts, keys, "left").withColumn("events", F.coalesce("events", F.lit(0)))
+
+
 def run_totals(files: DataFrame) -> DataFrame:
     """Files and events per source, and overall where `source` is null."""
     return files.rollup("source").agg(

@@ -22,15 +22,13 @@ def road_status(edges: DataFrame, sources: DataFrame) -> DataFrame:
     Every source on an edge marks that edge and each id whose opposite it is; the edges then look
     themselves up once.
     """
-    used = sources.filter(F.col("associated_element_id").isNotNull()).select(
-        F.col("associated_element_id").alias("element")
-    ).distinct()
-    on_edges = used.join(edges.select(F.col("id").alias("element")), "element", "left_semi")
-    element = F.col("element")
-    forward = F.when(element.rlike(r"\A-(?!-)"), F.substr(element, F.lit(2)))
-    ids = F.array_compact(F.array(element, F.concat(F.lit("-"), element), forward))
-    marked = on_edges.select(F.explode(ids).alias("id")).distinct().withColumn("found", F.lit(True))
-    return edges.select("id").join(marked, "id", "left").select(
+    known = edges.select("id")
+    used = sources.select(F.col("associated_element_id").alias("id")).filter("id IS NOT NULL").distinct()
+    edge = F.col("id")
+    forward = F.when(edge.rlike(r"\A-(?!-)"), F.substr(edge, F.lit(2)))
+    ids = F.array_compact(F.array(edge, F.concat(F.lit("-"), edge), forward))
+    marked = used.join(known, "id", "left_semi").select(F.explode(ids).alias("id")).distinct()
+    return known.join(marked.withColumn("found", F.lit(True)), "id", "left").select(
         "id", F.coalesce("found", F.lit(False)).alias("is_associated")
     )
 

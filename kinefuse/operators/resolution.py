@@ -74,6 +74,8 @@ def resolve_by_file(
 ) -> DataFrame:
     """Resolution from (file, name, ordinal) rows: per file the six resolved roles and location columns.
 
+    `maps` should be a written table (`storage.write_and_read`), so that the join knows its size.
+
     The choice is a minimum of (tier, ordinal, name), which combines before the shuffle; no file's
     columns are gathered or sorted in one place.
     """

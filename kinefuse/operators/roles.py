@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinefuse.functions.numbers import text_to_number
 from kinefuse.functions.payload import key_paths
+from kinefuse.functions.responses import response_fields
 from kinefuse.functions.text import null_words_to_null
 from kinefuse.schemas import ROLES
 
@@ -38,11 +39,6 @@ _WHOLE_ONLY = ("time",)
 CONFIDENCE = 0.99
 
 
-def json_key_paths(json_text: Column) -> Column:
-    """Distinct sorted object paths of a JSON document."""
-    return F.array_sort(F.array_distinct(key_paths(json_text)))
-
-
 def source_key_paths(files: DataFrame) -> DataFrame:
     """Distinct sorted paths per source from files (source, json_text)."""
     paths = files.select("source", F.explode_outer(key_paths(F.col("json_text"))).alias("path"))
@@ -108,6 +104,15 @@ def discover_roles(profile: DataFrame, associations: DataFrame) -> DataFrame:
     )
 
 
+def maps_from_responses(responses: DataFrame) -> DataFrame:
+    """Kinematic maps from model responses (source, text)."""
+    read = responses.select("source", response_fields(F.col("text")).alias("fields"))
+    found = {role: F.try_element_at("fields", F.lit(role)) for role in ROLES}
+    return read.select(
+        "source", *[found[role].alias(role) for role in ROLES], F.lit(CONFIDENCE).alias("confidence_score")
+    )
+
+
 def scrub_map(maps: DataFrame) -> DataFrame:
     """Null words in the role columns become null."""
     return maps.withColumns({role: null_words_to_null(F.col(role)) for role in ROLES})

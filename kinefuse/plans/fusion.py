@@ -12,6 +12,7 @@ from kinefuse.operators.physics import kinematics, unmapped_kinematics
 from kinefuse.operators.resolution import resolve_on_row
 from kinefuse.operators.roles import column_profile, discover_roles, scrub_map
 from kinefuse.schemas import KINEMATIC_ROW, ROLES
+from kinefuse.sinks.landing import write_raw_landing
 from kinefuse.sinks.tables import write_sections
 from kinefuse.sources.extract import (
     explode_events,
@@ -20,20 +21,38 @@ from kinefuse.sources.extract import (
     large_csv_headers,
     parse_files,
 )
-from kinefuse.sources.files import read_large_files, read_text_files, sample_paths
+from kinefuse.sources.files import (
+    existing,
+    plain_path,
+    read_large_files,
+    read_text_files,
+    sample_paths,
+    with_owner,
+)
 from kinefuse.sources.sections import read_sections
 from kinefuse.storage import new_path, write_and_read
 
 
+def land_raw_files(spark: SparkSession, folders: list[str], path: str) -> None:
+    """Append every file below the folders to the raw table, as bytes with fingerprint."""
+    found = existing(spark, folders)
+    if not found:
+        return
+    contents = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(found)
+    files = contents.select(plain_path(F.col("path")).alias("file_path"), "content")
+    write_raw_landing(with_owner(files, found), path)
+
+
 def discover_maps(spark: SparkSession, sources: DataFrame, folders: list[str]) -> DataFrame:
-    """Kinematic map per source from the first file of each folder; no other file is opened."""
+    """Kinematic map per source path from the first file of each folder; no other file is opened."""
     paths = sample_paths(spark, folders)
-    samples = extract_events(read_text_files(spark, folders, paths)).select("source", "payload")
+    source = F.col("source_path").alias("source")
+    samples = extract_events(read_text_files(spark, folders, paths)).select(source, "payload")
     lines = read_large_files(spark, folders, paths)
     if not lines.isEmpty():
         headers = write_and_read(large_csv_headers(lines), "headers")
-        samples = samples.unionByName(large_csv_events(lines, headers).select("source", "payload"))
-    associations = sources.select(F.col("name").alias("source"), "association_type")
+        samples = samples.unionByName(large_csv_events(lines, headers).select(source, "payload"))
+    associations = sources.select(F.col("path").alias("source"), "association_type")
     return scrub_map(discover_roles(column_profile(samples), associations))
 
 
@@ -42,11 +61,16 @@ def source_maps(sources: DataFrame, maps: DataFrame) -> DataFrame:
 
     Written, so that Spark knows its size and joins it without moving the files' text.
     """
-    joined = sources.select(
-        F.col("path").alias("source_path"), F.col("name").alias("source"), "association_type"
-    ).join(maps.select("source", *ROLES, F.lit(True).alias("mapped")), "source", "left")
+    wanted = maps.select(F.col("source").alias("path"), *ROLES, F.lit(True).alias("mapped"))
+    joined = sources.select("path", "association_type").join(wanted, "path", "left")
     return write_and_read(
-        joined.withColumn("has_map", F.coalesce("mapped", F.lit(False))).drop("mapped", "source"), "maps"
+        joined.select(
+            F.col("path").alias("source_path"),
+            "association_type",
+            *ROLES,
+            F.coalesce("mapped", F.lit(False)).alias("has_map"),
+        ),
+        "maps",
     )
 
 
@@ -121,7 +145,7 @@ def build_unified(
     """The delivered dataset, not yet sorted.
 
     `sources` needs path, name, association_type, associated_element_id and seq; `folders` are the
-    source paths to read. The sections are written on the way, so everything after them starts from files.
+    source paths to read; `maps`, when given, have the source path as `source`. The sections are written on the way, so everything after them starts from files.
     """
     path = new_path(spark, "sections")
     write_sections(build_kinematics(spark, sources, folders, maps), path)

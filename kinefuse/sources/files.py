@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinefuse.functions.text import base_name, file_extension, known_association, lenient_utf8
+from kinefuse.storage import write_and_read
 
 # CSV files above this size are read line by line, in splits, instead of as one row each. A JSON
 # document has no splits: it is one row whatever its size, and Spark stops at 2 GB.
@@ -190,9 +191,10 @@ def sample_paths(spark: SparkSession, folders: list[str]) -> list[str]:
 def sample_file(files: DataFrame, source: str = "source", path: str = "file_path", cut: int = 50_000) -> DataFrame:
     """First file (lowest path) of each source with its text cut to a sample.
 
-    Only paths are aggregated; the text comes from the join back.
+    Only paths are aggregated. Their table is written, so that the join back to the texts knows it
+    is small and leaves the texts where they are.
     """
-    first = files.groupBy(source).agg(F.min(path).alias(path))
+    first = write_and_read(files.groupBy(source).agg(F.min(path).alias(path)), "samples")
     return files.join(first, [source, path], "left_semi").withColumn(
         "sample", F.substring(F.col("text"), 1, cut)
     )

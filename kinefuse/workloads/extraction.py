@@ -9,6 +9,7 @@ from kinefuse.functions.numbers import text_to_number
 from kinefuse.operators import resolution, roles
 from kinefuse.schemas import ROLES
 from kinefuse.sources import extract, files
+from kinefuse.storage import write_and_read
 from kinefuse.workloads.registry import query, table
 from kinefuse.workloads.standins import (
     SQL_DATA_SOURCES,
@@ -301,7 +302,8 @@ def resolve_columns(spark: SparkSession, folder: str) -> DataFrame:
         *[by_source(i).alias(r) for i, r in enumerate(ROLES[:3])],
         *[F.lit(None).cast("string").alias(r) for r in ROLES[3:]],
     )
-    resolved = resolution.resolve_by_file(resolution.file_columns(events), wanted)
+    maps = write_and_read(wanted, "wanted")
+    resolved = resolution.resolve_by_file(resolution.file_columns(events), maps)
     return resolved.select("source", "file_path", "speed_col", "flow_col", "intensity_col", "lat_col", "lon_col")
 
 

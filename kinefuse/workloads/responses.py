@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinefuse.functions import responses as answer
+from kinefuse.operators.roles import maps_from_responses
 from kinefuse.workloads.registry import query, table
 
 
@@ -95,6 +96,21 @@ def response_fallback(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    """
+SELECT CAST(p_partkey AS VARCHAR) AS source,
+       CASE WHEN p_partkey % 6 IN (0, 1, 3) THEN p_name WHEN p_partkey % 6 = 4 THEN 'a=b' END AS speed_col,
+       CAST(NULL AS VARCHAR) AS flow_col, CASE WHEN p_partkey % 6 = 4 THEN p_brand END AS intensity_col,
+       CAST(NULL AS VARCHAR) AS distance_col, CASE WHEN p_partkey % 6 = 5 THEN p_name END AS time_col,
+       CAST(NULL AS VARCHAR) AS occupancy_col, CAST(0.99 AS DOUBLE) AS confidence_score
+FROM part"""
+)
+def response_maps(spark: SparkSession, folder: str) -> DataFrame:
+    """Kinematic maps from the answers."""
+    answers = _parts(spark, folder).select(F.col("p_partkey").cast("string").alias("source"), "text")
+    return maps_from_responses(answers)
+
+
 @query(
     """
 SELECT p_partkey, CASE p_partkey % 6

@@ -51,7 +51,7 @@ def sources_of(spark, city):
 
 def test_discovered_maps(spark, city):
     sources, folders = sources_of(spark, city)
-    maps = {r.source: r for r in fusion.discover_maps(spark, sources, folders).collect()}
+    maps = {os.path.basename(r.source): r for r in fusion.discover_maps(spark, sources, folders).collect()}
     assert maps["Radar A"].speed_col == "speed"
     assert (maps["loop"].flow_col, maps["loop"].occupancy_col) == ("vehicle_count", "occ")
     assert (maps["loop"].distance_col, maps["loop"].time_col) == ("length", "duration")
@@ -86,7 +86,7 @@ def test_given_and_missing_maps(spark, city):
     """A given map is used as it is; a source without one passes its events on one by one."""
     sources, folders = sources_of(spark, city)
     given = spark.createDataFrame(
-        [("loop", None, "occ", "occ", None, None, None)],
+        [(str(city / "loop"), None, "occ", "occ", None, None, None)],
         "source string, speed_col string, flow_col string, intensity_col string, distance_col string, time_col string, occupancy_col string",
     )
     rows = fusion.build_kinematics(spark, sources, folders, given).collect()
@@ -174,6 +174,34 @@ def test_landing_and_metadata(spark, tmp_path):
     assert os.path.isdir(tmp_path / "meta" / "data_associations")
 
 
+def test_two_sources_with_one_name(spark, tmp_path):
+    """Same folder name, different paths: own maps, one shared section, no row twice."""
+    folders = [str(tmp_path / part / "cam") for part in ("east", "west")]
+    for folder, text in zip(folders, ("speed\n10\n", "velocity\n20\n")):
+        os.makedirs(folder)
+        with open(os.path.join(folder, "f.csv"), "w") as target:
+            target.write(text)
+    sources = spark.createDataFrame([(f, "cam", "LOCAL", None, i) for i, f in enumerate(folders)], SOURCES)
+    edges = spark.createDataFrame([], "id string, real_name string")
+    rows = fusion.build_unified(spark, sources, folders, edges).collect()
+    assert sorted((r.speed_val, r.source_table) for r in rows) == [(10, "section_cam"), (20, "section_cam")]
+
+
+def test_landed_folders_and_counts(spark, city, tmp_path):
+    sources, folders = sources_of(spark, city)
+    target = str(tmp_path / "raw")
+    fusion.land_raw_files(spark, folders, target)
+    landed = {(r.source_id, r.filename) for r in spark.read.parquet(target).collect()}
+    assert landed == {("Radar A", "a.json"), ("Radar A", "b.json"), ("loop", "c.csv"), ("feed", "d.json")}
+    (city / "loop" / "header.csv").write_text("a,b\n")
+    listed = files.list_files(spark, folders).withColumnRenamed("path", "file_path")
+    rows = fusion.build_kinematics(spark, sources, folders)
+    totals = export.run_totals(export.file_counts(files.with_owner(listed, folders), rows))
+    assert {(r.source, r.files, r.events) for r in totals.collect()} == {
+        ("Radar A", 2, 2), ("loop", 2, 1), ("feed", 1, 1), (None, 5, 4),
+    }
+
+
 def test_run_totals(spark):
     totals = export.run_totals(spark.createDataFrame([("a", 3), ("a", 0), ("b", 5)], "source string, events long"))
     assert {(r.source, r.files, r.events) for r in totals.collect()} == {("a", 2, 3), ("b", 1, 5), (None, 3, 8)}
