@@ -159,7 +159,11 @@ def sensor_map(named: DataFrame) -> DataFrame:
 
 
 def sensor_lookup(events: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Origin and mapped place of each event's sensor; an unknown sensor is LOCAL without a place."""
+    """Origin and mapped place of each event's sensor; an unknown sensor is LOCAL without a place.
+
+    `lookup` should be a written table (`storage.write_and_read`): with its size known, a small one
+    is broadcast and the events stay where they are, a large one is joined by shuffle.
+    """
     return events.join(lookup, F.lower("sensor_id") == F.col("sensor_key"), "left").select(
         *events.columns,
         F.coalesce(f"place.{_TYPE}", F.lit("LOCAL")).alias("origin_type"),

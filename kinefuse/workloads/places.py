@@ -9,6 +9,7 @@ from kinefuse.operators import associations, export
 from kinefuse.operators.physics import FILE_KEYS, summarise
 from kinefuse.schemas import UNIFIED_COLUMNS
 from kinefuse.sinks.landing import raw_landing as landing
+from kinefuse.storage import write_and_read
 from kinefuse.workloads.measures import SQL_FLOW, SQL_SPEED, file_kinematics
 from kinefuse.workloads.registry import query, table
 from kinefuse.workloads.standins import (
@@ -54,7 +55,7 @@ def _lookup(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("seq") - 1_000_000).alias("seq"),
         F.lit("old name").alias("real_name"),
     )
-    return associations.sensor_map(later.unionByName(earlier))
+    return write_and_read(associations.sensor_map(later.unionByName(earlier)), "lookup")
 
 
 def _located_events(spark: SparkSession, folder: str) -> DataFrame:
