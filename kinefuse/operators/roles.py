@@ -71,7 +71,8 @@ def discover_roles(profile: DataFrame, associations: DataFrame) -> DataFrame:
     Among the columns whose name points to a role, one with data other than zero beats an empty
     template, the whole word beats a part, and the name decides ties. A speed column rules out
     distance and time, an intensity column rules out occupancy; a GLOBAL source gets speed only.
-    The choice is a minimum per source, so it combines before the shuffle.
+    A source whose sample shows nothing gets a map without columns. The choice is a minimum per
+    source, so it combines before the shuffle.
     """
 
     def best(role: str) -> Column:
@@ -84,7 +85,7 @@ def discover_roles(profile: DataFrame, associations: DataFrame) -> DataFrame:
         return F.min(F.when((match > 0) & (F.col("numbers") > 0), rank))["column"].alias(role)
 
     chosen = profile.groupBy("source").agg(*[best(role) for role in ROLES])
-    typed = chosen.join(associations.select("source", "association_type"), "source")
+    typed = associations.select("source", "association_type").join(chosen, "source", "left")
     is_global = F.upper("association_type") == "GLOBAL"
     has_speed = F.col("speed_col").isNotNull()
     ingredients = F.col("distance_col").isNotNull() & F.col("time_col").isNotNull() & ~has_speed

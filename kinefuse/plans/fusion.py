@@ -22,7 +22,7 @@ from kinefuse.sources.extract import (
     parse_files,
 )
 from kinefuse.sources.files import (
-    existing,
+    load_existing,
     plain_path,
     read_large_files,
     read_text_files,
@@ -35,12 +35,11 @@ from kinefuse.storage import new_path, write_and_read
 
 def land_raw_files(spark: SparkSession, folders: list[str], path: str) -> None:
     """Append every file below the folders to the raw table, as bytes with fingerprint."""
-    found = existing(spark, folders)
-    if not found:
-        return
-    contents = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(found)
-    files = contents.select(plain_path(F.col("path")).alias("file_path"), "content")
-    write_raw_landing(with_owner(files, found), path)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    contents = load_existing(reader, spark, folders)
+    if contents is not None:
+        files = contents.select(plain_path(F.col("path")).alias("file_path"), "content")
+        write_raw_landing(with_owner(files, folders), path)
 
 
 def discover_maps(spark: SparkSession, sources: DataFrame, folders: list[str]) -> DataFrame:

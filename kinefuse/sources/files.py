@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,28 +46,38 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"\Afile:/+", "/"), r"(?<=.)/+\z", "")
 
 
-def existing(spark: SparkSession, folders: Iterable[str]) -> list[str]:
-    """Folders that exist; a missing one simply contributes no files."""
+def parent_folder(path: Column) -> Column:
+    return F.regexp_extract(path, r"(?s)\A(.*)/[^/]*\z", 1)
+
+
+def load_existing(reader: DataFrameReader, spark: SparkSession, folders: list[str]) -> DataFrame | None:
+    """Load the folders that exist; None when there is none. A missing folder contributes no files."""
+    try:
+        return reader.load(folders) if folders else None
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    found = []
-    for folder in folders:
+
+    def exists(folder: str) -> bool:
         path = jvm.org.apache.hadoop.fs.Path(folder)
-        if path.getFileSystem(conf).exists(path):
-            found.append(folder)
-    return found
+        return path.getFileSystem(conf).exists(path)
+
+    found = [folder for folder in folders if exists(folder)]
+    return reader.load(found) if found else None
 
 
-def list_files(spark: SparkSession, folders: Iterable[str], recursive: bool = True) -> DataFrame:
+def list_files(spark: SparkSession, folders: list[str], recursive: bool = True) -> DataFrame:
     """One row per file below the folders: path, modification time, size. No content is read."""
-    found = existing(spark, folders)
-    if not found:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    loaded = load_existing(reader, spark, folders)
+    if loaded is None:
         return spark.createDataFrame([], _LISTING)
-    reader = spark.read.format("binaryFile")
+    files = loaded.select(plain_path(F.col("path")).alias("path"), "modificationTime", "length")
     if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    return reader.load(found).select(
-        plain_path(F.col("path")).alias("path"), "modificationTime", "length"
-    )
+        return files
+    # Without the recursive lookup, subfolders named key=value would be taken for partitions.
+    return files.filter(parent_folder(F.col("path")).isin(*[plain_path(F.lit(f)) for f in folders]))
 
 
 def file_type(name: Column) -> Column:
@@ -94,9 +105,8 @@ def file_types(files: DataFrame, folder: str = "folder", name: str = "name") ->
 
 def folder_listing(files: DataFrame) -> DataFrame:
     """Split the path of a listing into folder and name."""
-    return files.withColumn("folder", F.regexp_extract("path", r"(?s)\A(.*)/[^/]*\z", 1)).withColumn(
-        "name", F.regexp_extract("path", r"[^/]*\z", 0)
-    )
+    path = F.col("path")
+    return files.withColumns({"folder": parent_folder(path), "name": base_name(path)})
 
 
 def file_inventory(files: DataFrame) -> DataFrame:
@@ -141,15 +151,11 @@ def with_owner(files: DataFrame, folders: list[str]) -> DataFrame:
 
 
 def _read_text(spark: SparkSession, folders: list[str], paths: list[str] | None, whole: bool) -> DataFrame:
-    found = existing(spark, folders if paths is None else paths)
-    if not found:
+    reader = spark.read.format("text").option("wholetext", str(whole).lower())
+    reader = reader.option("recursiveFileLookup", "true")
+    lines = load_existing(reader, spark, folders if paths is None else paths)
+    if lines is None:
         return spark.createDataFrame([], _WHOLE if whole else _LINES)
-    lines = (
-        spark.read.format("text")
-        .option("wholetext", str(whole).lower())
-        .option("recursiveFileLookup", "true")
-        .load(found)
-    )
     # Size and name are known from the listing, so files of the other kind are not opened.
     is_large = (F.col("_metadata.file_size") > WHOLE_FILE_BYTES) & F.lower(
         F.col("_metadata.file_name")

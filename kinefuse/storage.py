@@ -27,16 +27,21 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+# Temporary folders of local sessions, by application.
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors reach. A local master may use a temporary folder; a cluster must name one."""
     named = spark.conf.get(CHECKPOINT_DIR, None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="kinefuse-")
-    spark.conf.set(CHECKPOINT_DIR, made)
-    return made
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="kinefuse-")
+    return _local_dirs[context.applicationId]
 
 
 def new_path(spark: SparkSession, label: str) -> str:

@@ -37,6 +37,8 @@ def test_listing(spark, tree):
         "notes.txt": (".txt", None, False, 7),
     }
     assert files.list_files(spark, [str(tree / "missing")]).count() == 0
+    (tree / "radar" / "kind=x").mkdir()
+    (tree / "radar" / "kind=x" / "y.csv").write_text("a")
     flat = files.list_files(spark, [str(tree / "radar")], recursive=False)
     assert {os.path.basename(r.path) for r in flat.collect()} == {"b.JSON", "town.net.xml"}
 
