@@ -99,39 +99,83 @@ def entries_to_map(entries: Column) -> Column:
     return bind(entries, build)
 
 
-def _expand(entries: Column) -> Column:
-    """Replace each nested object by its own entries under dotted names, one level."""
+def _expand(leaves: Column) -> Column:
+    """Replace each nested object by its own members, one level."""
 
     def open_up(e: Column) -> Column:
         inner = F.transform(
             F.map_entries(parse_record(e["value"])),
             lambda c: F.struct(
-                F.concat(e["key"], F.lit("."), unmark(c["key"])).alias("key"), c["value"].alias("value")
+                F.concat(e["key"], F.lit("."), unmark(c["key"])).alias("key"),
+                c["value"].alias("value"),
+                F.concat(e["path"], F.array(c["key"])).alias("path"),
             ),
         )
         return F.when(is_object(e["value"]), inner).otherwise(F.array(e))
 
-    return F.flatten(F.transform(entries, open_up))
+    return F.flatten(F.transform(leaves, open_up))
 
 
-def _holds_object(entries: Column) -> Column:
-    return F.exists(entries, lambda e: is_object(e["value"]))
+def _holds_object(leaves: Column) -> Column:
+    return F.exists(leaves, lambda e: is_object(e["value"]))
 
 
-def flatten_record(record: Column, levels: tuple[int, ...] = LEVELS) -> Column:
-    """Nested objects to dotted names. Plain keys come first, then nested ones; arrays stay whole."""
+def _leaves(record: Column, levels: tuple[int, ...]) -> Column:
+    """Leaves of a parsed record as (dotted name, value, path of keys), plain ones first."""
 
-    def plain_first(entries: Column) -> Column:
-        nested = F.filter(entries, lambda e: is_object(e["value"]))
-        plain = F.filter(entries, lambda e: F.coalesce(~is_object(e["value"]), F.lit(True)))
+    def plain_first(leaves: Column) -> Column:
+        nested = F.filter(leaves, lambda e: is_object(e["value"]))
+        plain = F.filter(leaves, lambda e: F.coalesce(~is_object(e["value"]), F.lit(True)))
         return F.concat(plain, _expand(nested))
 
-    def tidy(e: Column) -> Column:
-        return F.struct(unmark(e["key"]).alias("key"), _clean(e["value"]).alias("value"))
+    top = F.transform(
+        F.map_entries(record),
+        lambda e: F.struct(
+            unmark(e["key"]).alias("key"), e["value"].alias("value"), F.array(e["key"]).alias("path")
+        ),
+    )
+    ordered = repeat_while(top, _holds_object, plain_first, levels[:1])
+    return repeat_while(ordered, _holds_object, _expand, levels[1:])
 
-    ordered = repeat_while(F.map_entries(record), _holds_object, plain_first, levels[:1])
-    opened = repeat_while(ordered, _holds_object, _expand, levels[1:])
-    return entries_to_map(F.transform(opened, tidy))
+
+def flatten_record(record: Column, clean: bool = True, levels: tuple[int, ...] = LEVELS) -> Column:
+    """Nested objects to dotted names. Plain keys come first, then nested ones; arrays stay whole.
+
+    With `clean`, the marks on values are taken away.
+    """
+
+    def entry(e: Column) -> Column:
+        value = _clean(e["value"]) if clean else e["value"]
+        return F.struct(e["key"].alias("key"), value.alias("value"))
+
+    return entries_to_map(F.transform(_leaves(record, levels), entry))
+
+
+def leaf_columns(record: Column, levels: tuple[int, ...] = LEVELS) -> Column:
+    """Names of the flattened record, in order, each with the keys that lead to its value."""
+    return F.transform(
+        _leaves(record, levels), lambda e: F.struct(e["key"].alias("name"), e["path"].alias("path"))
+    )
+
+
+def value_at(record: Column, path: Column) -> Column:
+    """Value at a path of keys in a parsed record; only a path into nested objects parses them."""
+    top = F.try_element_at(record, F.get(path, F.lit(0)))
+    inner = F.aggregate(
+        F.slice(path, F.lit(2), F.size(path)),
+        top,
+        lambda value, key: F.try_element_at(parse_record(value), key),
+    )
+    return F.when(F.size(path) == 1, top).otherwise(inner)
+
+
+# In compact JSON: keys are kept, all other texts, numbers and words are taken out.
+_KEY_OR_SCALAR = r'("(?:[^"\\]++|\\.)*+":)|"(?:[^"\\]++|\\.)*+"|[^"{}\[\],:]++'
+
+
+def skeleton(record_json: Column) -> Column:
+    """Structure of a record without its values. Records with one skeleton have the same columns."""
+    return F.regexp_replace(record_json, F.lit(_KEY_OR_SCALAR), F.lit("$1"))
 
 
 def strip_reserved(payload: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kinefuse.functions.payload import TEXT_MARK, unmark
+from kinefuse.functions.payload import unmark
 
 # Payload keys that may hold the event time, in order of precedence.
 TIME_KEYS = ("timestamp", "time", "date", "pubMillis", "event_timestamp")
@@ -56,13 +56,19 @@ def time_value(record: Column) -> Column:
     return chosen
 
 
-def event_time(value: Column, fallback: Column) -> Column:
-    """Event time from a marked payload value (see `payload.mark_text`).
+def time_number(value: Column) -> Column:
+    """Number in a marked payload value; `true` and `false` count as 1 and 0."""
+    return (
+        F.when(value.rlike(_JSON_NUMBER), value.try_cast("double"))
+        .when(value == "true", F.lit(1.0))
+        .when(value == "false", F.lit(0.0))
+    )
+
+
+def event_time(value: Column, number: Column) -> Column:
+    """Event time from a marked payload value (see `payload.mark_text`) and its `time_number`.
 
-    A value that cannot be read gives the fallback; later time keys are not tried.
+    Null when the value cannot be read; later time keys are not tried.
     """
-    number = F.when(value.rlike(_JSON_NUMBER), value.try_cast("double"))
-    number = number.when(value == "true", F.lit(1.0)).when(value == "false", F.lit(0.0))
-    is_text = value.startswith(TEXT_MARK) | ~value.rlike(r"\A[\[{]")
-    parsed = F.when(number.isNotNull(), epoch_time(number)).when(is_text, iso_time(unmark(value)))
-    return F.coalesce(parsed, fallback)
+    is_text = ~value.rlike(r"\A[\[{]")
+    return F.when(number.isNotNull(), epoch_time(number)).when(is_text, iso_time(unmark(value)))

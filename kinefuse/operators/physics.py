@@ -2,36 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinefuse.functions.numbers import nan_to_null, safe_divide, text_to_number
+from kinefuse.functions.payload import unmark, value_at
 from kinefuse.schemas import KINEMATIC_FIELDS, MEASURES
 
 MILLIS_PER_HOUR = 3_600_000.0
 
 
-def column_number(name: Column) -> Column:
-    """Number in the payload column of that name, null when there is no such column.
+def _own_nanos() -> Column:
+    return F.unix_micros("event_timestamp") * 1000.0
+
+
+def named_number(name: Column) -> Column:
+    """Number in the `payload` column of that name, null when there is no such column.
 
     The event's own time and sensor count as columns; a time reads as nanoseconds since 1970.
     """
-    nanos = F.unix_micros("event_timestamp") * 1000.0
     return (
-        F.when(name == "event_timestamp", nanos)
+        F.when(name == "event_timestamp", _own_nanos())
         .when(name == "sensor_id", text_to_number(F.col("sensor_id")))
         .when(name.isNotNull(), text_to_number(F.try_element_at(F.col("payload"), name)))
     )
 
 
+def path_number(path: Column) -> Column:
+    """The same for a path of keys into the unflattened `record`."""
+    return (
+        F.when(path == F.array(F.lit("event_timestamp")), _own_nanos())
+        .when(path == F.array(F.lit("sensor_id")), text_to_number(F.col("sensor_id")))
+        .when(path.isNotNull(), text_to_number(unmark(value_at(F.col("record"), path))))
+    )
+
+
 def mask_global(association: Column, name: Column) -> Column:
     """Column name, null for a GLOBAL source."""
     return F.when(F.upper(association) == "GLOBAL", None).otherwise(name)
 
 
-def kinematic_projection(events: DataFrame) -> DataFrame:
+def kinematic_projection(
+    events: DataFrame, number: Callable[[Column], Column] = named_number
+) -> DataFrame:
     """Events with resolved role columns to per-event speed, flow, intensity and location.
 
+    `number` reads what a role column points to: a name in the payload, or a path in the record.
+
     Speed comes from its own column or from distance over time, intensity from its own column or
     from occupancy. A GLOBAL source has no flow and intensity columns but keeps occupancy.
     """
@@ -40,17 +59,17 @@ def kinematic_projection(events: DataFrame) -> DataFrame:
     intensity_col = mask_global(association, F.col("intensity_col"))
     derived = F.when(
         F.col("distance_col").isNotNull() & F.col("time_col").isNotNull(),
-        safe_divide(column_number(F.col("distance_col")), column_number(F.col("time_col"))),
+        safe_divide(number(F.col("distance_col")), number(F.col("time_col"))),
     )
     return events.withColumns(
         {
-            "speed_val": F.when(F.col("speed_col").isNotNull(), column_number(F.col("speed_col"))).otherwise(
+            "speed_val": F.when(F.col("speed_col").isNotNull(), number(F.col("speed_col"))).otherwise(
                 derived
             ),
-            "flow_val": column_number(flow_col),
-            "intensity_val": column_number(F.coalesce(intensity_col, F.col("occupancy_col"))),
-            "lat": text_to_number(F.try_element_at(F.col("payload"), F.col("lat_col"))),
-            "lon": text_to_number(F.try_element_at(F.col("payload"), F.col("lon_col"))),
+            "flow_val": number(flow_col),
+            "intensity_val": number(F.coalesce(intensity_col, F.col("occupancy_col"))),
+            "lat": number(F.col("lat_col")),
+            "lon": number(F.col("lon_col")),
         }
     )
 
@@ -146,9 +165,9 @@ FILE_KEYS = ("source_path", "source", "file_path", "sensor_id")
 
 
 def kinematics(events: DataFrame) -> DataFrame:
-    """Events with resolved role columns to one row per file and sensor."""
+    """Event records with resolved paths to one row per file and sensor."""
     fields = (*FILE_KEYS, "event_timestamp", *KINEMATIC_FIELDS)
-    projected = kinematic_projection(events).select(*fields, "position")
+    projected = kinematic_projection(events, path_number).select(*fields, "position")
     return summarise(projected, list(FILE_KEYS)).select(*fields)
 
 

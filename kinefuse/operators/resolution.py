@@ -45,11 +45,18 @@ def resolve_in(columns: Column, wanted: Column) -> Column:
     return F.when(wanted.isNotNull(), best["name"])
 
 
-def resolve_on_row(df: DataFrame, columns: str = "columns") -> DataFrame:
-    """Replace the six role columns by the file's own column names, and find its location columns."""
-    names = F.col(columns)
-    resolved = {role: resolve_in(names, F.col(role)) for role in ROLES}
-    return df.withColumns({**resolved, **location_columns(names)})
+def resolve_on_row(df: DataFrame) -> DataFrame:
+    """Replace the six role columns by the paths of the file's own `columns` (name, path).
+
+    Adds the paths of its location columns as `lat_col` and `lon_col`.
+    """
+    names = F.col("columns.name")
+    found = {**{role: resolve_in(names, F.col(role)) for role in ROLES}, **location_columns(names)}
+
+    def path(name: Column) -> Column:
+        return F.get("columns", F.array_position(names, name).cast("int") - 1)["path"]
+
+    return df.withColumns(found).withColumns({c: path(F.col(c)) for c in found})
 
 
 def location_columns(names: Column) -> dict[str, Column]:

@@ -15,7 +15,7 @@ from kinefuse.schemas import KINEMATIC_ROW, ROLES
 from kinefuse.sinks.landing import write_raw_landing
 from kinefuse.sinks.tables import write_sections
 from kinefuse.sources.extract import (
-    explode_events,
+    explode_records,
     extract_events,
     large_csv_events,
     large_csv_headers,
@@ -50,7 +50,8 @@ def discover_maps(spark: SparkSession, sources: DataFrame, folders: list[str]) -
     lines = read_large_files(spark, folders, paths)
     if not lines.isEmpty():
         headers = write_and_read(large_csv_headers(lines), "headers")
-        samples = samples.unionByName(large_csv_events(lines, headers).select(source, "payload"))
+        rows = large_csv_events(lines, headers).select(source, F.col("record").alias("payload"))
+        samples = samples.unionByName(rows)
     associations = sources.select(F.col("path").alias("source"), "association_type")
     return scrub_map(discover_roles(column_profile(samples), associations))
 
@@ -80,7 +81,7 @@ def file_kinematics(files: DataFrame, maps: DataFrame) -> DataFrame:
     shuffle carries one partial aggregate per file.
     """
     parsed = parse_files(files.join(maps, "source_path"))
-    return kinematics(explode_events(resolve_on_row(parsed)))
+    return kinematics(explode_records(resolve_on_row(parsed)))
 
 
 def large_file_kinematics(lines: DataFrame, maps: DataFrame) -> DataFrame:
@@ -101,7 +102,8 @@ def _unmapped(spark: SparkSession, folders: list[str]) -> list[DataFrame]:
     if lines.isEmpty():
         return parts
     headers = write_and_read(large_csv_headers(lines), "headers")
-    return [*parts, unmapped_kinematics(large_csv_events(lines, headers))]
+    events = large_csv_events(lines, headers).withColumnRenamed("record", "payload")
+    return [*parts, unmapped_kinematics(events)]
 
 
 def build_kinematics(

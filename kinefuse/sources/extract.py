@@ -11,16 +11,24 @@ from kinefuse.functions.payload import (
     bind,
     entries_to_map,
     flatten_record,
-    is_array,
     is_object,
+    leaf_columns,
     mark_text,
     parse_record,
+    skeleton,
+    unmark,
 )
-from kinefuse.functions.times import event_time, time_value
+from kinefuse.functions.times import event_time, time_number, time_value
 
 JSON_BLANKS = " \t\r\n"
 _SENTINEL = "\u0002end"
 _ITEMS = "array<string>"
+_RECORDS = f"array<{RECORD}>"
+_COLUMNS = "array<struct<name:string,path:array<string>>>"
+
+# A nested object shows in the text of a file as a colon and a brace. (Inside a quoted text it may
+# show too; then only time is lost.)
+_NESTED = r":\s*+\{"
 
 # CSV, as the usual dialect has it: a quote opens a quoted field only at the start of a field.
 # Possessive repeats keep the matcher from backtracking or recursing on long text.
@@ -70,12 +78,21 @@ def json_object_entries(body: Column) -> Column:
     )
 
 
+def _starts_with_object(value: Column) -> Column:
+    """Whether an array in an object document holds events; null for other values."""
+    return F.startswith(value, F.lit("[{"))
+
+
+def _body(text: Column) -> Column:
+    return mark_text(F.btrim(text, F.lit(JSON_BLANKS)))
+
+
 def _object_records(entries: Column, body: Column) -> Column:
     """Records of an object document: its arrays that start with an object, else the object itself."""
-    arrays = F.transform(
-        entries, lambda e: F.when(is_array(e["value"]), F.from_json(e["value"], _ITEMS, STRICT_JSON))
+    chosen = F.transform(
+        F.filter(entries, lambda e: _starts_with_object(e["value"])),
+        lambda e: F.from_json(e["value"], _ITEMS, STRICT_JSON),
     )
-    chosen = F.filter(arrays, lambda a: F.coalesce(is_object(F.get(a, F.lit(0))), F.lit(False)))
     return F.when(
         entries.isNotNull(),
         bind(F.flatten(chosen), lambda items: F.when(F.size(items) > 0, items).otherwise(F.array(body))),
@@ -84,7 +101,10 @@ def _object_records(entries: Column, body: Column) -> Column:
 
 def json_records(text: Column) -> Column:
     """Texts of the event objects in a JSON document, in order; null when the text is not JSON."""
+    return _body_records(_body(text))
+
 
+def _body_records(marked: Column) -> Column:
     def read(body: Column) -> Column:
         root_array = json_array_items(body)
         root_object = bind(json_object_entries(body), lambda entries: _object_records(entries, body))
@@ -93,7 +113,7 @@ def json_records(text: Column) -> Column:
         )
         return F.filter(items, is_object)
 
-    return bind(mark_text(F.btrim(text, F.lit(JSON_BLANKS))), read)
+    return bind(marked, read)
 
 
 def split_csv_records(text: Column) -> Column:
@@ -132,39 +152,49 @@ def csv_payload(header: Column, record: Column) -> Column:
     )
 
 
-def _json_events(records: Column) -> Column:
-    def event(record: Column) -> Column:
-        return F.struct(
-            time_value(record).alias("time_text"), flatten_record(record).alias("payload")
-        )
-
-    return F.transform(records, lambda text: bind(parse_record(text), event))
+def _csv_parts(text: Column) -> Column:
+    """Header and payload maps of a CSV text."""
 
-
-def _csv_events(text: Column) -> Column:
-    def rows(records: Column) -> Column:
+    def parts(records: Column) -> Column:
         body = F.slice(records, F.lit(2), F.size(records))
         return bind(
             split_csv_fields(F.get(records, F.lit(0))),
-            lambda header: F.transform(
-                body,
-                lambda record: F.struct(
-                    F.lit(None).cast("string").alias("time_text"),
-                    csv_payload(header, record).alias("payload"),
-                ),
+            lambda header: F.struct(
+                header.alias("header"),
+                F.transform(body, lambda record: csv_payload(header, record)).alias("records"),
             ),
         )
 
-    return bind(split_csv_records(text), rows)
+    return bind(split_csv_records(text), parts)
+
+
+def _top_columns(names: Column) -> Column:
+    """Distinct top-level names as columns."""
+    return F.transform(
+        F.array_distinct(names), lambda k: F.struct(unmark(k).alias("name"), F.array(k).alias("path"))
+    )
+
+
+def _nested_columns(texts: Column) -> Column:
+    """Columns of records with nested objects, from the first record of each structure."""
+
+    def first_of_each(skeletons: Column) -> Column:
+        return F.transform(
+            F.array_distinct(skeletons),
+            lambda shape: leaf_columns(parse_record(F.get(texts, F.array_position(skeletons, shape).cast("int") - 1))),
+        )
+
+    return F.array_distinct(F.flatten(bind(F.transform(texts, skeleton), first_of_each)))
 
 
 def _sensor(source: Column) -> Column:
     return F.coalesce(F.when(source != "", source), F.lit("generic_sensor"))
 
 
-def _all_columns(names: Column) -> Column:
+def _all_columns(columns: Column) -> Column:
     """Payload columns in order, then the event's own time and sensor."""
-    return F.array_distinct(F.concat(names, F.array(F.lit("event_timestamp"), F.lit("sensor_id"))))
+    own = [F.struct(F.lit(n).alias("name"), F.array(F.lit(n)).alias("path")) for n in ("event_timestamp", "sensor_id")]
+    return F.array_distinct(F.concat(columns, F.array(*own)))
 
 
 def route_format(files: DataFrame) -> DataFrame:
@@ -176,43 +206,106 @@ def route_format(files: DataFrame) -> DataFrame:
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """Whole files to `events` array<struct<time_text, payload>> and the ordered `columns` of the file.
+    """Whole files to `records` array<map>, their `format`, and the ordered `columns` of the file.
 
-    Both stay on the file's row, so finding out which columns a file has needs no shuffle.
+    All stay on the file's row, so finding out which columns a file has needs no shuffle. Records
+    are not flattened: a column is a dotted name and the keys that lead to its values, so that only
+    the values that are wanted get read.
+
+    Most JSON files parse in one go (`fast`), closed by one more object that shows whether the
+    document ended where the text does. Texts of single records are needed only for files with
+    items that are no objects, and for the structure of files with nested objects. The steps are
+    columns, not nested lambdas, because a lambda copies the arrays it hands on.
     """
-    routed = route_format(files)
-    parsed = routed.withColumn(
-        "events",
-        F.when(F.col("format") == "JSON", _json_events(F.col("json_records"))).otherwise(
-            _csv_events(F.col("text"))
-        ),
-    ).drop("json_records", "text")
-    names = F.flatten(F.transform("events", lambda e: F.map_keys(e["payload"])))
-    return parsed.withColumn("columns", _all_columns(names))
+    kept = [c for c in files.columns if c != "text"]
+    body, fast, texts = F.col("body"), F.col("fast"), F.col("json_texts")
+    is_array = F.startswith(body, F.lit("["))
+    opened = files.withColumn("body", _body(F.col("text"))).withColumns(
+        {
+            "root_array": F.when(
+                is_array, F.from_json(_closed(body, "]", ',{"\\u0002end":0}'), _RECORDS, STRICT_JSON)
+            ),
+            "root_object": F.when(
+                F.startswith(body, F.lit("{")),
+                F.from_json(_closed(body, "}", ',"\\u0002end":0'), RECORD, STRICT_JSON),
+            ),
+        }
+    )
+    array_ends = F.map_contains_key(F.try_element_at("root_array", F.lit(-1)), _SENTINEL)
+    inner = F.transform(
+        F.filter(F.map_values("root_object"), _starts_with_object),
+        lambda v: F.from_json(v, _RECORDS, STRICT_JSON),
+    )
+    in_one_go = F.when(array_ends, F.col("root_array")).when(
+        F.map_contains_key("root_object", _SENTINEL), F.flatten(inner)
+    )
+    is_fast = fast.isNotNull() & (F.size(fast) > 0) & ~F.exists(fast, lambda r: r.isNull())
+    staged = opened.withColumn("fast", in_one_go).select(
+        *kept, "text", "body", F.when(is_fast, fast).alias("fast")
+    )
+    single = F.when(fast.isNotNull() & is_array, F.from_json(body, _ITEMS, STRICT_JSON)).otherwise(
+        _body_records(body)
+    )
+    staged = staged.withColumn(
+        "json_texts", F.when(fast.isNull() | body.rlike(_NESTED), single)
+    ).drop("body")
+    is_json = fast.isNotNull() | texts.isNotNull()
+    keys = F.array_remove(F.flatten(F.transform(fast, F.map_keys)), _SENTINEL)
+    staged = staged.withColumn("csv", F.when(~is_json, _csv_parts(F.col("text")))).drop("text")
+    columns = F.coalesce(
+        F.when(texts.isNotNull(), _nested_columns(texts)),
+        F.when(fast.isNotNull(), _top_columns(keys)),
+        _top_columns(F.col("csv.header")),
+        F.array().cast(_COLUMNS),
+    )
+    staged = staged.withColumn("columns", columns)
+    records = (
+        F.when(fast.isNotNull(), fast)
+        .when(texts.isNotNull(), F.transform(texts, parse_record))
+        .otherwise(F.col("csv.records"))
+    )
+    # Where a plain key with a dot and a nested object give one name, flat records settle it.
+    names = F.col("columns.name")
+    clash = F.size(F.array_distinct(names)) < F.size(names)
+    return staged.select(
+        *kept,
+        F.when(is_json, "JSON").otherwise("CSV").alias("format"),
+        F.when(clash, F.transform(records, lambda r: flatten_record(r, clean=False))).otherwise(records).alias("records"),
+        _all_columns(F.when(clash, _top_columns(names)).otherwise(F.col("columns"))).alias("columns"),
+    )
 
 
-def explode_events(parsed: DataFrame) -> DataFrame:
-    """One row per event. The sensor is the source; a file's time dates events without their own.
+def explode_records(parsed: DataFrame) -> DataFrame:
+    """One row per event with its unflattened `record`. The sensor is the source; a file's time
+    dates events without their own.
 
     The outer form keeps Spark from adding a filter on the array below, which would parse each
     file a second time.
     """
-    kept = [c for c in parsed.columns if c not in ("events", "columns", "format")]
-    rows = parsed.select(*kept, F.posexplode_outer("events").alias("line", "event")).filter(
-        F.col("line").isNotNull()
+    kept = [c for c in parsed.columns if c not in ("records", "columns")]
+    rows = parsed.select(*kept, F.posexplode_outer("records").alias("line", "record")).filter(
+        F.col("line").isNotNull() & ~F.map_contains_key("record", _SENTINEL)
     )
-    return rows.select(
-        *[c for c in kept if c != "modified"],
+    dated = rows.withColumn(
+        "time_text", F.when(F.col("format") == "JSON", time_value(F.col("record")))
+    ).withColumn("time_number", time_number(F.col("time_text")))
+    return dated.select(
+        *[c for c in kept if c not in ("modified", "format")],
+        "format",
         F.col("line").cast("long").alias("position"),
-        event_time(F.col("event.time_text"), F.col("modified")).alias("event_timestamp"),
+        F.coalesce(event_time(F.col("time_text"), F.col("time_number")), F.col("modified")).alias(
+            "event_timestamp"
+        ),
         _sensor(F.col("source")).alias("sensor_id"),
-        F.col("event.payload").alias("payload"),
+        "record",
     )
 
 
 def extract_events(files: DataFrame) -> DataFrame:
     """Files (source, file_path, modified, text) to events with flat payloads."""
-    return explode_events(parse_files(files))
+    rows = explode_records(parse_files(files))
+    payload = F.when(F.col("format") == "JSON", flatten_record(F.col("record"))).otherwise(F.col("record"))
+    return rows.withColumn("payload", payload).drop("record", "format")
 
 
 def _line_position() -> Column:
@@ -239,7 +332,7 @@ def large_csv_headers(lines: DataFrame) -> DataFrame:
     message = F.concat(F.lit("a JSON document this large cannot be split: "), F.col("file_path"))
     checked = F.when(document, F.raise_error(message).cast("string")).otherwise(F.col("first_line"))
     header = first.withColumn("header", split_csv_fields(checked)).drop("first_line")
-    return header.withColumn("columns", _all_columns(F.col("header")))
+    return header.withColumn("columns", _all_columns(_top_columns(F.col("header"))))
 
 
 def large_csv_events(lines: DataFrame, headers: DataFrame) -> DataFrame:
@@ -262,5 +355,5 @@ def large_csv_events(lines: DataFrame, headers: DataFrame) -> DataFrame:
         _line_position().alias("position"),
         F.col("modified").alias("event_timestamp"),
         _sensor(F.col("source")).alias("sensor_id"),
-        csv_payload(F.col("header"), checked).alias("payload"),
+        csv_payload(F.col("header"), checked).alias("record"),
     )

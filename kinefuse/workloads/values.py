@@ -104,7 +104,8 @@ def event_time(spark: SparkSession, folder: str) -> DataFrame:
         "o_orderkey", payload.parse_record(payload.mark_text(document)).alias("record")
     )
     rows = rows.withColumn("time_text", times.time_value(F.col("record")))
-    time = times.event_time(F.col("time_text"), fallback)
+    number = times.time_number(F.col("time_text"))
+    time = F.coalesce(times.event_time(F.col("time_text"), number), fallback)
     return rows.select("o_orderkey", F.date_format(time, TIME_TEXT).alias("event_time"))
 
 

@@ -8,10 +8,11 @@ import random
 
 from pyspark.sql import functions as F
 
-from kinefuse.functions.payload import flatten_record, key_paths, mark_text, parse_record
+from kinefuse.functions.payload import flatten_record, key_paths, mark_text, parse_record, unmark, value_at
 from kinefuse.functions.text import lenient_utf8
-from kinefuse.functions.times import event_time, iso_time, time_value
+from kinefuse.functions.times import event_time, iso_time, time_number, time_value
 from kinefuse.sources.extract import (
+    explode_records,
     extract_events,
     json_records,
     parse_files,
@@ -77,8 +78,8 @@ def test_documents(spark):
 
 def test_file_columns_keep_first_appearance(spark):
     text = '[{"n":{"b":1},"a":2},{"c":3,"sensor_id":4,"n":{"d":5}}]'
-    row = parse_files(files(spark, [text])).select("columns").first()
-    assert row.columns == ["a", "n.b", "c", "sensor_id", "n.d", "event_timestamp"]
+    row = parse_files(files(spark, [text])).select("columns.name").first()
+    assert row.name == ["a", "n.b", "c", "sensor_id", "n.d", "event_timestamp"]
 
 
 def _records(text):
@@ -207,7 +208,7 @@ def test_event_times(spark):
     }
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string")
     value = frame.select("i", time_value(parse_record(mark_text(F.col("t")))).alias("v"))
-    rows = value.select("i", event_time(F.col("v"), F.lit(MODIFIED)).alias("time")).collect()
+    rows = value.select("i", F.coalesce(event_time(F.col("v"), time_number(F.col("v"))), F.lit(MODIFIED)).alias("time")).collect()
     for row in rows:
         text = list(cases)[row.i]
         assert row.time == cases[text], text
@@ -219,3 +220,36 @@ def test_lenient_decode(spark):
     frame = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(cases)], "i int, c binary")
     for row in frame.select("i", lenient_utf8(F.col("c")).alias("t")).collect():
         assert row.t == cases[row.i].decode("utf-8", errors="ignore")
+
+
+def test_paths_read_what_flattening_gives(spark):
+    """Per file, the columns in order of first appearance, and by path the value of every event."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(120):
+        items = [_value(rng, 3) for _ in range(rng.randrange(1, 6))]
+        if rng.random() < 0.7:
+            items = [x for x in items if isinstance(x, dict)]
+        document = items if rng.random() < 0.6 else {"n": 1, "first": items, "second": items[:1]}
+        texts.append(json.dumps(document))
+    parsed = parse_files(files(spark, texts))
+    columns = {int(r.file_path[-4:]): r.name for r in parsed.select("file_path", "columns.name").collect()}
+    rows = explode_records(parsed.withColumn("found", F.col("columns")))
+    read = F.transform("found", lambda c: unmark(value_at(F.col("record"), c["path"])))
+    have = {(int(r.file_path[-4:]), r.position): r.v for r in rows.select("file_path", "position", read.alias("v")).collect()}
+    count = 0
+    for i, text in enumerate(texts):
+        flat = [_flat(record) for record in _records(text)]
+        names = list(dict.fromkeys(name for f in flat for name in f))
+        assert columns[i] == names + ["event_timestamp", "sensor_id"], text
+        for place, f in enumerate(flat):
+            for name, value in zip(names, have[(i, place)]):
+                if name not in f and value is not None:
+                    # The name is an object here; as a number its text is null.
+                    assert isinstance(json.loads(value.replace("\\u0002", "")), dict)
+                elif not isinstance(f.get(name), (list, bool, int, float)):
+                    assert value == f.get(name), (text, place, name)
+                elif not isinstance(f[name], list):
+                    assert json.loads(value) == f[name]
+            count += 1
+    assert count == len(have)

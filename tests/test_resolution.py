@@ -73,10 +73,12 @@ def test_both_forms_against_plain_python(spark):
     for row in tall.collect():
         assert {k: row[k] for k in expected[row.source]} == expected[row.source], row.source
     listed = event_frame.groupBy("source").agg(
-        F.array_sort(F.collect_list(F.struct("position", F.map_keys("payload")[0].alias("name"))))["name"].alias("columns")
+        F.array_sort(F.collect_list(F.struct("position", F.map_keys("payload")[0].alias("name"))))["name"].alias("names")
     )
-    for row in resolution.resolve_on_row(listed.join(map_frame, "source")).collect():
-        assert {k: row[k] for k in expected[row.source]} == expected[row.source], row.source
+    columns = F.transform("names", lambda n: F.struct(n.alias("name"), F.split(n, r"\.").alias("path")))
+    for row in resolution.resolve_on_row(listed.withColumn("columns", columns).join(map_frame, "source")).collect():
+        found = {k: None if row[k] is None else ".".join(row[k]) for k in expected[row.source]}
+        assert found == expected[row.source], row.source
 
 
 def test_roles(spark):
