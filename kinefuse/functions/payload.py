@@ -138,15 +138,11 @@ def _leaves(record: Column, levels: tuple[int, ...]) -> Column:
     return repeat_while(ordered, _holds_object, _expand, levels[1:])
 
 
-def flatten_record(record: Column, clean: bool = True, levels: tuple[int, ...] = LEVELS) -> Column:
-    """Nested objects to dotted names. Plain keys come first, then nested ones; arrays stay whole.
-
-    With `clean`, the marks on values are taken away.
-    """
+def flatten_record(record: Column, levels: tuple[int, ...] = LEVELS) -> Column:
+    """Nested objects to dotted names. Plain keys come first, then nested ones; arrays stay whole."""
 
     def entry(e: Column) -> Column:
-        value = _clean(e["value"]) if clean else e["value"]
-        return F.struct(e["key"].alias("key"), value.alias("value"))
+        return F.struct(e["key"].alias("key"), _clean(e["value"]).alias("value"))
 
     return entries_to_map(F.transform(_leaves(record, levels), entry))
 
@@ -159,14 +155,18 @@ def leaf_columns(record: Column, levels: tuple[int, ...] = LEVELS) -> Column:
 
 
 def value_at(record: Column, path: Column) -> Column:
-    """Value at a path of keys in a parsed record; only a path into nested objects parses them."""
+    """Value at a path of keys in a parsed record; only a path into nested objects parses them.
+
+    A record without the nested value may have it under the dotted name as a plain key.
+    """
     top = F.try_element_at(record, F.get(path, F.lit(0)))
     inner = F.aggregate(
         F.slice(path, F.lit(2), F.size(path)),
         top,
         lambda value, key: F.try_element_at(parse_record(value), key),
     )
-    return F.when(F.size(path) == 1, top).otherwise(inner)
+    dotted = F.try_element_at(record, F.array_join(path, "."))
+    return F.when(F.size(path) == 1, top).otherwise(F.coalesce(inner, dotted))
 
 
 # In compact JSON: keys are kept, all other texts, numbers and words are taken out.

@@ -50,11 +50,14 @@ def resolve_on_row(df: DataFrame) -> DataFrame:
 
     Adds the paths of its location columns as `lat_col` and `lon_col`.
     """
-    names = F.col("columns.name")
+    names = F.array_distinct("columns.name")
     found = {**{role: resolve_in(names, F.col(role)) for role in ROLES}, **location_columns(names)}
 
     def path(name: Column) -> Column:
-        return F.get("columns", F.array_position(names, name).cast("int") - 1)["path"]
+        """Where one name is both a plain key and a nested one, the longer path; it reads both."""
+        fitting = F.filter("columns", lambda c: c["name"] == name)
+        ranked = F.transform(fitting, lambda c: F.struct(F.size(c["path"]).alias("size"), c["path"].alias("path")))
+        return F.array_max(ranked)["path"]
 
     return df.withColumns(found).withColumns({c: path(F.col(c)) for c in found})
 

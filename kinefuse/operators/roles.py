@@ -45,17 +45,21 @@ def source_key_paths(files: DataFrame) -> DataFrame:
     return paths.groupBy("source").agg(F.array_sort(F.collect_set("path")).alias("paths"))
 
 
-def column_profile(events: DataFrame) -> DataFrame:
-    """Per source and payload column: numeric values, and how many are not zero."""
-    entries = events.select("source", F.explode_outer("payload").alias("column", "value")).filter(
-        F.col("column").isNotNull()
-    )
+def column_profile(cells: DataFrame) -> DataFrame:
+    """Per source and column, from (source, column, value): numeric values, and how many are not zero."""
     number = text_to_number(F.col("value"))
-    return entries.groupBy("source", "column").agg(
+    return cells.groupBy("source", "column").agg(
         F.count(number).alias("numbers"), F.count_if(number != 0).alias("nonzero")
     )
 
 
+def payload_cells(events: DataFrame) -> DataFrame:
+    """Events (source, payload) to one row per payload entry."""
+    return events.select("source", F.explode_outer("payload").alias("column", "value")).filter(
+        F.col("column").isNotNull()
+    )
+
+
 def word_match(column: Column, role: str) -> Column:
     """2 when the last part of the name is one of the role's words, 1 when it contains one, else 0."""
     base = F.lower(F.substring_index(column, ".", -1))

@@ -10,11 +10,12 @@ from kinefuse.operators.export import unified_rows, union_sections
 from kinefuse.operators.network import named_elements
 from kinefuse.operators.physics import kinematics, unmapped_kinematics
 from kinefuse.operators.resolution import resolve_on_row
-from kinefuse.operators.roles import column_profile, discover_roles, scrub_map
+from kinefuse.operators.roles import column_profile, discover_roles, payload_cells, scrub_map
 from kinefuse.schemas import KINEMATIC_ROW, ROLES
 from kinefuse.sinks.landing import write_raw_landing
 from kinefuse.sinks.tables import write_sections
 from kinefuse.sources.extract import (
+    column_values,
     explode_records,
     extract_events,
     large_csv_events,
@@ -46,14 +47,15 @@ def discover_maps(spark: SparkSession, sources: DataFrame, folders: list[str]) -
     """Kinematic map per source path from the first file of each folder; no other file is opened."""
     paths = sample_paths(spark, folders)
     source = F.col("source_path").alias("source")
-    samples = extract_events(read_text_files(spark, folders, paths)).select(source, "payload")
+    parsed = parse_files(read_text_files(spark, folders, paths))
+    cells = column_values(parsed).select(source, "column", "value")
     lines = read_large_files(spark, folders, paths)
     if not lines.isEmpty():
         headers = write_and_read(large_csv_headers(lines), "headers")
         rows = large_csv_events(lines, headers).select(source, F.col("record").alias("payload"))
-        samples = samples.unionByName(rows)
+        cells = cells.unionByName(payload_cells(rows))
     associations = sources.select(F.col("path").alias("source"), "association_type")
-    return scrub_map(discover_roles(column_profile(samples), associations))
+    return scrub_map(discover_roles(column_profile(cells), associations))
 
 
 def source_maps(sources: DataFrame, maps: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from kinefuse.functions.payload import (
     parse_record,
     skeleton,
     unmark,
+    value_at,
 )
 from kinefuse.functions.times import event_time, time_number, time_value
 
@@ -264,14 +265,11 @@ def parse_files(files: DataFrame) -> DataFrame:
         .when(texts.isNotNull(), F.transform(texts, parse_record))
         .otherwise(F.col("csv.records"))
     )
-    # Where a plain key with a dot and a nested object give one name, flat records settle it.
-    names = F.col("columns.name")
-    clash = F.size(F.array_distinct(names)) < F.size(names)
     return staged.select(
         *kept,
         F.when(is_json, "JSON").otherwise("CSV").alias("format"),
-        F.when(clash, F.transform(records, lambda r: flatten_record(r, clean=False))).otherwise(records).alias("records"),
-        _all_columns(F.when(clash, _top_columns(names)).otherwise(F.col("columns"))).alias("columns"),
+        records.alias("records"),
+        _all_columns(F.col("columns")).alias("columns"),
     )
 
 
@@ -301,6 +299,17 @@ def explode_records(parsed: DataFrame) -> DataFrame:
     )
 
 
+def column_values(parsed: DataFrame) -> DataFrame:
+    """Parsed files to one row per event and column: (source_path, column, value)."""
+    rows = explode_records(parsed.withColumn("listed", F.col("columns")))
+    cells = rows.select("source_path", "record", F.explode_outer("listed").alias("column"))
+    return cells.select(
+        "source_path",
+        F.col("column.name").alias("column"),
+        unmark(value_at(F.col("record"), F.col("column.path"))).alias("value"),
+    )
+
+
 def extract_events(files: DataFrame) -> DataFrame:
     """Files (source, file_path, modified, text) to events with flat payloads."""
     rows = explode_records(parse_files(files))

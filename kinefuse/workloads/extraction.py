@@ -346,7 +346,7 @@ def discover_roles(spark: SparkSession, folder: str) -> DataFrame:
     kinds = events.select("source").distinct().withColumn(
         "association_type", F.when(F.col("source") == "N", "GLOBAL").otherwise("LOCAL")
     )
-    return roles.discover_roles(roles.column_profile(events), kinds)
+    return roles.discover_roles(roles.column_profile(roles.payload_cells(events)), kinds)
 
 
 _MAP_ROLES = {

@@ -97,7 +97,7 @@ def test_roles(spark):
         [(s, "GLOBAL" if s == "global" else "LOCAL") for s in ("mixed", "parts", "global", "words", "nothing")],
         "source string, association_type string",
     )
-    got = {r.source: r for r in roles.discover_roles(roles.column_profile(frame), kinds).collect()}
+    got = {r.source: r for r in roles.discover_roles(roles.column_profile(roles.payload_cells(frame)), kinds).collect()}
 
     def chosen(source):
         return {role: got[source][role] for role in ROLES if got[source][role] is not None}
