@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinefuse.functions.numbers import nan_to_null, safe_divide, text_to_number
 from kinefuse.functions.payload import unmark, value_at
-from kinefuse.schemas import KINEMATIC_FIELDS, MEASURES
+from kinefuse.schemas import KINEMATIC_FIELDS, MEASURES, ROLES
 
 MILLIS_PER_HOUR = 3_600_000.0
 
@@ -30,46 +28,56 @@ def named_number(name: Column) -> Column:
     )
 
 
-def path_number(path: Column) -> Column:
-    """The same for a path of keys into the unflattened `record`."""
+def path_text(path: Column) -> Column:
+    """The same, as text, for a path of keys into the unflattened `record`."""
     return (
-        F.when(path == F.array(F.lit("event_timestamp")), _own_nanos())
-        .when(path == F.array(F.lit("sensor_id")), text_to_number(F.col("sensor_id")))
-        .when(path.isNotNull(), text_to_number(unmark(value_at(F.col("record"), path))))
+        F.when(path == F.array(F.lit("event_timestamp")), _own_nanos().cast("string"))
+        .when(path == F.array(F.lit("sensor_id")), F.col("sensor_id"))
+        .when(path.isNotNull(), unmark(value_at(F.col("record"), path)))
     )
 
 
-def mask_global(association: Column, name: Column) -> Column:
-    """Column name, null for a GLOBAL source."""
-    return F.when(F.upper(association) == "GLOBAL", None).otherwise(name)
+def mask_global(association: Column, value: Column) -> Column:
+    """Value, null for a GLOBAL source."""
+    return F.when(F.upper(association) == "GLOBAL", None).otherwise(value)
 
 
-def kinematic_projection(
-    events: DataFrame, number: Callable[[Column], Column] = named_number
-) -> DataFrame:
+def kinematic_projection(events: DataFrame) -> DataFrame:
     """Events with resolved role columns to per-event speed, flow, intensity and location.
 
-    `number` reads what a role column points to: a name in the payload, or a path in the record.
+    Role columns hold names of `payload` columns.
+    """
+    places = (*ROLES, "lat_col", "lon_col")
+    return _project(events, {c: named_number(F.col(c)) for c in places})
+
+
+def path_projection(events: DataFrame) -> DataFrame:
+    """The same for role columns that hold paths into the unflattened `record`.
 
-    Speed comes from its own column or from distance over time, intensity from its own column or
+    The texts are columns of their own, so that each is looked up once and not once per use.
+    """
+    places = (*ROLES, "lat_col", "lon_col")
+    read = events.withColumns({f"{c}_text": path_text(F.col(c)) for c in places})
+    return _project(read, {c: text_to_number(F.col(f"{c}_text")) for c in places})
+
+
+def _project(events: DataFrame, number: dict[str, Column]) -> DataFrame:
+    """Speed comes from its own column or from distance over time, intensity from its own column or
     from occupancy. A GLOBAL source has no flow and intensity columns but keeps occupancy.
     """
     association = F.col("association_type")
-    flow_col = mask_global(association, F.col("flow_col"))
-    intensity_col = mask_global(association, F.col("intensity_col"))
-    derived = F.when(
-        F.col("distance_col").isNotNull() & F.col("time_col").isNotNull(),
-        safe_divide(number(F.col("distance_col")), number(F.col("time_col"))),
-    )
+    has_both = F.col("distance_col").isNotNull() & F.col("time_col").isNotNull()
+    derived = F.when(has_both, safe_divide(number["distance_col"], number["time_col"]))
+    has_intensity = mask_global(association, F.col("intensity_col")).isNotNull()
     return events.withColumns(
         {
-            "speed_val": F.when(F.col("speed_col").isNotNull(), number(F.col("speed_col"))).otherwise(
-                derived
+            "speed_val": F.when(F.col("speed_col").isNotNull(), number["speed_col"]).otherwise(derived),
+            "flow_val": mask_global(association, number["flow_col"]),
+            "intensity_val": F.when(has_intensity, number["intensity_col"]).otherwise(
+                number["occupancy_col"]
             ),
-            "flow_val": number(flow_col),
-            "intensity_val": number(F.coalesce(intensity_col, F.col("occupancy_col"))),
-            "lat": number(F.col("lat_col")),
-            "lon": number(F.col("lon_col")),
+            "lat": number["lat_col"],
+            "lon": number["lon_col"],
         }
     )
 
@@ -167,7 +175,7 @@ FILE_KEYS = ("source_path", "source", "file_path", "sensor_id")
 def kinematics(events: DataFrame) -> DataFrame:
     """Event records with resolved paths to one row per file and sensor."""
     fields = (*FILE_KEYS, "event_timestamp", *KINEMATIC_FIELDS)
-    projected = kinematic_projection(events, path_number).select(*fields, "position")
+    projected = path_projection(events).select(*fields, "position")
     return summarise(projected, list(FILE_KEYS)).select(*fields)
 
 
