@@ -56,12 +56,12 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame
 def with_stream_start(encoded: DataFrame) -> DataFrame:
     """Adds stream_start: the ids of all partitions before this one plus the place in it.
 
-    The running sum is over one row per partition, so it is as small as the list of partitions.
+    The running sum is over one row per partition; it is no larger than the list of partitions and is broadcast.
     """
     totals = encoded.groupBy("part").agg(F.sum("n").alias("_ids"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("_ids").over(before), F.lit(0)).alias("_before"))
-    return encoded.join(offsets, "part").withColumn("stream_start", F.col("_before") + F.col("place")).drop("_before")
+    return encoded.join(F.broadcast(offsets), "part").withColumn("stream_start", F.col("_before") + F.col("place")).drop("_before")
 
 
 def cut(encoded: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -66,11 +66,14 @@ def read_token_files(spark: SparkSession, path: str, wanted: Column | None = Non
 
 
 def with_start(rows: DataFrame, all_rows: DataFrame) -> DataFrame:
-    """Adds start: the ids of all documents before. all_rows: the whole files, from which only n_tokens by part are read."""
+    """Adds start: the ids of all documents before. all_rows: the whole files, from which only n_tokens by part are read.
+
+    The sums are one row per part, no more than the list of partitions, and are broadcast.
+    """
     totals = all_rows.groupBy("part").agg(F.sum("n_tokens").alias("_ids"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("_ids").over(before), F.lit(0)).alias("_before"))
-    return rows.join(offsets, "part").withColumn("start", F.col("_before") + F.col("place")).drop("_before", "place", "part")
+    return rows.join(F.broadcast(offsets), "part").withColumn("start", F.col("_before") + F.col("place")).drop("_before", "place", "part")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,9 +21,9 @@ from pyspark import TaskContext
 
 END_ID = 0
 #: Most stems that a worker process remembers (about 150 bytes each); beyond it starts anew.
-STEMS = 800_000
+STEMS = 400_000
 #: Texts are encoded in runs of about this many bytes, which bounds a task's memory.
-RUN_BYTES = 16_000_000
+RUN_BYTES = 6_000_000
 
 _TAIL = ".,!|$%&*#"
 _ODD_FIRST = "᠎​﻿"
