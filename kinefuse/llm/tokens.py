@@ -1,10 +1,10 @@
 """Token ids of whole texts, by the tokenizers library.
 
-A byte-level BPE tokenizer first cuts a text into words and never merges across a cut. A space that
-is followed by neither white space nor the end is always such a cut, so a text can be encoded in
-pieces, and every distinct piece needs the tokenizer only once. Texts whose spaces are not all of
-that kind are encoded as they stand. Each worker process keeps the ids of the word stems it has
-met, up to STEMS of them.
+A byte-level BPE tokenizer first cuts a text into words and never merges across a cut. In a text whose
+white space is single spaces and line breaks it always cuts before a space, around a line break, and
+between a letter and punctuation that ends a word. Such texts are encoded in these pieces, and every
+distinct piece needs the tokenizer only once; other texts are encoded as they stand. Each worker
+process keeps the ids of the pieces it has met lately, up to PIECES of them.
 """
 
 from __future__ import annotations
@@ -20,13 +20,17 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 
 END_ID = 0
-#: Most stems that a worker process remembers (about 150 bytes each); beyond it starts anew.
-STEMS = 400_000
+#: Most pieces that a worker process remembers, about 150 bytes each.
+PIECES = 400_000
 #: Texts are encoded in runs of about this many bytes, which bounds a task's memory.
 RUN_BYTES = 6_000_000
 
-_TAIL = ".,!|$%&*#"
-_ODD_FIRST = "᠎​﻿"
+# White space and control characters. Texts with two in a row, or with others than space and line break, are encoded whole.
+_WHITE = r"\x00-\x20\x7f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}"
+_IRREGULAR = rf"[{_WHITE}][{_WHITE}]|[\x00-\x09\x0b-\x1f\x7f\x{{85}}\x{{a0}}\x{{1680}}\x{{180e}}\x{{2000}}-\x{{200f}}\x{{2028}}-\x{{202f}}\x{{205f}}-\x{{206f}}\x{{3000}}\x{{feff}}]"
+_WORD_END = r"([A-Za-zÀ-ÖØ-öø-ɏ])([.,!|$%&*#]+[\x00\n])"
+# Marks that no regular text holds: a cut, a text's end, a text encoded whole.
+_CUT, _END, _WHOLE = "\x00", "\x01", "\x02"
 _encoders: dict[str, "PieceEncoder"] = {}
 
 
@@ -51,91 +55,65 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # Two generations: what was not met again while the younger one filled up is forgotten.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def raw(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece, as little-endian unsigned 32-bit integers. A piece is a text that begins and ends at a cut."""
-        if len(self.known) > STEMS:
-            self.known = {}
-        known = self.known
+        """Ids of each piece, as little-endian unsigned 32-bit integers. Pieces are distinct."""
+        known, older = self.known, self.older
         ids = [known.get(piece) for piece in pieces]
         open_at = [k for k, found in enumerate(ids) if found is None]
-        if not open_at:
-            return ids
-        parts = [_parts(pieces[k]) for k in open_at]
-        missing = [x for x in {y for own in parts for y in own} if x not in known]
-        if missing:
-            known.update(zip(missing, self.raw(missing), strict=True))
-        for k, own in zip(open_at, parts, strict=True):
-            ids[k] = known[own[0]] if len(own) == 1 else b"".join([known[y] for y in own])
+        new = []
+        for k in open_at:
+            piece = pieces[k]
+            if piece in older:
+                known[piece] = ids[k] = older[piece]
+            else:
+                new.append(k)
+        if new:
+            for k, found in zip(new, self.raw([pieces[k] for k in new]), strict=True):
+                known[pieces[k]] = ids[k] = found
+        if len(known) > PIECES // 2:
+            self.known, self.older = {}, known
         return ids
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, each text ended by END_ID, and where each text begins (one more entry than texts)."""
         if len(texts) == 0:
             return np.empty(0, "<u4"), np.zeros(1, np.int64)
-        lists = pc.split_pattern(texts, " ")
-        flat, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        irregular = pc.match_substring_regex(texts, _IRREGULAR)
+        whole = np.flatnonzero(irregular.to_numpy(zero_copy_only=False))
+        kept = [texts[k].as_py() for k in whole.tolist()]
+        if kept:
+            texts = pc.replace_with_mask(texts, irregular, pa.array([f"{_WHOLE}{k}" for k in range(len(kept))], texts.type))
+        marked = pc.replace_substring(texts, " ", f"{_CUT} ")
+        marked = pc.binary_join_element_wise(marked, pa.scalar(_END, texts.type), pa.scalar(_CUT, texts.type))
+        marked = pc.replace_substring_regex(marked, _WORD_END, rf"\1{_CUT}\2")
+        marked = pc.replace_substring(marked, "\n", f"{_CUT}\n{_CUT}")
+        lists = pc.split_pattern(marked, _CUT)
+        at = lists.offsets.to_numpy().astype(np.int64)
         at -= at[0]
-        coded = flat.dictionary_encode()
-        index = coded.indices.to_numpy().astype(np.int64)
-        words = coded.dictionary.to_pylist()
-        odd = np.fromiter((not w or w[0].isspace() or w[0] in _ODD_FIRST or w[0] < " " for w in words), bool, len(words))
-        firsts = flat.take(pa.array(at[:-1])).to_pylist()
-        marks = odd[index]
-        marks[at[:-1]] = False
-        whole = np.add.reduceat(marks, at[:-1]) > 0
-        whole |= np.fromiter((w[:1].isspace() and w.strip() == "" for w in firsts), bool, len(firsts))
-        need = np.zeros(len(words), bool)
-        inner = np.ones(len(index), bool)
-        inner[at[:-1]] = False
-        inner &= ~np.repeat(whole, np.diff(at))
-        need[index[inner]] = True
-        ids = [b""] * len(words)
-        wanted = np.flatnonzero(need)
-        for k, found in zip(wanted.tolist(), self.pieces([" " + words[k] for k in wanted.tolist()]), strict=True):
-            ids[k] = found
-        heads = self.pieces([w if not odd_text else "" for w, odd_text in zip(firsts, whole.tolist(), strict=True)])
-        for k in np.flatnonzero(whole).tolist():
-            heads[k] = self.raw([texts[k].as_py()])[0]
-        end = np.array([END_ID], "<u4").tobytes()
-        table = ids + heads + [end]
+        coded = lists.flatten().dictionary_encode()
+        index, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        plain = [x for x in names if x[:1] not in (_END, _WHOLE)]
+        ids = dict(zip(plain, self.pieces(plain), strict=True))
+        ids[_END] = np.array([END_ID], "<u4").tobytes()
+        ids |= zip((f"{_WHOLE}{k}" for k in range(len(kept))), self.raw(kept), strict=True)
+        table = [ids[x] for x in names]
         lengths = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        begins = np.cumsum(lengths) - lengths
         pool = np.frombuffer(b"".join(table), "<u4")
-        # One table entry after the other, in the order of the texts; a text's first piece is its head, and its end follows.
-        order = index.astype(np.int32)
-        order[at[:-1]] = len(ids) + np.arange(len(firsts))
-        kept = inner
-        kept[at[:-1]] = True
-        order = np.insert(order, at[1:], len(table) - 1)
-        kept = np.insert(kept, at[1:], True)
-        begin_of_text = at[:-1] + np.arange(len(firsts))
-        take = np.where(kept, lengths[order], 0)
-        total = np.cumsum(take) - take
-        out = np.repeat((begins[order] - total), take)
-        out += np.arange(len(out))
-        return pool[out], np.append(total[begin_of_text], len(out))
-
-
-def _parts(piece: str) -> tuple[str, ...]:
-    """A piece cut further where the tokenizer always cuts: around single line breaks, before closing punctuation."""
-    if "\n" in piece:
-        lines = piece.split("\n")
-        if all(x and not x[0].isspace() and not x[-1].isspace() for x in [lines[0].lstrip(" "), *lines[1:]]):
-            parts = _parts(lines[0])
-            for line in lines[1:]:
-                parts += ("\n", *_parts(line))
-            return parts
-        return (piece,)
-    stem = piece.rstrip(_TAIL)
-    if stem and stem != piece and stem[-1].isalpha() and stem[-1] < "ɐ":
-        return stem, piece[len(stem) :]
-    return (piece,)
+        taken = lengths[index]
+        stops = np.cumsum(taken)
+        shift = (np.cumsum(lengths) - lengths)[index] - (stops - taken)
+        small = np.int32 if max(len(pool), stops[-1]) < 2**31 else np.int64
+        out = np.repeat(shift.astype(small), taken)
+        out += np.arange(len(out), dtype=small)
+        return pool[out], np.append((stops - taken)[at[:-1]], len(out))
 
 
 def encoded_runs(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
