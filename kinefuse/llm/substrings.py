@@ -176,27 +176,47 @@ def _packed(group, cut, shallow, deep, uid, tie, pos, met) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["grp", "shallow", "deep", "uid", "tie", "pos", "met"])
 
 
+REPEATED = "shard long, uid array<long>, tie array<int>, pos array<int>"
 FOUND = "_uid long, _tie int, places array<int>"
 
 
-def _subtree(suffixes: pa.Table) -> pa.Table:
-    """Positions of the suffixes that lie below a node of depth WINDOW with two leaves, by text."""
-    flat = {n: suffixes.column(n).combine_chunks().flatten().to_numpy(zero_copy_only=False) for n in ("shallow", "deep", "uid", "tie", "pos", "met")}
-    if suffixes.column("grp")[0].as_py() < 0:
-        repeated = np.ones(len(flat["pos"]), bool)
-    else:
-        order = np.lexsort((flat["deep"], flat["shallow"]))
-        shallow, deep = flat["shallow"][order], flat["deep"][order]
-        branch = (shallow[1:] == shallow[:-1]) & (deep[1:] == deep[:-1])
-        repeated = np.empty(len(order), bool)
-        repeated[order] = np.append(branch, False) | np.append(False, branch)
-        repeated |= flat["met"]
-    uid, tie, pos = flat["uid"][repeated], flat["tie"][repeated], flat["pos"][repeated]
+def _flat(table: pa.Table, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    return {n: table.column(n).combine_chunks().flatten().to_numpy(zero_copy_only=False) for n in names}
+
+
+def _subtree(shards: int):
+    """The suffixes below a node of depth WINDOW with two leaves, in one row for each shard of the texts."""
+
+    def find(suffixes: pa.Table) -> pa.Table:
+        flat = _flat(suffixes, ("shallow", "deep", "uid", "tie", "pos", "met"))
+        if suffixes.column("grp")[0].as_py() < 0:
+            repeated = np.ones(len(flat["pos"]), bool)
+        else:
+            order = np.lexsort((flat["deep"], flat["shallow"]))
+            shallow, deep = flat["shallow"][order], flat["deep"][order]
+            branch = (shallow[1:] == shallow[:-1]) & (deep[1:] == deep[:-1])
+            repeated = np.empty(len(order), bool)
+            repeated[order] = np.append(branch, False) | np.append(False, branch)
+            repeated |= flat["met"]
+        uid, tie, pos = flat["uid"][repeated], flat["tie"][repeated], flat["pos"][repeated]
+        shard = (mix(uid.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        shard = shard[order]
+        cut = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x[order])) for x in (uid, tie, pos)]
+        return pa.Table.from_arrays([pa.array(shard[cut[:-1]]), *lists], ["shard", "uid", "tie", "pos"])
+
+    return find
+
+
+def _by_text(repeated: pa.Table) -> pa.Table:
+    """One row for each text of a shard."""
+    uid, tie, pos = _flat(repeated, ("uid", "tie", "pos")).values()
     order = np.lexsort((pos, tie, uid))
     uid, tie, pos = uid[order], tie[order], pos[order]
-    first = np.flatnonzero(np.append(True, (uid[1:] != uid[:-1]) | (tie[1:] != tie[:-1]))) if len(uid) else np.empty(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(uid)).astype(np.int32)), pa.array(pos.astype(np.int32)))
-    return pa.Table.from_arrays([pa.array(uid[first]), pa.array(tie[first].astype(np.int32)), lists], ["_uid", "_tie", "places"])
+    first = np.flatnonzero(np.append(True, (uid[1:] != uid[:-1]) | (tie[1:] != tie[:-1])))[: len(uid)]
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(uid)).astype(np.int32)), pa.array(pos))
+    return pa.Table.from_arrays([pa.array(uid[first]), pa.array(tie[first]), lists], ["_uid", "_tie", "places"])
 
 
 def repeated_places(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, short: int = SHORT) -> tuple[DataFrame, DataFrame]:
@@ -216,8 +236,8 @@ def repeated_places(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     suffixes = (by_text.agg(F.sum(F.size("live"))).first()[0] or 0) * (window - anchor + 1) // 2
     groups = max(1, suffixes * 40 // GROUP_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     below = texts.join(by_text, ["_uid", "_tie"], "left").mapInArrow(_suffixes(window, anchor, short, groups), SUFFIXES)
-    found = below.groupBy("grp").applyInArrow(_subtree, FOUND)
-    return texts, found.groupBy("_uid", "_tie").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    repeated = below.groupBy("grp").applyInArrow(_subtree(groups), REPEATED)
+    return texts, repeated.groupBy("shard").applyInArrow(_by_text, FOUND)
 
 
 def _cut_texts(window: int):
