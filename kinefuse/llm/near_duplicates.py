@@ -129,7 +129,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row.
+    """doc_id, n_shingles, component_id, kept of every row, and _uid, _tie, which tell rows apart unless doc_id and text are equal.
 
     A null or empty text, or one of white space, has no shingles and is linked with nothing. Rows with
     equal doc_id share their component if their texts are linked, and both count as kept if they are
@@ -179,12 +179,27 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     of_class = classes.select("h1", "h2", "n", "first_id", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     firsts = of_class.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     of_class = of_class.join(firsts, "comp").select("h1", "h2", "n", "component_id", F.lit(True).alias("_known"))
-    rows = sketched.select("doc_id", "n", "h1", "h2").join(of_class, ["h1", "h2", "n"], "left")
+    rows = sketched.select("doc_id", "_uid", "_tie", "n", "h1", "h2").join(of_class, ["h1", "h2", "n"], "left")
     component = F.when(F.col("_known"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "_uid", "_tie").withColumn("kept", F.expr("doc_id <=> component_id"))
+
+
+def first_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, in all their columns, that are the first of their component; of rows with equal doc_id and text, one."""
+    key = ["_uid", "_tie"]
+    known = write_and_read(near_duplicates(docs, shingle, percent).select(*key, "kept"), "kept-rows")
+    dropped = known.where("not kept").select(*key).distinct()
+    repeated = known.where("kept").groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*key)
+    doc_id = docs["doc_id"].cast("long")
+    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(doc_id, F.xxhash64(docs["text"])).alias("_uid"), F.hash(docs["text"]).alias("_tie"))
+    gone = write_and_read(dropped.union(repeated).distinct(), "dropped-or-repeated")
+    single = rows.join(gone, key, "left_anti")
+    repeated = write_and_read(repeated, "repeated-rows")
+    once = rows.join(repeated, key, "left_semi").dropDuplicates(key)
+    return single.union(once).select("_row.*")
 
 
 @llm_query()
 def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Component of every document, with 3-word shingles and a similarity of 0.85 or more."""
-    return near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85)
+    return near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85).drop("_uid", "_tie")

@@ -32,4 +32,8 @@ def table(spark, folder: str, name: str):
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     for module in MODULES:
         importlib.import_module(f"kinefuse.llm.{module}")
+    pipeline = importlib.import_module("corpus_pipeline")
+    LLM_QUERIES["pipeline"] = pipeline.run
+    if pipeline.ORACLE_SQL:
+        LLM_ORACLES["pipeline"] = pipeline.ORACLE_SQL
     return LLM_QUERIES, LLM_ORACLES
