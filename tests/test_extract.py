@@ -41,10 +41,10 @@ def events_of(spark, texts):
 
 def test_documents(spark):
     cases = {
-        '[{"speed": 50, "time": 1600000000000}]': [{"speed": "50", "time": "1600000000000"}],
-        '{"alerts": [{"speed": 50}]}': [{"speed": "50"}],
-        "speed,time\n50,160000": [{"speed": "50", "time": "160000"}],
-        "\x00\x01\x02": [],
+        '[{"lane": 3, "gap_s": 1.75}, {"lane": 4}]': [{"lane": "3", "gap_s": "1.75"}, {"lane": "4"}],
+        '{"jams": [{"level": 2}, {"level": 5}], "page": 1}': [{"level": "2"}, {"level": "5"}],
+        "lane,gap_s\n3,1.75": [{"lane": "3", "gap_s": "1.75"}],
+        "\x03\x00\x7f": [],
         "": [],
         "12": [],
         '"[{}]"': [],
@@ -82,20 +82,6 @@ def test_file_columns_keep_first_appearance(spark):
     assert row.name == ["a", "n.b", "c", "sensor_id", "n.d", "event_timestamp"]
 
 
-def _records(text):
-    """Event objects as the standard parser gives them; None when the text is no JSON."""
-    try:
-        data = json.loads(text)
-    except json.JSONDecodeError:
-        return None
-    if isinstance(data, list):
-        return [x for x in data if isinstance(x, dict)]
-    if not isinstance(data, dict):
-        return None
-    lists = [v for v in data.values() if isinstance(v, list) and v and isinstance(v[0], dict)]
-    return [x for v in lists for x in v if isinstance(x, dict)] or [data]
-
-
 def _value(rng, depth):
     kind = rng.randrange(8 if depth else 5)
     if kind < 5:
@@ -105,21 +91,47 @@ def _value(rng, depth):
     return {rng.choice(["a", "b", "c.d", '{"k', "9", "ü"]): _value(rng, depth - 1) for _ in range(rng.randrange(4))}
 
 
-def test_random_documents_against_json(spark):
+def _document(rng):
+    """A document and the events it was built to hold; None where it holds no events by kind."""
+    kind = rng.randrange(5)
+    if kind == 0:
+        document, events = [], []
+        for _ in range(rng.randrange(5)):
+            if rng.random() < 0.7:
+                event = _value(rng, 2)
+                event = event if isinstance(event, dict) else {"v": event}
+                events.append(event)
+                document.append(event)
+            else:
+                document.append(rng.choice([1, None, "x", [2], True]))
+        return document, events
+    if kind == 1:
+        events = [{"n": k, "inner": _value(rng, 2)} for k in range(rng.randrange(1, 6))]
+        cut = rng.randrange(1, len(events) + 1)
+        document = {"page": 1, "first": [*events[:cut], 5], "none": [], "others": [1, {"n": -1}]}
+        if events[cut:]:
+            document["second"] = events[cut:]
+        return document, events
+    if kind == 2:
+        document = {"n": rng.randrange(9), "text": rng.choice(["x", 'q"', "é"]), "list": [1, 2]}
+        return document, [document]
+    return (rng.choice([12, "words", None, True]), None) if kind == 3 else ({}, [{}])
+
+
+def test_random_documents(spark):
     rng = random.Random(7)
-    texts = []
+    built = []
     for _ in range(400):
-        text = json.dumps(_value(rng, 4), ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
-        if rng.random() < 0.3:
-            place = rng.randrange(len(text) + 1)
-            text = text[:place] + rng.choice(["]", "}", ",", '"', " ", "1", "{"]) + text[place + rng.randrange(2) :]
-        texts.append(text)
-    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+        document, events = _document(rng)
+        text = json.dumps(document, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+        if isinstance(document, (dict, list)) and rng.random() < 0.3:
+            text, events = rng.choice([(text[:-1], None), (text + "]", None), ("," + text, None)])
+        built.append((text, events))
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(built)], "i int, t string")
     found = {r.i: r.r for r in frame.select("i", json_records(F.col("t")).alias("r")).collect()}
-    for i, text in enumerate(texts):
-        want = _records(text)
+    for i, (text, events) in enumerate(built):
         have = None if found[i] is None else [json.loads(x.replace("\\u0002", "")) for x in found[i]]
-        assert have == want, text
+        assert have == events, text
 
 
 def _flat(data):
@@ -225,13 +237,16 @@ def test_lenient_decode(spark):
 def test_paths_read_what_flattening_gives(spark):
     """Per file, the columns in order of first appearance, and by path the value of every event."""
     rng = random.Random(11)
-    texts = []
+    texts, events = [], []
     for _ in range(120):
-        items = [_value(rng, 3) for _ in range(rng.randrange(1, 6))]
-        if rng.random() < 0.7:
-            items = [x for x in items if isinstance(x, dict)]
-        document = items if rng.random() < 0.6 else {"n": 1, "first": items, "second": items[:1]}
-        texts.append(json.dumps(document))
+        items = [x for x in (_value(rng, 3) for _ in range(rng.randrange(1, 9))) if isinstance(x, dict)]
+        if rng.random() < 0.6:
+            texts.append(json.dumps([*items, 7, None]))
+            events.append(items)
+        else:
+            document = {"n": 1, "first": items, "second": items[:1]}
+            texts.append(json.dumps(document))
+            events.append(items + items[:1] if items else [document])
     parsed = parse_files(files(spark, texts))
     listed = parsed.select("file_path", "columns.name", "columns.path").collect()
     columns = {int(r.file_path[-4:]): r.name for r in listed}
@@ -241,7 +256,7 @@ def test_paths_read_what_flattening_gives(spark):
     have = {(int(r.file_path[-4:]), r.position): r.v for r in rows.select("file_path", "position", read.alias("v")).collect()}
     count = 0
     for i, text in enumerate(texts):
-        flat = [_flat(record) for record in _records(text)]
+        flat = [_flat(record) for record in events[i]]
         names = list(dict.fromkeys(name for f in flat for name in f))
         assert list(dict.fromkeys(columns[i])) == names + ["event_timestamp", "sensor_id"], text
         for place, f in enumerate(flat):

@@ -10,13 +10,13 @@ from kinefuse.sources.project import project_edges, project_nodes, project_sourc
 NET = """<?xml version="1.0"?>
 <net>
   <edge id=":i" function="internal"><lane id="l" shape="0,0 1,1"/></edge>
-  <edge id="e1" from="n1" to="n2"><lane id="a"/><lane id="b" shape="1,x 2,2"/><lane id="c" shape="10.5,20.5 30.0,40.0"/><lane id="d" shape="0,0 9,9"/></edge>
+  <edge id="e1" from="n1" to="n2"><lane id="a"/><lane id="b" shape="1,x 2,2"/><lane id="c" shape="3.25,-7.5 12.0,81.75"/><lane id="d" shape="0,0 9,9"/></edge>
   <edge id="-e1" from="n2" to="n1" function="normal"><lane shape="1,2,3 4,5,6 7,8,9"/></edge>
   <edge id="shapeless" from="n1" to="n2"><lane id="x"/></edge>
   <edge id="open" from="n1"><lane shape="0,0 1,1"/></edge>
   <edge id="point" from="n1" to="n2"><lane shape="5,6"/></edge>
   <edge id="gap" from="n1" to="n2"><lane shape="5,6  7,8"/></edge>
-  <junction id="n1" type="priority" x="10.5" y="20.5"/>
+  <junction id="n1" type="priority" x="64.0" y="-2.5"/>
   <junction id="n2" x="1" y="2"/>
   <junction id=":in" type="internal" x="1" y="2"/>
   <junction id="n3" type="dead_end" x="1"/>
@@ -32,10 +32,10 @@ def test_network_file(spark, tmp_path):
         target.write(NET)
     for path in (str(plain), str(packed)):
         nodes = {r.id: (r.x, r.y, r.node_type) for r in read_nodes(spark, path).collect()}
-        assert nodes == {"n1": (10.5, 20.5, "priority"), "n2": (1.0, 2.0, "unknown")}
+        assert nodes == {"n1": (64.0, -2.5, "priority"), "n2": (1.0, 2.0, "unknown")}
         edges = {r.id: (r.from_node, r.to_node, [tuple(p) for p in r.shape]) for r in read_edges(spark, path).collect()}
         assert edges == {
-            "e1": ("n1", "n2", [(10.5, 20.5), (30.0, 40.0)]),
+            "e1": ("n1", "n2", [(3.25, -7.5), (12.0, 81.75)]),
             "-e1": ("n2", "n1", [(1.0, 2.0), (4.0, 5.0), (7.0, 8.0)]),
             "point": ("n1", "n2", [(5.0, 6.0)]),
         }

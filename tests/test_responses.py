@@ -1,95 +1,71 @@
-"""Model responses against a plain reading of the same rules."""
+"""Model responses: what each text must give is stated by hand or known from how the text was built."""
 
 import json
 import random
-import re
 
 from pyspark.sql import functions as F
 
 from kinefuse.functions import responses as r
 
-WORDS = ("NULL", "NONE", "")
-
-
-def block(text):
-    """Start and end of the last balanced block, found by counting braces from the end."""
-    end, depth = text.rfind("}"), 0
-    for place in range(end, -1, -1):
-        depth += {"}": 1, "{": -1}.get(text[place], 0)
-        if depth == 0:
-            return place, end
-    return None, end
-
-
-def reasoning(text):
-    tagged = re.search(r"<think>(.*?)</think>", text, flags=re.DOTALL)
-    if tagged:
-        return tagged.group(1).strip()
-    start, end = block(text)
-    cut = len(text) if end < 0 else end if start is None else start
-    return re.sub(r"</?think>", "", text[:cut].strip()).strip()
+# Text, its last block, its reasoning, its fields.
+CASES = [
+    ("radar file, nothing to map", None, "radar file, nothing to map", {}),
+    ('loops first {"flow_col": "old"} then {"flow_col": "n_veh"} done', '{"flow_col": "n_veh"}', 'loops first {"flow_col": "old"} then', {"flow_col": "n_veh"}),
+    ("<think>metres over seconds</think>{\"time_col\": \"t_s\"}", '{"time_col": "t_s"}', "metres over seconds", {"time_col": "t_s"}),
+    ("columns look plain\n{\"speed_col\": \" kmh \"}", '{"speed_col": " kmh "}', "columns look plain", {"speed_col": "kmh"}),
+    ('{"speed_col": "null", "flow_col": "NONE", "time_col": "", "distance_col": null, "occupancy_col": 7}', '{"speed_col": "null", "flow_col": "NONE", "time_col": "", "distance_col": null, "occupancy_col": 7}', "", {"occupancy_col": "7"}),
+    ("distance_col = 'len_m',\nflow_col=None\n time_col=dur=2", None, "distance_col = 'len_m',\nflow_col=None\n time_col=dur=2", {"distance_col": "len_m", "time_col": "dur=2"}),
+    ("<think>short</think>\nintensity_col=\"k\"", None, "short", {"intensity_col": "k"}),
+    ("", None, "", {}),
+    ("ends } here", None, "ends", {}),
+    ("{ open only", None, "{ open only", {}),
+    ("outer {\"a\": {\"b\": \"c\"}}", '{"a": {"b": "c"}}', "outer", None),
+    ("not json {speed} flow_col=q", "{speed}", "not json", {"not json  flow_col": "q"}),
+    ("<think>never closed {\"speed_col\": \"ä 1\"}", '{"speed_col": "ä 1"}', "never closed", {"speed_col": "ä 1"}),
+]
 
 
-def fields(text):
-    start, end = block(text)
-    try:
-        data = json.loads(text[start : end + 1]) if start is not None else {}
-    except json.JSONDecodeError:
-        data = {}
-    found = {k: str(v).strip() for k, v in data.items() if v is not None and str(v).strip().upper() not in WORDS}
-    if found:
-        return found
-    bare = re.sub(r"\{[^}]*\}", "", re.sub(r"</?think>", "", text), flags=re.DOTALL)
-    for line in map(str.strip, bare.split("\n")):
-        if "=" in line:
-            key, value = line.split("=", 1)
-            value = value.strip().strip("\",'")
-            if value.upper() not in WORDS:
-                found[key.strip()] = value
-    return found
+def read(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = frame.select("i", r.last_json_text(F.col("t")).alias("block"), r.reasoning(F.col("t")).alias("reasoning"), r.response_fields(F.col("t")).alias("fields"))
+    return sorted(rows.collect(), key=lambda row: row.i)
 
 
-FIXED = [
-    "Some text before { 'invalid': json } { \"valid\": \"json\" } text after",
-    "No json here",
-    '<think>I am thinking</think>\n{"data": "value"}',
-    'I am thinking about this.\n{"data": "value"}',
-    '{"valid": "123", "empty": "", "null_str": "NULL", "none_str": "None", "real_null": null}',
-    "speed_col=v\nflow_col=NULL\nintensity_col=k",
-    '<think>Reasoning...</think>\n{"speed_col": "v"}',
-    "<think>Reasoning...</think>\nspeed_col=v",
-    "",
-    "}",
-    "a}b}",
-    "{",
-    "x {} y",
-    '<think>open {"a": "é 1"}',
-]
+def test_stated_responses(spark):
+    for row, (text, block, reasoning, fields) in zip(read(spark, [c[0] for c in CASES]), CASES, strict=True):
+        assert row.block == block, text
+        assert row.reasoning == reasoning, text
+        if fields is not None:
+            assert row.fields == fields, text
 
 
-def test_responses(spark):
+def test_responses_built_from_known_parts(spark):
     rng = random.Random(5)
-    pieces = ["{", "}", '{"a": "x"}', '{"b": {"c": "y"}}', "<think>", "</think>", "\n", " ", "k=v", "k = 'w',", "q=None", "=", "é", "text", "\t"]
-    texts = FIXED + ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 12))) for _ in range(400)]
-    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    rows = frame.select(
-        "i",
-        r.last_json_text(F.col("t")).alias("block"),
-        r.reasoning(F.col("t")).alias("reasoning"),
-        r.response_fields(F.col("t")).alias("fields"),
-    ).collect()
-    for row in rows:
-        text = texts[row.i]
-        start, end = block(text)
-        assert row.block == (None if start is None else text[start : end + 1]), repr(text)
-        assert row.reasoning == reasoning(text), repr(text)
-        want = fields(text)
-        # A nested object counts as its JSON text here.
-        nested = {k for k, v in want.items() if v.startswith("{")}
-        assert {k: v for k, v in row.fields.items() if k not in nested} == {
-            k: v for k, v in want.items() if k not in nested
-        }, repr(text)
-        assert set(row.fields) == set(want), repr(text)
+    thoughts = ["flow is counted", "no time column here", "Größe in m", "a = b"]
+    blocks = [{"speed_col": "v"}, {"flow_col": "q", "time_col": "t"}, {"intensity_col": "k {1}"[:1]}]
+    built = []
+    for _ in range(200):
+        thought, fields, tagged, noise = rng.choice(thoughts), rng.choice(blocks), rng.random() < 0.5, rng.choice(["", " {x} ", "\n"])
+        block = json.dumps(fields, indent=rng.choice([None, 1]))
+        text = f"<think>{thought}</think>{noise}{block}" if tagged else f"{thought}\n{noise}{block}"
+        built.append((text, block, thought if tagged else f"{thought}\n{noise}".strip(), fields))
+    for row, (text, block, reasoning, fields) in zip(read(spark, [b[0] for b in built]), built, strict=True):
+        assert (row.block, row.reasoning, row.fields) == (block, reasoning, fields), text
+
+
+def test_lines_built_from_known_parts(spark):
+    rng = random.Random(6)
+    built = []
+    for _ in range(100):
+        fields, lines = {}, []
+        for name in rng.sample(["speed_col", "flow_col", "time_col", "distance_col"], rng.randrange(1, 5)):
+            value, quote, gap = rng.choice(["v", "n veh", "NULL", "x-1"]), rng.choice(["", "'", '"']), rng.choice(["", " "])
+            lines.append(f"{gap}{name}{gap}={gap}{quote}{value}{quote}{rng.choice(['', ','])}{gap}")
+            if value != "NULL":
+                fields[name] = value
+        built.append(("\n".join(lines), fields))
+    for row, (text, fields) in zip(read(spark, [b[0] for b in built]), built, strict=True):
+        assert row.block is None and row.fields == fields, text
 
 
 def test_missing(spark):
