@@ -16,10 +16,6 @@ TEXT_MARK = "\u0002"
 RECORD = "map<string,string>"
 STRICT_JSON = {"allowSingleQuotes": "false"}
 
-# Levels of nesting that are opened, in groups: before each group one test decides whether anything
-# is left to open. What lies deeper stays as JSON text.
-LEVELS = (1, 4)
-
 # Names the export keeps for itself.
 RESERVED = ("event_timestamp", "sensor_id", "id")
 
@@ -44,7 +40,8 @@ def _clean(value: Column) -> Column:
 
 
 def parse_record(json_text: Column) -> Column:
-    return F.from_json(json_text, RECORD, STRICT_JSON)
+    """Object text to a map; of a repeated key the last value counts."""
+    return last_wins(F.from_json(json_text, RECORD, STRICT_JSON))
 
 
 def is_object(value: Column) -> Column:
@@ -62,22 +59,27 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def repeat_while(
-    value: Column,
-    test: Callable[[Column], Column],
-    step: Callable[[Column], Column],
-    groups: tuple[int, ...],
+    value: Column, test: Callable[[Column], Column], step: Callable[[Column], Column], most: Column
 ) -> Column:
-    """Apply `step` in groups of so many times, each group only while `test` holds."""
+    """Apply `step` while `test` holds, at most `most` times; one expression whatever the number."""
+    return F.aggregate(
+        F.array_repeat(F.lit(0), F.coalesce(most, F.lit(0))), value, lambda v, _: F.when(test(v), step(v)).otherwise(v)
+    )
+
+
+def last_wins(record: Column) -> Column:
+    """Map as parsed with each repeated key reduced to its last value."""
+
+    def reduced(r: Column) -> Column:
+        repeats = F.size(F.array_distinct(F.map_keys(r))) < F.size(F.map_keys(r))
+        return F.when(repeats, entries_to_map(F.map_entries(r))).otherwise(r)
+
+    return bind(record, reduced)
 
-    def run(v: Column, times: int) -> Column:
-        stepped = v
-        for _ in range(times):
-            stepped = step(stepped)
-        return F.when(test(v), stepped).otherwise(v)
 
-    for times in groups:
-        value = bind(value, lambda v: run(v, times))  # noqa: B023 - called at once
-    return value
+def _braces(text: Column) -> Column:
+    """Opening brackets of objects in a text, no fewer than its levels of nesting."""
+    return F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
 
 
 def entries_to_map(entries: Column) -> Column:
@@ -120,8 +122,8 @@ def _holds_object(leaves: Column) -> Column:
     return F.exists(leaves, lambda e: is_object(e["value"]))
 
 
-def _leaves(record: Column, levels: tuple[int, ...]) -> Column:
-    """Leaves of a parsed record as (dotted name, value, path of keys), plain ones first."""
+def _leaves(record: Column) -> Column:
+    """Leaves of a parsed record as (dotted name, value, path of keys), plain ones first, at any depth."""
 
     def plain_first(leaves: Column) -> Column:
         nested = F.filter(leaves, lambda e: is_object(e["value"]))
@@ -134,24 +136,27 @@ def _leaves(record: Column, levels: tuple[int, ...]) -> Column:
             unmark(e["key"]).alias("key"), e["value"].alias("value"), F.array(e["key"]).alias("path")
         ),
     )
-    ordered = repeat_while(top, _holds_object, plain_first, levels[:1])
-    return repeat_while(ordered, _holds_object, _expand, levels[1:])
 
+    def opened(leaves: Column) -> Column:
+        levels = F.array_max(F.transform(leaves, lambda e: F.when(is_object(e["value"]), _braces(e["value"]))))
+        first = F.when(_holds_object(leaves), plain_first(leaves)).otherwise(leaves)
+        return repeat_while(first, _holds_object, _expand, levels)
 
-def flatten_record(record: Column, levels: tuple[int, ...] = LEVELS) -> Column:
+    return bind(top, opened)
+
+
+def flatten_record(record: Column) -> Column:
     """Nested objects to dotted names. Plain keys come first, then nested ones; arrays stay whole."""
 
     def entry(e: Column) -> Column:
         return F.struct(e["key"].alias("key"), _clean(e["value"]).alias("value"))
 
-    return entries_to_map(F.transform(_leaves(record, levels), entry))
+    return entries_to_map(F.transform(_leaves(record), entry))
 
 
-def leaf_columns(record: Column, levels: tuple[int, ...] = LEVELS) -> Column:
+def leaf_columns(record: Column) -> Column:
     """Names of the flattened record, in order, each with the keys that lead to its value."""
-    return F.transform(
-        _leaves(record, levels), lambda e: F.struct(e["key"].alias("name"), e["path"].alias("path"))
-    )
+    return F.transform(_leaves(record), lambda e: F.struct(e["key"].alias("name"), e["path"].alias("path")))
 
 
 def value_at(record: Column, path: Column) -> Column:
@@ -194,7 +199,14 @@ def section_payload(payload_json: Column) -> Column:
     return strip_reserved(flatten_record(F.coalesce(parse_record(mark_text(payload_json)), empty)))
 
 
-def key_paths(json_text: Column, levels: tuple[int, ...] = LEVELS) -> Column:
+def section_fields(payload_json: Column) -> Column:
+    """Top-level plain values of a stored payload; objects are null, unreadable text gives an empty map."""
+    empty = F.create_map().cast(RECORD)
+    parsed = F.coalesce(parse_record(mark_text(payload_json)), empty)
+    return F.transform_values(parsed, lambda _, v: F.when(~is_object(v), _clean(v)))
+
+
+def key_paths(json_text: Column) -> Column:
     """Every object path in a JSON text, inner objects included, arrays transparent. Not distinct.
 
     Works on a list of (path, value) nodes. Each round gives every object its members and every
@@ -230,6 +242,6 @@ def key_paths(json_text: Column, levels: tuple[int, ...] = LEVELS) -> Column:
         )
 
     start = F.array(node(F.lit(""), mark_text(json_text)))
-    rounds = tuple(2 * n for n in levels)
+    rounds = F.length(json_text) - F.length(F.translate(json_text, "{[", ""))
     nodes = repeat_while(start, lambda ns: F.exists(ns, opens), opened, rounds)
     return F.filter(F.transform(nodes, lambda n: n["path"]), lambda p: p != "")

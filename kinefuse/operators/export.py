@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinefuse.functions.numbers import round_hundredths, round_whole, text_to_number
-from kinefuse.functions.payload import section_payload
+from kinefuse.functions.payload import section_fields
 from kinefuse.functions.text import base_name, section_name
 from kinefuse.functions.times import iso_time
 from kinefuse.operators.associations import assign_location, sensor_lookup
@@ -36,7 +36,7 @@ def section_rows(kinematics: DataFrame) -> DataFrame:
 def unpack_section(rows: DataFrame) -> DataFrame:
     """Stored rows to times and kinematic fields; unreadable payloads give nulls."""
     fields = [*KINEMATIC_FIELDS, "location_text_raw"]
-    opened = rows.withColumn("payload", section_payload(F.col("data_payload")))
+    opened = rows.withColumn("payload", section_fields(F.col("data_payload")))
     value = {f: F.try_element_at(F.col("payload"), F.lit(f)) for f in fields}
     return opened.select(
         F.col("section").alias("source_table"),

@@ -10,7 +10,7 @@ from kinefuse.operators.export import unified_rows, union_sections
 from kinefuse.operators.network import named_elements
 from kinefuse.operators.physics import kinematics, unmapped_kinematics
 from kinefuse.operators.resolution import resolve_on_row
-from kinefuse.operators.roles import column_profile, discover_roles, payload_cells, scrub_map
+from kinefuse.operators.roles import column_profile, discover_roles, scrub_map
 from kinefuse.schemas import KINEMATIC_ROW, ROLES
 from kinefuse.sinks.landing import write_raw_landing
 from kinefuse.sinks.tables import write_sections
@@ -18,14 +18,11 @@ from kinefuse.sources.extract import (
     column_values,
     explode_records,
     extract_events,
-    large_csv_events,
-    large_csv_headers,
     parse_files,
 )
 from kinefuse.sources.files import (
     load_existing,
     plain_path,
-    read_large_files,
     read_text_files,
     sample_paths,
     with_owner,
@@ -49,22 +46,18 @@ def discover_maps(spark: SparkSession, sources: DataFrame, folders: list[str]) -
     source = F.col("source_path").alias("source")
     parsed = parse_files(read_text_files(spark, folders, paths))
     cells = column_values(parsed).select(source, "column", "value")
-    lines = read_large_files(spark, folders, paths)
-    if not lines.isEmpty():
-        headers = write_and_read(large_csv_headers(lines), "headers")
-        rows = large_csv_events(lines, headers).select(source, F.col("record").alias("payload"))
-        cells = cells.unionByName(payload_cells(rows))
-    associations = sources.select(F.col("path").alias("source"), "association_type")
+    associations = sources.select(plain_path(F.col("path")).alias("source"), "association_type")
     return scrub_map(discover_roles(column_profile(cells), associations))
 
 
 def source_maps(sources: DataFrame, maps: DataFrame) -> DataFrame:
     """What a file needs to know about its source: association type and map, one small row each.
 
+    Paths are compared without scheme and trailing slashes.
     Written, so that Spark knows its size and joins it without moving the files' text.
     """
-    wanted = maps.select(F.col("source").alias("path"), *ROLES, F.lit(True).alias("mapped"))
-    joined = sources.select("path", "association_type").join(wanted, "path", "left")
+    wanted = maps.select(plain_path(F.col("source")).alias("path"), *ROLES, F.lit(True).alias("mapped"))
+    joined = sources.select(plain_path(F.col("path")).alias("path"), "association_type").join(wanted, "path", "left")
     return write_and_read(
         joined.select(
             F.col("path").alias("source_path"),
@@ -86,50 +79,39 @@ def file_kinematics(files: DataFrame, maps: DataFrame) -> DataFrame:
     return kinematics(explode_records(resolve_on_row(parsed)))
 
 
-def large_file_kinematics(lines: DataFrame, maps: DataFrame) -> DataFrame:
-    """Lines of large CSV files to kinematic rows; columns are resolved once per header."""
-    resolved = resolve_on_row(large_csv_headers(lines).join(maps, "source_path"))
-    return kinematics(large_csv_events(lines, write_and_read(resolved, "headers")))
-
-
-def _mapped(spark: SparkSession, folders: list[str], maps: DataFrame) -> list[DataFrame]:
-    lines = read_large_files(spark, folders)
-    parts = [file_kinematics(read_text_files(spark, folders), maps)]
-    return parts if lines.isEmpty() else [*parts, large_file_kinematics(lines, maps)]
-
-
-def _unmapped(spark: SparkSession, folders: list[str]) -> list[DataFrame]:
-    lines = read_large_files(spark, folders)
-    parts = [unmapped_kinematics(extract_events(read_text_files(spark, folders)))]
-    if lines.isEmpty():
-        return parts
-    headers = write_and_read(large_csv_headers(lines), "headers")
-    events = large_csv_events(lines, headers).withColumnRenamed("record", "payload")
-    return [*parts, unmapped_kinematics(events)]
-
-
 def build_kinematics(
     spark: SparkSession, sources: DataFrame, folders: list[str], maps: DataFrame | None = None
 ) -> DataFrame:
     """All files below the folders to kinematic rows, with discovered maps unless some are given.
 
-    Which folders have a map decides how they are read, so each file is opened once. That answer
+    A path may be written with or without `file:` and trailing slashes. Which folders have a map decides how they are read, so each file is opened once. That answer
     has one flag per folder the caller named.
     """
-    found = discover_maps(spark, sources, folders) if maps is None else maps
+    named = list(dict.fromkeys(folders))
+    found = discover_maps(spark, sources, named) if maps is None else maps
     known = source_maps(sources, found)
-    flags = {row.source_path: row.has_map for row in known.select("source_path", "has_map").collect()}
-    own = {folder: flags[folder] for folder in folders if folder in flags}
+    flags = _flags(spark, known, named)
     parts: list[DataFrame] = []
-    if any(own.values()):
-        parts += _mapped(spark, [f for f, has_map in own.items() if has_map], known)
-    if not all(own.values()):
-        parts += _unmapped(spark, [f for f, has_map in own.items() if not has_map])
+    if any(flags.values()):
+        parts.append(file_kinematics(read_text_files(spark, [f for f, mapped in flags.items() if mapped]), known))
+    if not all(flags.values()):
+        texts = read_text_files(spark, [f for f, mapped in flags.items() if not mapped])
+        parts.append(unmapped_kinematics(extract_events(texts)))
     if not parts:
         return spark.createDataFrame([], KINEMATIC_ROW)
     return union_sections(parts)
 
 
+def _flags(spark: SparkSession, known: DataFrame, folders: list[str]) -> dict[str, bool]:
+    """Whether each listed folder has a map; a folder that is no source is an error."""
+    listed = spark.createDataFrame([(f,) for f in folders], "folder string")
+    rows = listed.join(known, plain_path(F.col("folder")) == F.col("source_path"), "left")
+    flags = {row.folder: row.has_map for row in rows.select("folder", "has_map").collect()}
+    if unknown := sorted(f for f, mapped in flags.items() if mapped is None):
+        raise ValueError(f"folders without a source: {', '.join(unknown)}")
+    return flags
+
+
 def association_lookup(sources: DataFrame, edges: DataFrame) -> DataFrame:
     """Sensor lookup from the sources and the named edges; written for its size, see `source_maps`."""
     associations = sources.select(

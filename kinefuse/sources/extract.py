@@ -12,6 +12,7 @@ from kinefuse.functions.payload import (
     entries_to_map,
     flatten_record,
     is_object,
+    last_wins,
     leaf_columns,
     mark_text,
     parse_record,
@@ -73,7 +74,7 @@ def json_object_entries(body: Column) -> Column:
             guarded,
             lambda entries: F.when(
                 F.try_element_at(entries, F.lit(-1))["key"] == _SENTINEL,
-                F.slice(entries, F.lit(1), F.size(entries) - 1),
+                F.map_entries(entries_to_map(F.slice(entries, F.lit(1), F.size(entries) - 1))),
             ),
         )
     )
@@ -228,7 +229,7 @@ def parse_files(files: DataFrame) -> DataFrame:
             ),
             "root_object": F.when(
                 F.startswith(body, F.lit("{")),
-                F.from_json(_closed(body, "}", ',"\\u0002end":0'), RECORD, STRICT_JSON),
+                last_wins(F.from_json(_closed(body, "}", ',"\\u0002end":0'), RECORD, STRICT_JSON)),
             ),
         }
     )
@@ -261,7 +262,7 @@ def parse_files(files: DataFrame) -> DataFrame:
     )
     staged = staged.withColumn("columns", columns)
     records = (
-        F.when(fast.isNotNull(), fast)
+        F.when(fast.isNotNull(), F.transform(fast, last_wins))
         .when(texts.isNotNull(), F.transform(texts, parse_record))
         .otherwise(F.col("csv.records"))
     )
@@ -315,54 +316,3 @@ def extract_events(files: DataFrame) -> DataFrame:
     rows = explode_records(parse_files(files))
     payload = F.when(F.col("format") == "JSON", flatten_record(F.col("record"))).otherwise(F.col("record"))
     return rows.withColumn("payload", payload).drop("record", "format")
-
-
-def _line_position() -> Column:
-    """Order of a line in its file as one number: the block, then the line inside the block.
-
-    The low 33 bits of `line` count lines within a task, and blocks lie at least 1 MiB apart.
-    """
-    in_task = F.col("line").bitwiseAND(F.lit((1 << 33) - 1))
-    return F.shiftleft(F.shiftright("block", 20), 33) + in_task
-
-
-def large_csv_headers(lines: DataFrame) -> DataFrame:
-    """Header of each large file: one small row with its names and the line they stand on.
-
-    Line numbers grow inside a block, so the header is the first line of block 0. A file that
-    starts with a bracket would be one JSON document, which cannot be read in splits.
-    """
-    first = (
-        lines.filter((F.col("block") == 0) & (F.col("text") != ""))
-        .groupBy("source_path", "source", "file_path")
-        .agg(F.min_by("text", "line").alias("first_line"), F.min("line").alias("header_line"))
-    )
-    document = F.col("first_line").rlike(r"\A\s*[\[{]")
-    message = F.concat(F.lit("a JSON document this large cannot be split: "), F.col("file_path"))
-    checked = F.when(document, F.raise_error(message).cast("string")).otherwise(F.col("first_line"))
-    header = first.withColumn("header", split_csv_fields(checked)).drop("first_line")
-    return header.withColumn("columns", _all_columns(_top_columns(F.col("header"))))
-
-
-def large_csv_events(lines: DataFrame, headers: DataFrame) -> DataFrame:
-    """Lines of large CSV files to events, each file under its own header.
-
-    `headers` should be a written table (`storage.write_and_read`): with its size known, the join
-    does not move the lines. Columns added to `headers` are carried along. A record that spans
-    lines cannot be recognised in a split, so an unbalanced quote stops the job instead of giving
-    wrong rows.
-    """
-    keys = ["source_path", "source", "file_path"]
-    carried = [c for c in headers.columns if c not in (*keys, "header", "header_line", "columns")]
-    rows = lines.filter(F.col("text") != "").join(headers, keys)
-    quotes = F.length(F.col("text")) - F.length(F.replace(F.col("text"), F.lit('"'), F.lit("")))
-    message = F.concat(F.lit("quoted line break in a file this large: "), F.col("file_path"))
-    checked = F.when(quotes % 2 == 1, F.raise_error(message).cast("string")).otherwise(F.col("text"))
-    return rows.filter(F.col("line") != F.col("header_line")).select(
-        *keys,
-        *carried,
-        _line_position().alias("position"),
-        F.col("modified").alias("event_timestamp"),
-        _sensor(F.col("source")).alias("sensor_id"),
-        csv_payload(F.col("header"), checked).alias("record"),
-    )

@@ -12,10 +12,6 @@ from pyspark.sql import types as T
 from kinefuse.functions.text import base_name, file_extension, known_association, lenient_utf8
 from kinefuse.storage import write_and_read
 
-# CSV files above this size are read line by line, in splits, instead of as one row each. A JSON
-# document has no splits: it is one row whatever its size, and Spark stops at 2 GB.
-WHOLE_FILE_BYTES = 64 * 1024 * 1024
-
 # File endings and the type they stand for; road networks are not sensor data.
 NETWORK_ENDINGS = (".net.xml", ".net.xml.gz")
 TYPE_ENDINGS = {
@@ -36,10 +32,6 @@ _WHOLE = T.StructType(
         T.StructField("text", T.StringType()),
     ]
 )
-_LINES = T.StructType(
-    [*_WHOLE, T.StructField("block", T.LongType()), T.StructField("line", T.LongType())]
-)
-
 
 def plain_path(path: Column) -> Column:
     """Path without the `file:` scheme and without trailing slashes."""
@@ -150,41 +142,22 @@ def with_owner(files: DataFrame, folders: list[str]) -> DataFrame:
     )
 
 
-def _read_text(spark: SparkSession, folders: list[str], paths: list[str] | None, whole: bool) -> DataFrame:
-    reader = spark.read.format("text").option("wholetext", str(whole).lower())
-    reader = reader.option("recursiveFileLookup", "true")
-    lines = load_existing(reader, spark, folders if paths is None else paths)
-    if lines is None:
-        return spark.createDataFrame([], _WHOLE if whole else _LINES)
-    # Size and name are known from the listing, so files of the other kind are not opened.
-    is_large = (F.col("_metadata.file_size") > WHOLE_FILE_BYTES) & F.lower(
-        F.col("_metadata.file_name")
-    ).rlike(r"\.csv(\.gz)?\z")
+def read_text_files(spark: SparkSession, folders: list[str], paths: list[str] | None = None) -> DataFrame:
+    """One row per file below the folders, whatever its name and size; `.gz` is decompressed.
+
+    `paths` narrows the reading to some files.
+    """
+    reader = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true")
+    texts = load_existing(reader, spark, folders if paths is None else paths)
+    if texts is None:
+        return spark.createDataFrame([], _WHOLE)
     decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    read = lines.filter(~is_large if whole else is_large).select(
+    read = texts.select(
         plain_path(decoded).alias("file_path"),
         F.col("_metadata.file_modification_time").alias("modified"),
         lenient_utf8(F.col("value")).alias("text"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
     )
-    return with_owner(read, folders).select(*(_WHOLE if whole else _LINES).names)
-
-
-def read_text_files(spark: SparkSession, folders: list[str], paths: list[str] | None = None) -> DataFrame:
-    """One row per file below the folders, large CSV files left out; `.gz` is decompressed.
-
-    `paths` narrows the reading to some files.
-    """
-    return _read_text(spark, folders, paths, whole=True)
-
-
-def read_large_files(spark: SparkSession, folders: list[str], paths: list[str] | None = None) -> DataFrame:
-    """One row per line of the CSV files above `WHOLE_FILE_BYTES`.
-
-    `line` grows inside a block (`block` is its byte offset).
-    """
-    return _read_text(spark, folders, paths, whole=False)
+    return with_owner(read, folders).select(*_WHOLE.names)
 
 
 def sample_paths(spark: SparkSession, folders: list[str]) -> list[str]:
@@ -194,13 +167,11 @@ def sample_paths(spark: SparkSession, folders: list[str]) -> list[str]:
     return [row.file_path for row in first.collect()]
 
 
-def sample_file(files: DataFrame, source: str = "source", path: str = "file_path", cut: int = 50_000) -> DataFrame:
-    """First file (lowest path) of each source with its text cut to a sample.
+def sample_file(files: DataFrame, source: str = "source", path: str = "file_path") -> DataFrame:
+    """First file (lowest path) of each source, whole.
 
     Only paths are aggregated. Their table is written, so that the join back to the texts knows it
     is small and leaves the texts where they are.
     """
     first = write_and_read(files.groupBy(source).agg(F.min(path).alias(path)), "samples")
-    return files.join(first, [source, path], "left_semi").withColumn(
-        "sample", F.substring(F.col("text"), 1, cut)
-    )
+    return files.join(first, [source, path], "left_semi")

@@ -208,15 +208,15 @@ def register_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     """
-SELECT source, CAST(min(doc_id) AS BIGINT) AS doc_id, arg_min(md5(text[1:50000]), doc_id) AS digest
+SELECT source, CAST(min(doc_id) AS BIGINT) AS doc_id, arg_min(md5(text), doc_id) AS digest
 FROM documents GROUP BY source"""
 )
 def sample_file(spark: SparkSession, folder: str) -> DataFrame:
-    """First file of each source with the sample cut from it."""
+    """First file of each source."""
     path = F.lpad(F.col("doc_id").cast("string"), 12, "0")
     documents = table(spark, folder, "documents").select("source", path.alias("file_path"), "text")
     return files.sample_file(documents).select(
-        "source", F.col("file_path").cast("long").alias("doc_id"), F.md5("sample").alias("digest")
+        "source", F.col("file_path").cast("long").alias("doc_id"), F.md5("text").alias("digest")
     )
 
 

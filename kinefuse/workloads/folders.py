@@ -10,7 +10,7 @@ from kinefuse.plans.fusion import build_unified
 from kinefuse.sources import files
 from kinefuse.storage import new_path
 from kinefuse.workloads.measures import SQL_FLOW, SQL_SPEED
-from kinefuse.workloads.registry import query
+from kinefuse.workloads.registry import query, table
 from kinefuse.workloads.standins import SQL_SENSOR_EVENTS, sensor_events, with_sql
 
 # Events per sensor file; it bounds what one file, and so one group below, can hold.
@@ -20,10 +20,31 @@ EVENTS_PER_FILE = 2000
 CSV_SOURCES = ("view", "error")
 
 
-@query()
+_SQL_TYPE = """CASE WHEN lower(name) LIKE '%.net.xml' OR lower(name) LIKE '%.net.xml.gz' THEN NULL
+       WHEN lower(name) LIKE '%.csv' OR lower(name) LIKE '%.csv.gz' THEN 'CSV'
+       WHEN lower(name) LIKE '%.json' OR lower(name) LIKE '%.json.gz' THEN 'JSON'
+       WHEN lower(name) LIKE '%.xml' OR lower(name) LIKE '%.xml.gz' THEN 'XML'
+       WHEN lower(name) LIKE '%.xls' OR lower(name) LIKE '%.xlsx' THEN 'Excel' END"""
+
+
+@query(
+    f"""
+WITH listed AS (
+  SELECT url || '/' || page_id || CASE page_id % 6 WHEN 0 THEN '.csv' WHEN 1 THEN '.JSON.gz' WHEN 2 THEN '.net.xml' WHEN 3 THEN '.xlsx' WHEN 4 THEN '' ELSE '.txt' END AS path,
+         strlen(html) AS size FROM pages
+), named AS (
+  SELECT path, size, regexp_extract(path, '^(.*)/[^/]*$', 1, 's') AS folder, regexp_extract(path, '([^/]*)$', 1) AS name FROM listed
+), typed AS (SELECT *, {_SQL_TYPE} AS file_type FROM named)
+SELECT path, folder, name, CASE WHEN name LIKE '%.%' THEN lower('.' || split_part(name, '.', -1)) ELSE '' END AS extension,
+       CAST(size AS BIGINT) AS size_bytes, file_type, coalesce(file_type IN ('CSV', 'JSON'), FALSE) AS is_parsed
+FROM typed"""
+)
 def file_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """Every file of the data folder with its type; contents are not read."""
-    return files.file_inventory(files.list_files(spark, [folder]))
+    """Pages as a listing of files: name, extension and type of each."""
+    ending = F.expr("CASE page_id % 6 WHEN 0 THEN '.csv' WHEN 1 THEN '.JSON.gz' WHEN 2 THEN '.net.xml' WHEN 3 THEN '.xlsx' WHEN 4 THEN '' ELSE '.txt' END")
+    path = F.concat("url", F.lit("/"), F.col("page_id").cast("string"), ending)
+    listed = table(spark, folder, "pages").select(path.alias("path"), F.octet_length("html").cast("long").alias("length"))
+    return files.file_inventory(listed)
 
 
 def write_sensor_files(spark: SparkSession, folder: str, target: str) -> None:

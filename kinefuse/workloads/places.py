@@ -228,7 +228,7 @@ def section_list(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     """
 SELECT source AS source_id, doc_id || '.v2.TXT' AS filename, '.txt' AS file_extension, md5(text) AS file_hash,
-       CAST(strlen(text) AS BIGINT) AS file_size_bytes
+       CAST(strlen(text) AS BIGINT) AS file_size_bytes, md5(text) AS content_md5
 FROM documents"""
 )
 def raw_landing(spark: SparkSession, folder: str) -> DataFrame:
@@ -238,7 +238,7 @@ def raw_landing(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("/data/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".v2.TXT")).alias("file_path"),
         F.encode("text", "UTF-8").alias("content"),
     )
-    return landing(files).drop("import_timestamp", "raw_content")
+    return landing(files).withColumn("content_md5", F.md5("raw_content")).drop("import_timestamp", "raw_content")
 
 
 @query(

@@ -99,14 +99,14 @@ _ELEMENT = "CASE WHEN o_orderstatus = 'F' THEN concat('-', CAST(o_custkey AS STR
 @query(
     with_sql(SQL_ROADS)
     + f"""
-, used AS (SELECT DISTINCT {_ELEMENT.replace('STRING', 'VARCHAR')} AS element FROM orders WHERE o_totalprice > 300000)
+, used AS (SELECT DISTINCT {_ELEMENT.replace('STRING', 'VARCHAR')} AS element FROM orders)
 SELECT r.id, r.id IN (SELECT element FROM used WHERE element IS NOT NULL)
    OR coalesce(p.id IN (SELECT element FROM used WHERE element IS NOT NULL), FALSE) AS is_associated
 FROM roads r LEFT JOIN roads p ON p.id = CASE WHEN starts_with(r.id, '-') THEN substr(r.id, 2) ELSE '-' || r.id END"""
 )
 def road_status(spark: SparkSession, folder: str) -> DataFrame:
     """Edges that have a source in either direction."""
-    sources = table(spark, folder, "orders").filter("o_totalprice > 300000").select(
+    sources = table(spark, folder, "orders").select(
         F.expr(_ELEMENT).alias("associated_element_id")
     )
     return net.road_status(roads(spark, folder), sources)

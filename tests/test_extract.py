@@ -147,6 +147,21 @@ def _flat(data):
     return {**plain, **dict(nested)}
 
 
+def test_any_depth_is_flattened(spark):
+    texts = []
+    for depth in range(1, 13):
+        text = "10"
+        for level in range(depth, 0, -1):
+            text = f'{{"k{level}": {text}, "s{level}": {level}}}'
+        texts.append(text)
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = frame.select("i", flatten_record(parse_record(mark_text(F.col("t")))).alias("flat"), key_paths(F.col("t")).alias("paths")).collect()
+    for row in rows:
+        deepest = ".".join(f"k{level}" for level in range(1, row.i + 2))
+        assert row.flat[deepest] == "10" and len(row.flat) == row.i + 2
+        assert deepest in row.paths and len(set(row.paths)) == 2 * (row.i + 1)
+
+
 def _paths(data, prefix=""):
     if isinstance(data, dict):
         for key, value in data.items():

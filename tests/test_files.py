@@ -1,4 +1,4 @@
-"""Folders: listing, types, registration, text, large files."""
+"""Folders: listing, types, registration, text."""
 
 import gzip
 import os
@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from kinefuse.functions.text import base_name, file_extension, section_name
 from kinefuse.sources import extract, files
-from kinefuse.sources.extract import large_csv_events, large_csv_headers
-from kinefuse.storage import write_and_read
 
 
 @pytest.fixture
@@ -73,50 +71,29 @@ def test_text_and_owners(spark, tree):
     assert sorted(sampled) == [str(tree / "loop" / "c.json.gz"), str(tree / "radar" / "b.JSON")]
 
 
-def test_large_files_split(spark, tmp_path, monkeypatch):
-    """A CSV in many splits gives the events of the same file read whole."""
+def test_one_behaviour_at_every_split_size(spark, tmp_path):
+    """Quoted line breaks, headers that return as rows, and JSON named .csv give the same events however files are packed into splits."""
     folder = tmp_path / "big"
     folder.mkdir()
-    header = 'speed,"name, x",lat\n'
-    lines = [f'{i},"v ""{i}"", w",{i / 8}' if i % 3 else header.strip() for i in range(4000)]
-    (folder / "one.csv").write_text("\n\n" + header + "\n".join(lines))
-    (folder / "two.csv").write_text("a,b\r\n" + "".join(f"{i},{i}\r\n" for i in range(3000)))
-    (folder / "small.csv").write_text("a\n1")
-    (folder / "text.json").write_text('[{"a": "' + "x" * 30000 + '"}]')
-    whole = extract.extract_events(files.read_text_files(spark, [str(folder)])).select("file_path", "position", "payload").collect()
-    monkeypatch.setattr(files, "WHOLE_FILE_BYTES", 1000)
-    with_splits = {"spark.sql.files.maxPartitionBytes": "8192", "spark.sql.files.openCostInBytes": "1"}
-    for key, value in with_splits.items():
-        spark.conf.set(key, value)
+    header = 'speed,"name, x",lat'
+    lines = [f'{i},"v ""{i}""\nw",{i / 8}' if i % 3 else header for i in range(900)]
+    (folder / "one.csv").write_text("\n\n" + header + "\n" + "\n".join(lines))
+    (folder / "two.csv").write_text("a,b\r\n" + "".join(f"{i},{i}\r\n" for i in range(700)))
+    (folder / "named.csv").write_text('[{"a": 1}, {"a": 2}]')
+
+    def events():
+        rows = extract.extract_events(files.read_text_files(spark, [str(folder)])).collect()
+        return sorted((os.path.basename(r.file_path), r.position, sorted((k, v or "") for k, v in r.payload.items())) for r in rows)
+
+    want = events()
+    assert [x[0] for x in want].count("one.csv") == 900 and [x[0] for x in want].count("two.csv") == 700
+    assert [x[2] for x in want if x[0] == "named.csv"] == [[("a", "1")], [("a", "2")]]
+    assert [x[2] for x in want if x[0] == "one.csv"][1] == [("lat", "0.125"), ("name, x", 'v "1"\nw'), ("speed", "1")]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
     try:
-        left = files.read_text_files(spark, [str(folder)])
-        assert {os.path.basename(r.file_path) for r in left.collect()} == {"small.csv", "text.json"}
-        large = files.read_large_files(spark, [str(folder)])
-        assert large.select("block").distinct().count() > 3
-        headers = write_and_read(large_csv_headers(large), "headers")
-        split = large_csv_events(large, headers).select("file_path", F.col("record").alias("payload")).collect()
+        assert events() == want
     finally:
-        for key in with_splits:
-            spark.conf.unset(key)
-
-    def bag(rows):
-        return sorted((r.file_path, sorted(r.payload.items())) for r in rows if not r.file_path.endswith(("small.csv", "text.json")))
-
-    assert bag(split) == bag(whole) and len(split) == 7000
-
-
-def test_large_files_stop_at_what_splits_cannot_show(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(files, "WHOLE_FILE_BYTES", 10)
-    for name, text, message in (
-        ("quote", 'a,b\n1,"x\ny"\n2,3\n', "quoted line break"),
-        ("document", '[{"a": 1}, {"a": 2}]', "cannot be split"),
-    ):
-        folder = tmp_path / name
-        folder.mkdir()
-        (folder / "f.csv").write_text(text)
-        large = files.read_large_files(spark, [str(folder)])
-        with pytest.raises(Exception, match=message):
-            large_csv_events(large, large_csv_headers(large)).collect()
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_names(spark):

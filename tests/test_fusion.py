@@ -96,12 +96,21 @@ def test_given_and_missing_maps(spark, city):
     assert all(r.speed_val is None for r in rows)
 
 
-def test_large_files_join_the_job(spark, city, monkeypatch):
+def test_paths_in_any_spelling(spark, city):
     sources, folders = sources_of(spark, city)
     want = sorted(map(str, fusion.build_kinematics(spark, sources, folders).drop("event_timestamp").collect()))
-    monkeypatch.setattr(files, "WHOLE_FILE_BYTES", 20)
-    have = sorted(map(str, fusion.build_kinematics(spark, sources, folders).drop("event_timestamp").collect()))
-    assert have == want
+    spelled = sources.withColumn("path", F.concat(F.lit("file://"), "path", F.lit("/")))
+    have = fusion.build_kinematics(spark, spelled, [f + "//" for f in folders]).drop("event_timestamp").collect()
+    assert sorted(map(str, have)) == want
+    with pytest.raises(ValueError, match="without a source"):
+        fusion.build_kinematics(spark, sources, [*folders, str(city)])
+
+
+def test_last_of_repeated_keys_counts(spark, city):
+    (city / "feed" / "d.json").write_text('[{"velocity": 1, "geo": {"lat": 1, "lat": 7}, "velocity": 20, "pubMillis": 1600000000000}]')
+    sources, _ = sources_of(spark, city)
+    (row,) = fusion.build_kinematics(spark, sources, [str(city / "feed")]).collect()
+    assert row.speed_val == 20.0
 
 
 def test_job_plan(spark, city):
