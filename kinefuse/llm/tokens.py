@@ -21,9 +21,11 @@ from pyspark import TaskContext
 
 END_ID = 0
 #: Most pieces that a worker process remembers, about 150 bytes each.
-PIECES = 400_000
+PIECES = 240_000
+#: Texts or pieces that the tokenizer takes at once.
+BATCH = 4096
 #: Texts are encoded in runs of about this many bytes, which bounds a task's memory.
-RUN_BYTES = 6_000_000
+RUN_BYTES = 3_000_000
 
 # White space and control characters. Texts with two in a row, or with others than space and line break, are encoded whole.
 _WHITE = r"\x00-\x20\x7f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}"
@@ -60,8 +62,12 @@ class PieceEncoder:
         self.older: dict[str, bytes] = {}
 
     def raw(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
+        """Ids of each text; a few thousand at a time, as the library's results take far more memory than ids."""
+        ids: list[bytes] = []
+        for start in range(0, len(texts), BATCH):
+            found = self.tokenizer.encode_batch_fast(texts[start : start + BATCH], add_special_tokens=False)
+            ids += [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
+        return ids
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece, as little-endian unsigned 32-bit integers. Pieces are distinct."""
@@ -134,6 +140,7 @@ def encoded_runs(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple
                 ids, begins = encode.texts(run)
             finally:
                 gc.enable()
+                pa.default_memory_pool().release_unused()
             yield batch.slice(start, stop - start), ids, begins
             start = stop
 

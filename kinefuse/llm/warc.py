@@ -136,9 +136,9 @@ class WarcReader(DataSourceReader):
         store, root = fs.FileSystem.from_uri(self.path)
         found = store.get_file_info(fs.FileSelector(root, recursive=True))
         files = sorted((x for x in found if x.type == fs.FileType.File and not x.base_name.startswith(("_", "."))), key=lambda x: x.path)
-        packs, size = [], PARTITION_BYTES
+        packs, size = [], 0
         for one in files:
-            if size + one.size > PARTITION_BYTES:
+            if not packs or size + one.size > PARTITION_BYTES:
                 packs.append([])
                 size = 0
             packs[-1].append(one.path)
