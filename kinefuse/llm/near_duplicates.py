@@ -38,6 +38,9 @@ MATCHES = 24
 PERCENT = 80
 SHINGLE = 5
 
+#: Sizes of the blocks in which the members outside a list's main component are compared.
+OUTSIDERS, PART_NODES, CHUNK_NODES = 512, 1024, 4096
+
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _BLOCK = 4096
 
@@ -128,6 +131,108 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(_similar(common, F.size("_set_a"), F.size("_set_b"), percent)).select("a", "b")
 
 
+PARTNERS = "o long, home long, part int, chunk int, partners array<long>"
+
+
+def _partners(percent: int):
+    """The members of a list's block that its outsiders must be compared with, packed by outsider and home.
+
+    A pair is taken in the first list that both are in, and only if the shingles they alone have leave room for the similarity.
+    """
+
+    def find(rows: pa.Table) -> pa.Table:
+        columns = {c: rows.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("node", "n", "common", "comp", "main", "out", "home", "size")}
+        node, n, common, comp, home = (columns[c] for c in ("node", "n", "common", "comp", "home"))
+        this, inside = rows.column("key")[0].as_py(), comp == columns["main"]
+        parts, chunks = -(-columns["size"] // PART_NODES), -(-columns["size"] // CHUNK_NODES)
+        part = (mix(node.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int32)
+        lists = rows.column("keys").combine_chunks()
+        keys, begins = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        owner = np.repeat(np.arange(len(node)), np.diff(begins))
+        before = keys < this
+        order = np.argsort(keys[before], kind="stable")
+        sorted_keys, holders = keys[before][order], owner[before][order]
+        out = {"o": [], "home": [], "part": [], "chunk": [], "partners": []}
+        for k in np.flatnonzero(columns["out"]).tolist():
+            least = np.minimum(common, common[k])
+            wanted = (comp != comp[k]) & (inside | (node > node[k])) & (100 * least >= percent * (n + n[k] - least))
+            own = keys[begins[k] : begins[k + 1]]
+            for key in own[own < this].tolist():
+                wanted[holders[np.searchsorted(sorted_keys, key) : np.searchsorted(sorted_keys, key, "right")]] = False
+            found = np.flatnonzero(wanted)
+            if not len(found):
+                continue
+            found = found[np.lexsort((part[found], home[found]))]
+            cut = np.flatnonzero(np.append(True, (home[found][1:] != home[found][:-1]) | (part[found][1:] != part[found][:-1])))
+            chunk = mix(node[k : k + 1].view(np.uint64) + M1)[0]
+            for group in np.split(found, cut[1:]):
+                out["o"].append(node[k])
+                out["home"].append(home[group[0]])
+                out["part"].append(part[group[0]])
+                out["chunk"].append(int(chunk % np.uint64(chunks[group[0]])))
+                out["partners"].append(node[group])
+        kinds = {"o": pa.int64(), "home": pa.int64(), "part": pa.int32(), "chunk": pa.int32(), "partners": pa.list_(pa.int64())}
+        return pa.Table.from_pydict({c: pa.array(out[c], kinds[c]) for c in kinds})
+
+    return find
+
+
+def _compared(percent: int):
+    """The similar pairs among outsiders with their partners (left) and the full sets of a part of a home (right)."""
+
+    def find(left: pa.Table, right: pa.Table) -> pa.Table:
+        links: list[tuple[int, int]] = []
+        if left.num_rows and right.num_rows:
+            place = {x: k for k, x in enumerate(right.column("node").to_pylist())}
+            lists = right.column("shingles").combine_chunks()
+            flat, begins = lists.flatten().to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+            begins = begins - begins[0]
+            for o, partners, own in zip(left.column("o").to_pylist(), left.column("partners"), left.column("shingles"), strict=True):
+                mine, nodes = own.values.to_numpy(), partners.values.to_numpy()
+                at = np.fromiter((place[x] for x in nodes.tolist()), np.int64, len(nodes))
+                sizes = begins[at + 1] - begins[at]
+                starts = np.cumsum(sizes) - sizes
+                theirs = flat[np.repeat(begins[at] - starts, sizes) + np.arange(int(sizes.sum()))]
+                hit = np.searchsorted(mine, theirs)
+                common = np.add.reduceat((mine[np.minimum(hit, len(mine) - 1)] == theirs).astype(np.int64), starts)
+                near = 100 * common >= percent * (sizes + len(mine) - common)
+                links += [(min(o, x), max(o, x)) for x in nodes[near].tolist()]
+        return pa.Table.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return find
+
+
+def _outsiders(placed: DataFrame, leads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the members outside their lists' main components.
+
+    Pairs are formed and compared inside tasks, by blocks of at most about OUTSIDERS outsiders, and of
+    PART_NODES sets against CHUNK_NODES outsiders, so no table has a row for each pair. A class's home
+    is the least lead of its lists, where most of its partners are at home too.
+    """
+    known = placed.select("key", "node").join(leads, "key").groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"), F.min("lead").alias("home"))
+    sizes = known.groupBy("home").agg(F.count("*").alias("size"))
+    known = write_and_read(known.join(sizes, "home"), "homes")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = placed.join(known, "node").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("out", (F.col("comp") != F.col("main")) & (block == F.col("block")))
+    asked = rows.groupBy("key", "block").applyInArrow(_partners(percent), PARTNERS)
+    asked = asked.groupBy("o", "home", "part", "chunk").agg(F.flatten(F.collect_list("partners")).alias("partners"))
+    asked = write_and_read(asked, "outsiders").join(sets.select(F.col("node").alias("o"), F.array_sort("shingles").alias("shingles")), "o")
+    # The same hash as in the tasks: they place a class by `mix`, so its part is computed there once more.
+    held = known.join(sets.select("node", "shingles"), "node").mapInArrow(_with_part, "home long, part int, chunks int, node long, shingles array<long>")
+    held = held.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    by = ("home", "part", "chunk")
+    return asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(_compared(percent), "a long, b long").distinct()
+
+
+def _with_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        node, size = rows.column("node").to_numpy(), rows.column("size").to_numpy()
+        part = (mix(node.view(np.uint64)) % (-(-size // PART_NODES)).astype(np.uint64)).astype(np.int32)
+        arrays = [rows.column("home"), pa.array(part), pa.array((-(-size // CHUNK_NODES)).astype(np.int32)), rows.column("node"), rows.column("shingles")]
+        yield pa.RecordBatch.from_arrays(arrays, ["home", "part", "chunks", "node", "shingles"])
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row, and _uid, _tie, which tell rows apart unless doc_id and text are equal.
 
@@ -167,13 +272,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     labels = components(links)
     placed = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mains = placed.groupBy("key", "comp").agg(F.count("*").alias("_size")).groupBy("key").agg(F.max_by("comp", F.struct("_size", "comp")).alias("_main"), F.count("*").alias("_comps"))
-    placed = write_and_read(placed.join(mains.where("_comps > 1"), "key").drop("_comps"), "mixed-lists")
-    outside, inside = placed.where("comp <> _main").alias("x"), placed.alias("y")
-    once = F.expr("x.comp <> y.comp and (y.comp = y._main or x.node < y.node)")
-    rest = outside.join(inside, "key").where(once & possible).select(*ends).distinct()
-    rest = write_and_read(rest.join(stars, ["a", "b"], "left_anti"), "rest-pairs")
-    more = write_and_read(_confirmed(rest, sets, percent), "rest-links")
+    mains = placed.groupBy("key", "comp").agg(F.count("*").alias("_size")).groupBy("key")
+    mains = mains.agg(F.max_by("comp", F.struct("_size", "comp")).alias("main"), F.count("*").alias("_comps"), F.sum("_size").alias("_all"), F.max("_size").alias("_most"))
+    mixed = mains.where("_comps > 1").select("key", "main", F.ceil((F.col("_all") - F.col("_most")) / OUTSIDERS).cast("int").alias("blocks"))
+    placed = write_and_read(placed.join(mixed, "key"), "mixed-lists")
+    more = write_and_read(_outsiders(placed, leads.select("key", F.col("node").alias("lead")), sets, percent), "rest-links")
 
     labels = components(links.union(more))
     of_class = classes.select("h1", "h2", "n", "first_id", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
