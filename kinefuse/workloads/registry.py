@@ -27,12 +27,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 def table(spark: SparkSession, folder: str, name: str, spread: str | None = None) -> DataFrame:
     """A benchmark table. Its times have no zone; the session reads them as UTC.
 
-    With `spread`, a table that comes in fewer splits than there are cores is redistributed by that
-    key, for queries whose work per row is heavy. A large table has enough splits and is not moved.
+    With `spread`, the rows are redistributed by that key, for queries whose work per row is heavy.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     rows = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread is None or rows.rdd.getNumPartitions() >= cores:
-        return rows
-    return rows.repartition(cores, spread)
+    return rows if spread is None else rows.repartition(spread)

@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from kinefuse.operators import network as net
 from kinefuse.sources import network as xml
 from kinefuse.sources import project
+from kinefuse.storage import new_path
 from kinefuse.workloads.registry import query, table
 from kinefuse.workloads.standins import SQL_ROADS, roads, with_sql
 
 
+# Edges in one map file; it bounds what one group holds.
+EDGES_PER_MAP = 500
+
+
 def _key() -> Column:
     return F.col("s_suppkey").cast("string")
 
@@ -26,8 +31,8 @@ def _junctions(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "supplier").select(parsed.alias("element")).select("element.*")
 
 
-def _edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Edges with three lanes: the first one empty, unreadable or good by key."""
+def _edge_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """XML of edges with three lanes: the first one empty, unreadable or good by key."""
     turn = F.col("s_suppkey") % 4
     function = F.when(F.col("s_suppkey") % 7 == 0, ' function="internal"').when(
         F.col("s_suppkey") % 7 == 1, ' function="connector"'
@@ -39,8 +44,12 @@ def _edges(spark: SparkSession, folder: str) -> DataFrame:
         F.lit('<edge id="e'), _key(), F.lit('" from="a"'), to, function, F.lit("><lane"), first, F.lit("/><lane"),
         second, F.lit("/></edge>"),
     )
-    parsed = F.from_xml(document, xml.EDGE_XML)
-    return table(spark, folder, "supplier").select(parsed.alias("element")).select("element.*")
+    return table(spark, folder, "supplier").select("s_suppkey", document.alias("value"))
+
+
+def _edges(spark: SparkSession, folder: str) -> DataFrame:
+    parsed = F.from_xml("value", xml.EDGE_XML)
+    return _edge_texts(spark, folder).select(parsed.alias("element")).select("element.*")
 
 
 @query(
@@ -67,6 +76,20 @@ def road_edges(spark: SparkSession, folder: str) -> DataFrame:
     return xml.road_edges(_edges(spark, folder)).select("id", "from_node", "to_node", F.size("shape").alias("points"))
 
 
+@query(
+    f"""
+SELECT 'e' || s_suppkey AS id, CAST(CASE s_suppkey % 4 WHEN 2 THEN 3 ELSE 2 END AS INTEGER) AS points
+FROM supplier WHERE {_SQL_KEPT_EDGES}"""
+)
+def gzip_map(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges out of compressed map files that are written from the suppliers and read back."""
+    path = new_path(spark, "map")
+    files = _edge_texts(spark, folder).groupBy(F.floor(F.col("s_suppkey") / EDGES_PER_MAP)).agg(F.collect_list("value").alias("edges"))
+    text = F.concat(F.lit("<net>"), F.array_join("edges", "\n"), F.lit("</net>")).alias("value")
+    files.select(text).write.options(compression="gzip", maxRecordsPerFile=1).text(path)
+    return xml.read_edges(spark, path).select("id", F.size("shape").alias("points"))
+
+
 @query(
     f"""
 SELECT 'e' || s_suppkey AS id, p.place AS place,
