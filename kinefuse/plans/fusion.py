@@ -13,7 +13,7 @@ from kinefuse.operators.resolution import resolve_on_row
 from kinefuse.operators.roles import column_profile, discover_roles, scrub_map
 from kinefuse.schemas import KINEMATIC_ROW, ROLES
 from kinefuse.sinks.landing import write_raw_landing
-from kinefuse.sinks.tables import write_sections
+from kinefuse.sinks.tables import write_sections, write_unified
 from kinefuse.sources.extract import (
     column_values,
     explode_records,
@@ -28,7 +28,7 @@ from kinefuse.sources.files import (
     with_owner,
 )
 from kinefuse.sources.sections import read_sections
-from kinefuse.storage import new_path, write_and_read
+from kinefuse.storage import new_path, run_folder, write_and_read
 
 
 def land_raw_files(spark: SparkSession, folders: list[str], path: str) -> None:
@@ -135,3 +135,16 @@ def build_unified(
     path = new_path(spark, "sections")
     write_sections(build_kinematics(spark, sources, folders, maps), path)
     return unified_rows(read_sections(spark, path), association_lookup(sources, edges))
+
+
+def deliver(
+    spark: SparkSession,
+    sources: DataFrame,
+    folders: list[str],
+    edges: DataFrame,
+    path: str,
+    maps: DataFrame | None = None,
+) -> None:
+    """Write the dataset of `build_unified`, time-sorted, and remove what was stored on the way."""
+    with run_folder(spark):
+        write_unified(build_unified(spark, sources, folders, edges, maps), path)

@@ -106,6 +106,16 @@ def test_paths_in_any_spelling(spark, city):
         fusion.build_kinematics(spark, sources, [*folders, str(city)])
 
 
+def test_delivery_leaves_nothing_behind(spark, city, tmp_path):
+    sources, folders = sources_of(spark, city)
+    edges = spark.createDataFrame([("e1", "First street")], "id string, real_name string")
+    shared = os.path.join(spark.conf.get("spark.checkpoint.dir"), "kinefuse")
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    fusion.deliver(spark, sources, folders, edges, str(tmp_path / "unified"))
+    assert spark.read.parquet(str(tmp_path / "unified")).count() > 0
+    assert set(os.listdir(shared)) == before
+
+
 def test_last_of_repeated_keys_counts(spark, city):
     (city / "feed" / "d.json").write_text('[{"velocity": 1, "geo": {"lat": 1, "lat": 7}, "velocity": 20, "pubMillis": 1600000000000}]')
     sources, _ = sources_of(spark, city)
