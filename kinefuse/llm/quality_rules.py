@@ -138,8 +138,8 @@ def rejected_by(rules: list[Rule]) -> Column:
 
 def passed(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows that no default rule rejects, in all their columns. Null and empty texts have too few words."""
-    rules = default_rules(statistics(docs["text"]))
-    return docs.where(rejected_by(ordered(estimate(docs.select("text"), default_rules(statistics(F.col("text"))), sample_rows)) if rules else []).isNull())
+    rules = default_rules(statistics(F.col("text")))
+    return docs.where(rejected_by(ordered(estimate(docs.select("text"), rules, sample_rows))).isNull())
 
 
 ORACLE = r"""
