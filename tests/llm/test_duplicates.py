@@ -155,3 +155,22 @@ def test_slots_must_agree(spark):
     docs = spark.createDataFrame(rows([(1, agree), (2, differ)]), DOCS)
     benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert {r._row.doc_id: r["items"] for r in decontamination.marked(docs, benchmark).collect()} == {1: [1], 2: []}
+
+
+def held_items(spark, items, texts):
+    docs = spark.createDataFrame(rows(list(texts.items())), DOCS)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    return {r._row.doc_id: r["items"] for r in decontamination.marked(docs, benchmark).collect()}
+
+
+def test_number_heavy_and_short_items(spark):
+    items = [(1, "What comes next 2 4 8 16 32 64 128"), (2, "name the planet"), (3, "7 kg")]
+    texts = {
+        1: "Copied here: What comes next 2 4 8 16 32 64 128 and then on.",
+        2: "What comes next 3 9 27 81 243 729 2187",
+        3: "Long before anybody could Name the Planet, it was seen by sailors.",
+        4: "A bag of 7 kg was left at the door of the shop that night.",
+        5: "A bag of 8 kg was left at the door of the shop that night.",
+        6: "8 kg",
+    }
+    assert held_items(spark, items, texts) == {1: [1], 2: [], 3: [2], 4: [3], 5: [], 6: [3]}
