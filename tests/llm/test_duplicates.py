@@ -174,3 +174,20 @@ def test_number_heavy_and_short_items(spark):
         6: "8 kg",
     }
     assert held_items(spark, items, texts) == {1: [1], 2: [], 3: [2], 4: [3], 5: [], 6: [3]}
+
+
+def test_items_with_other_values(spark):
+    items = [
+        (1, "There is a small market held every morning in town. Anna has 5 apples and gives two of them to her brother before lunch."),
+        (2, "The distance between Paris and the harbour is 300 km and a train needs three hours for the whole way along the river coast."),
+        (3, " ".join(f"term{k}" for k in range(40))),
+        (4, " ".join(f"part{k}" for k in range(20))),
+    ]
+    texts = {
+        1: "There is a small market held every morning in town. Ben has 7 apples and gives four of them to her brother before lunch.",
+        2: "The distance between New York City and the harbour is 250 and a train needs 2 hours for the whole way along the river coast.",
+        3: "Before it " + " ".join(f"term{k}" for k in range(26)) + " comes something else",
+        4: " ".join("other" if k == 9 else f"part{k}" for k in range(20)),
+        5: "Before it " + " ".join(f"term{k}" for k in range(16)) + " comes something else",
+    }
+    assert held_items(spark, items, texts) == {1: [1], 2: [2], 3: [3], 4: [4], 5: []}
