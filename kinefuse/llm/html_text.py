@@ -1,15 +1,15 @@
 """Main text of web pages by deducing each host's template.
 
-Tokens of a page are its tags with their place in the tree, and its whole text nodes outside an
-article. The tokens of a host that occur equally often on each of its pages have the same occurrence
+Tokens of a page are its tags with their place in the tree, and its whole text nodes. The tokens of a host that occur equally often on each of its pages have the same occurrence
 vector and form an equivalence class; vectors are compared by a sum of hashes over pages, so no
 vector, page list or host is ever gathered. Classes on most of a host's pages with enough tokens are
 valid. Put in page order and nested in each other they make the host's template, and what a page has
 between the template's tokens are its slots.
 
-The text is taken from the slots: from the article if the page marks one, else from all that is not
-template. Menus, adverts, comments and the like are left out by their elements and class names. An article's
-own paragraphs are never template, even if every page of a host repeats them.
+The text is taken from the slots. Where a page marks an article its slots are taken alone if they hold
+at least as much text as those outside, else all are. What is repeated in an article is template only as
+far as it is the smaller part of it; a page that mostly repeats others keeps its article whole. Menus,
+adverts, comments and the like are left out by their elements and class names.
 """
 
 from __future__ import annotations
@@ -67,7 +67,6 @@ class Page:
         self.tokens: list[str] = []
         #: (place among tokens or -1, block number, left out, in an article, text)
         self.nodes: list[tuple[int, int, bool, bool, str]] = []
-        self.has_article = False
         self._open: list[tuple[str, bool, bool, str]] = [("", False, False, "")]
         self._block = 0
         self._read(source)
@@ -102,11 +101,8 @@ class Page:
                 self.nodes.append((-1, self._block, *self._open[-1][1:3], " "))
             return
         _, left_out, inside, path = self._open[-1]
-        place = -1
-        if not inside:
-            place = len(self.tokens)
-            self.tokens.append(f"{path}={' '.join(text.split())}")
-        self.nodes.append((place, self._block, left_out, inside, text))
+        self.nodes.append((len(self.tokens), self._block, left_out, inside, text))
+        self.tokens.append(f"{path}={' '.join(text.split())}")
 
     def _start(self, name: str, rest: str) -> None:
         if name in BLOCK:
@@ -130,10 +126,8 @@ class Page:
             or attributes.get("aria-hidden") == "true"
         )
         inside = inside or name in ("article", "main") or attributes.get("role") == "main"
-        self.has_article |= inside and not left_out
         path = f"{path}/{name}.{attributes.get('class', '')}" if len(path) < 400 else path
-        if not self._open[-1][2]:
-            self.tokens.append(path)
+        self.tokens.append(path)
         if name not in VOID:
             self._open.append((name, left_out, inside, path))
 
@@ -143,8 +137,7 @@ class Page:
         for k in range(len(self._open) - 1, 0, -1):
             if self._open[k][0] == name:
                 del self._open[k:]
-                if not self._open[-1][2]:
-                    self.tokens.append(f"{self._open[-1][3]}/{name}/")
+                self.tokens.append(f"{self._open[-1][3]}/{name}/")
                 return
 
     def _close_upto(self, name: str) -> None:
@@ -158,17 +151,27 @@ class Page:
 
     def text(self, template: dict[int, float]) -> str:
         """Text of the slots. template: hashes of the template's tokens and their mean places."""
-        fixed = np.zeros(len(self.tokens), bool)
-        if template and not self.has_article:
+        fixed = [False] * len(self.tokens)
+        if template:
             hashes = token_hashes(self.tokens).view(np.int64).tolist()
-            last = -1.0
+            last, seen = -1.0, set()
             for k, token in enumerate(hashes):
                 place = template.get(token)
-                if place is not None and place >= last:
-                    fixed[k], last = True, place
+                if place is not None and (place >= last or token in seen):
+                    fixed[k], last = True, max(last, place)
+                    seen.add(token)
+        # Text in articles and outside, in slots and in the template.
+        sizes = {(inside, repeated): 0 for inside in (False, True) for repeated in (False, True)}
+        for place, _, left_out, inside, text in self.nodes:
+            if place >= 0 and not left_out:
+                sizes[inside, fixed[place]] += len(text.strip())
+        whole = sizes[True, True] > sizes[True, False]
+        article = sizes[True, False] + (sizes[True, True] if whole else 0)
+        outside = article < sizes[False, False]
         blocks: dict[int, list[str]] = {}
         for place, block, left_out, inside, text in self.nodes:
-            if not left_out and inside == self.has_article and not (place >= 0 and fixed[place]):
+            repeated = place >= 0 and fixed[place]
+            if not left_out and ((whole or not repeated) if inside else ((outside or not article) and not repeated)):
                 blocks.setdefault(block, []).append(text)
         joined = (" ".join(html.unescape("".join(x)).split()) for x in blocks.values())
         return "\n\n".join(x for x in joined if x)

@@ -117,6 +117,25 @@ def test_pages(spark):
     assert html_text.main_texts(spark.createDataFrame([], PAGE)).count() == 0
 
 
+def page_texts(spark, sources, host="http://e.example/"):
+    rows = [(k, f"{host}{k}", source, "h", "t") for k, source in enumerate(sources)]
+    return [r.text for r in html_text.main_texts(spark.createDataFrame(rows, PAGE)).orderBy("page_id").collect()]
+
+
+def test_template_of_marked_pages(spark):
+    page = "<body><div class='x1'>Top line</div><article><p class='x2'>Read us daily</p><p>Story %s goes on for a while</p><p class='x2'>Give now</p></article></body>"
+    stories = ["of one", "of two", "of three", "of four"]
+    assert page_texts(spark, [page % x for x in stories]) == [f"Story {x} goes on for a while" for x in stories]
+    copies = "<body><article><p>The same long text on all pages of the host</p><p>%s</p></article></body>"
+    assert page_texts(spark, [copies % x for x in "ab"]) == [f"The same long text on all pages of the host\n\n{x}" for x in "ab"]
+
+
+def test_marks_do_not_hide_the_page(spark):
+    page = "<body><div><p>A long text that no article holds, with many words.</p></div><article>%s</article></body>"
+    assert page_texts(spark, [page % ""]) == ["A long text that no article holds, with many words."]
+    assert page_texts(spark, [page % "teaser"]) == ["A long text that no article holds, with many words.\n\nteaser"]
+
+
 def test_archives(spark):
     pages = [(1, "http://a/", "same"), (2, "http://a/\r\nWARC-Type: fake", "same"), (3, None, None), (4, "u", ""), (5, "u", "WARC/1.1\r\n\r\nWARC-Type: x\r\n\r\n\r\n\r\nWARC/1.1 é\n"), (6, "u", "z" * 3_000_000), (7, "u", "same"), (7, "u", "same"), (None, "u", "same")]
     path = new_path(spark, "test-warc")
