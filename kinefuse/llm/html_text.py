@@ -9,7 +9,8 @@ between the template's tokens are its slots.
 The text is taken from the slots. Where a page marks an article its slots are taken alone if they hold
 at least as much text as those outside, else all are. What is repeated in an article is template only as
 far as it is the smaller part of it; a page that mostly repeats others keeps its article whole. Menus,
-adverts, comments and the like are left out by their elements and class names.
+adverts, comments and the like are left out by their elements and by whole class names; names of
+several words are left to the template.
 """
 
 from __future__ import annotations
@@ -47,13 +48,15 @@ LEFT_OUT_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices comment comments reply replies "
     "sidebar menu nav navigation navbar breadcrumb breadcrumbs share sharing social related newsletter subscribe popup modal footer header masthead hidden".split()
 )
+#: Elements that class names never leave out, and names that leave out nothing in an article.
+KEPT = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
+KEPT_NAMES = frozenset("header masthead".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table article section div body main td th blockquote".split())
 
 _MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_NAME = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -115,12 +118,12 @@ class Page:
             self._close_upto(other)
         attributes = _attributes(rest)
         _, left_out, inside, path = self._open[-1]
-        names = set(_NAME.findall(attributes.get("class", "") + " " + attributes.get("id", "")))
+        names = set() if name in KEPT else {*attributes.get("class", "").split(), *attributes.get("id", "").split()} & LEFT_OUT_NAMES
         left_out = (
             left_out
             or name in LEFT_OUT
             or (name == "header" and not inside)
-            or bool(names & LEFT_OUT_NAMES)
+            or bool(names - KEPT_NAMES if inside else names)
             or attributes.get("role") in LEFT_OUT_ROLES
             or "hidden" in attributes
             or attributes.get("aria-hidden") == "true"

@@ -136,6 +136,20 @@ def test_marks_do_not_hide_the_page(spark):
     assert page_texts(spark, [page % "teaser"]) == ["A long text that no article holds, with many words.\n\nteaser"]
 
 
+def test_names_in_compounds(spark):
+    kept = [
+        "<html class='cookies-unset'><body class='single right-sidebar'><p>text</p></body></html>",
+        "<body class='sidebar'><article class='post has-comments'><p>text</p></article></body>",
+        "<article class='related'><p>text</p></article>",
+        "<article><div class='entry-header'><h1>text</h1></div></article>",
+        "<article><div class='header'><h1 class='banner'>text</h1></div></article>",
+        "<article><div class='social-science'>text</div><div class='related'>other</div></article>",
+        "<article><div class='share-price' style='overflow:hidden' data-id='menu'>text</div></article>",
+        "<div class='ad'>buy</div><p>text</p><div id='comments'><h2>said</h2></div>",
+    ]
+    assert [page_texts(spark, [x])[0] for x in kept] == ["text"] * len(kept)
+
+
 def test_archives(spark):
     pages = [(1, "http://a/", "same"), (2, "http://a/\r\nWARC-Type: fake", "same"), (3, None, None), (4, "u", ""), (5, "u", "WARC/1.1\r\n\r\nWARC-Type: x\r\n\r\n\r\n\r\nWARC/1.1 é\n"), (6, "u", "z" * 3_000_000), (7, "u", "same"), (7, "u", "same"), (None, "u", "same")]
     path = new_path(spark, "test-warc")
