@@ -38,8 +38,10 @@ MATCHES = 24
 PERCENT = 80
 SHINGLE = 5
 
-#: Sizes of the blocks in which the members outside a list's main component are compared.
-OUTSIDERS, PART_NODES, CHUNK_NODES = 512, 1024, 4096
+#: Sizes of the blocks in which the members outside a list's main component meet the list's members.
+OUTSIDERS, MEMBERS = 512, 4096
+#: Sizes of the blocks in which full sets are compared: sets or outsiders, and their shingles.
+PART_NODES, CHUNK_NODES, BLOCK_SHINGLES = 1024, 4096, 1 << 21
 
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _BLOCK = 4096
@@ -131,47 +133,45 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(_similar(common, F.size("_set_a"), F.size("_set_b"), percent)).select("a", "b")
 
 
-PARTNERS = "o long, home long, part int, chunk int, partners array<long>"
+PARTNERS = "o long, n_o long, home long, part int, partners array<long>"
 
 
 def _partners(percent: int):
-    """The members of a list's block that its outsiders must be compared with, packed by outsider and home.
+    """The members of one block (right) that the outsiders of another (left) must be compared with, packed by outsider, home and part.
 
     A pair is taken in the first list that both are in, and only if the shingles they alone have leave room for the similarity.
     """
 
-    def find(rows: pa.Table) -> pa.Table:
-        columns = {c: rows.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("node", "n", "common", "comp", "main", "out", "home", "size")}
-        node, n, common, comp, home = (columns[c] for c in ("node", "n", "common", "comp", "home"))
-        this, inside = rows.column("key")[0].as_py(), comp == columns["main"]
-        parts, chunks = -(-columns["size"] // PART_NODES), -(-columns["size"] // CHUNK_NODES)
-        part = (mix(node.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int32)
-        lists = rows.column("keys").combine_chunks()
-        keys, begins = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        owner = np.repeat(np.arange(len(node)), np.diff(begins))
-        before = keys < this
-        order = np.argsort(keys[before], kind="stable")
-        sorted_keys, holders = keys[before][order], owner[before][order]
-        out = {"o": [], "home": [], "part": [], "chunk": [], "partners": []}
-        for k in np.flatnonzero(columns["out"]).tolist():
-            least = np.minimum(common, common[k])
-            wanted = (comp != comp[k]) & (inside | (node > node[k])) & (100 * least >= percent * (n + n[k] - least))
-            own = keys[begins[k] : begins[k + 1]]
-            for key in own[own < this].tolist():
-                wanted[holders[np.searchsorted(sorted_keys, key) : np.searchsorted(sorted_keys, key, "right")]] = False
-            found = np.flatnonzero(wanted)
-            if not len(found):
-                continue
-            found = found[np.lexsort((part[found], home[found]))]
-            cut = np.flatnonzero(np.append(True, (home[found][1:] != home[found][:-1]) | (part[found][1:] != part[found][:-1])))
-            chunk = mix(node[k : k + 1].view(np.uint64) + M1)[0]
-            for group in np.split(found, cut[1:]):
-                out["o"].append(node[k])
-                out["home"].append(home[group[0]])
-                out["part"].append(part[group[0]])
-                out["chunk"].append(int(chunk % np.uint64(chunks[group[0]])))
-                out["partners"].append(node[group])
-        kinds = {"o": pa.int64(), "home": pa.int64(), "part": pa.int32(), "chunk": pa.int32(), "partners": pa.list_(pa.int64())}
+    def find(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {"o": [], "n_o": [], "home": [], "part": [], "partners": []}
+        if left.num_rows and right.num_rows:
+            columns = {c: right.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("node", "n", "common", "comp", "main", "home", "part")}
+            node, n, common, comp, home, part = (columns[c] for c in ("node", "n", "common", "comp", "home", "part"))
+            this, inside = right.column("key")[0].as_py(), comp == columns["main"]
+            lists = right.column("keys").combine_chunks()
+            keys, begins = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            owner = np.repeat(np.arange(len(node)), np.diff(begins))
+            before = keys < this
+            order = np.argsort(keys[before], kind="stable")
+            sorted_keys, holders = keys[before][order], owner[before][order]
+            for o, n_o, common_o, comp_o, own in zip(*(left.column(c).to_pylist() for c in ("node", "n", "common", "comp", "keys")), strict=True):
+                least = np.minimum(common, common_o)
+                wanted = (comp != comp_o) & (inside | (node > o)) & (100 * least >= percent * (n + n_o - least))
+                for key in own:
+                    if key < this:
+                        wanted[holders[np.searchsorted(sorted_keys, key) : np.searchsorted(sorted_keys, key, "right")]] = False
+                found = np.flatnonzero(wanted)
+                if not len(found):
+                    continue
+                found = found[np.lexsort((part[found], home[found]))]
+                cut = np.flatnonzero(np.append(True, (home[found][1:] != home[found][:-1]) | (part[found][1:] != part[found][:-1])))
+                for group in np.split(found, cut[1:]):
+                    out["o"].append(o)
+                    out["n_o"].append(n_o)
+                    out["home"].append(home[group[0]])
+                    out["part"].append(part[group[0]])
+                    out["partners"].append(node[group])
+        kinds = {"o": pa.int64(), "n_o": pa.int64(), "home": pa.int64(), "part": pa.int32(), "partners": pa.list_(pa.int64())}
         return pa.Table.from_pydict({c: pa.array(out[c], kinds[c]) for c in kinds})
 
     return find
@@ -202,37 +202,49 @@ def _compared(percent: int):
     return find
 
 
+def _homes(placed: DataFrame, leads: DataFrame) -> DataFrame:
+    """node, keys, home, part: the lists of each class, the least lead of these, and a part of its home, of bounded sets and shingles."""
+    known = placed.select("key", "node", "n").join(leads, "key").groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"), F.min("lead").alias("home"), F.max("n").alias("n"))
+    parts = F.greatest(F.ceil(F.count("*") / PART_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts")
+    known = known.join(known.groupBy("home").agg(parts), "home")
+    return known.select("node", "keys", "home", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int").alias("part"))
+
+
+def _blocked(placed: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Outsiders and members of the lists by (key, block, against): a block of about OUTSIDERS of the first against one of about MEMBERS of the second."""
+    rows = placed.join(known, "node")
+    block, against = (F.pmod(F.xxhash64("node", F.lit(k)), F.col(n)).cast("int") for k, n in ((0, "blocks"), (1, "sides")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outsiders = rows.where("comp <> main").withColumn("block", block).withColumn("against", every("sides"))
+    members = rows.withColumn("against", against).withColumn("block", every("blocks"))
+    # Columns of their own: both sides come from the same tables.
+    outsiders = outsiders.select(*(F.col(c).alias(c) for c in ("key", "block", "against", "node", "n", "common", "comp", "keys")))
+    return outsiders, members.select("key", "block", "against", "node", "n", "common", "comp", "main", "keys", "home", "part")
+
+
 def _outsiders(placed: DataFrame, leads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of the members outside their lists' main components.
 
-    Pairs are formed and compared inside tasks, by blocks of at most about OUTSIDERS outsiders, and of
-    PART_NODES sets against CHUNK_NODES outsiders, so no table has a row for each pair. A class's home
-    is the least lead of its lists, where most of its partners are at home too.
+    Pairs are formed and compared inside tasks, by blocks of both sides, so no table has a row for each
+    pair and no task holds a list. A class's home is the least lead of its lists, where most of its
+    partners are at home too.
     """
-    known = placed.select("key", "node").join(leads, "key").groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"), F.min("lead").alias("home"))
-    sizes = known.groupBy("home").agg(F.count("*").alias("size"))
-    known = write_and_read(known.join(sizes, "home"), "homes")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = placed.join(known, "node").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("out", (F.col("comp") != F.col("main")) & (block == F.col("block")))
-    asked = rows.groupBy("key", "block").applyInArrow(_partners(percent), PARTNERS)
-    asked = asked.groupBy("o", "home", "part", "chunk").agg(F.flatten(F.collect_list("partners")).alias("partners"))
-    asked = write_and_read(asked, "outsiders").join(sets.select(F.col("node").alias("o"), F.array_sort("shingles").alias("shingles")), "o")
-    # The same hash as in the tasks: they place a class by `mix`, so its part is computed there once more.
-    held = known.join(sets.select("node", "shingles"), "node").mapInArrow(_with_part, "home long, part int, chunks int, node long, shingles array<long>")
-    held = held.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    known = write_and_read(_homes(placed, leads), "homes")
+    outsiders, members = _blocked(placed, known)
+    by = ("key", "block", "against")
+    asked = outsiders.groupBy(*by).cogroup(members.groupBy(*by)).applyInArrow(_partners(percent), PARTNERS)
+    asked = asked.groupBy("o", "home", "part").agg(F.any_value("n_o").alias("n_o"), F.flatten(F.collect_list("partners")).alias("partners"))
+    asked = write_and_read(asked, "outsiders")
+    chunks = F.greatest(F.ceil(F.count("*") / CHUNK_NODES), F.ceil(F.sum("n_o") / BLOCK_SHINGLES)).cast("int").alias("chunks")
+    chunks = write_and_read(asked.groupBy("home", "part").agg(chunks), "chunks")
+    asked = asked.join(chunks, ["home", "part"]).withColumn("chunk", F.pmod(F.xxhash64("o"), F.col("chunks")).cast("int"))
+    asked = asked.join(sets.select(F.col("node").alias("o"), F.array_sort("shingles").alias("shingles")), "o").select("home", "part", "chunk", "o", "partners", "shingles")
+    held = known.join(chunks, ["home", "part"]).join(sets.select("node", "shingles"), "node").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    held = held.select(*(F.col(c).alias(c) for c in ("home", "part", "chunk", "node", "shingles")))
     by = ("home", "part", "chunk")
     return asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(_compared(percent), "a long, b long").distinct()
 
 
-def _with_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in batches:
-        node, size = rows.column("node").to_numpy(), rows.column("size").to_numpy()
-        part = (mix(node.view(np.uint64)) % (-(-size // PART_NODES)).astype(np.uint64)).astype(np.int32)
-        arrays = [rows.column("home"), pa.array(part), pa.array((-(-size // CHUNK_NODES)).astype(np.int32)), rows.column("node"), rows.column("shingles")]
-        yield pa.RecordBatch.from_arrays(arrays, ["home", "part", "chunks", "node", "shingles"])
-
-
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row, and _uid, _tie, which tell rows apart unless doc_id and text are equal.
 
@@ -274,7 +286,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     placed = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mains = placed.groupBy("key", "comp").agg(F.count("*").alias("_size")).groupBy("key")
     mains = mains.agg(F.max_by("comp", F.struct("_size", "comp")).alias("main"), F.count("*").alias("_comps"), F.sum("_size").alias("_all"), F.max("_size").alias("_most"))
-    mixed = mains.where("_comps > 1").select("key", "main", F.ceil((F.col("_all") - F.col("_most")) / OUTSIDERS).cast("int").alias("blocks"))
+    blocks = (F.ceil(n / size).cast("int").alias(name) for n, size, name in ((F.col("_all") - F.col("_most"), OUTSIDERS, "blocks"), (F.col("_all"), MEMBERS, "sides")))
+    mixed = mains.where("_comps > 1").select("key", "main", *blocks)
     placed = write_and_read(placed.join(mixed, "key"), "mixed-lists")
     more = write_and_read(_outsiders(placed, leads.select("key", F.col("node").alias("lead")), sets, percent), "rest-links")
 

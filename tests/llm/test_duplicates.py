@@ -60,6 +60,23 @@ def test_near_duplicates_of_edited_copies(spark):
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id, r.kept)) for r in found) == brute_components(pairs, 3, 85)
 
 
+def test_lists_of_a_templated_source(spark, monkeypatch):
+    """A third of the classes from one template, in many components: no group holds a list, and the links are those of all pairs."""
+    for name, size in (("OUTSIDERS", 8), ("MEMBERS", 16), ("PART_NODES", 16), ("CHUNK_NODES", 16), ("BLOCK_SHINGLES", 2000)):
+        monkeypatch.setattr(near_duplicates, name, size)
+    made, blocked = [], near_duplicates._blocked
+    monkeypatch.setattr(near_duplicates, "_blocked", lambda *x: made.append(blocked(*x)) or made[-1])
+    frame = [f"frame{k}" for k in range(60)]
+    pairs = [(k, " ".join(frame + [f"own{k % 60}x{j}" for j in range(22)] + [f"z{k}"])) for k in range(120)]
+    pairs += [(200 + k, " ".join(f"other{k}x{j}" for j in range(40))) for k in range(240)]
+    found = near_duplicates.near_duplicates(spark.createDataFrame(rows(pairs), DOCS), 3, 85).collect()
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id, r.kept)) for r in found) == brute_components(pairs, 3, 85)
+    ((outsiders, members),) = made
+    by = ("key", "block", "against")
+    assert members.select("key", "node").distinct().groupBy("key").count().agg({"count": "max"}).first()[0] > 64
+    assert max(x.groupBy(*by).count().agg({"count": "max"}).first()[0] for x in (outsiders, members)) <= 48
+
+
 def test_first_of_each_keeps_all_columns(spark, docs, none):
     kept = near_duplicates.first_of_each(docs)
     assert kept.columns == docs.columns
