@@ -69,6 +69,16 @@ def test_classifier(spark, docs, none):
     assert held == {i for i, _ in good + bad if __import__("zlib").crc32(str(i).encode()) % 5 == 0}
 
 
+def test_classifier_sample_is_bounded(spark, monkeypatch):
+    taught = []
+    monkeypatch.setattr(rule_ensemble, "fit", lambda values, labels: taught.append(len(labels)))
+    frame = spark.createDataFrame(rows([(1, f"text {k} of a repeated id") for k in range(50)] + [(2, "same text")] * 30), DOCS)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    rule_ensemble.train(frame, labels, 10)
+    rule_ensemble.train(frame.where("doc_id = 2"), labels, 10)
+    assert taught == [10, 1]
+
+
 PARTS = f"array<struct<{', '.join(f.strip().replace(' ', ':') for f in chat_format.PART.split(','))}>>"
 
 
