@@ -9,7 +9,7 @@ from kinefuse.workloads.registry import Query
 LLM_QUERIES: dict[str, Query] = {}
 LLM_ORACLES: dict[str, str] = {}
 
-MODULES = ("packing", "token_files", "substrings", "near_duplicates", "quality_rules", "chat_format", "warc", "rule_ensemble", "html_text", "decontamination", "prefix_trie")
+MODULES = ("packing", "token_files", "substrings", "near_duplicates", "quality_rules", "chat_format", "warc", "rule_ensemble", "html_text", "decontamination", "prefix_trie", "whitening", "toxicity")
 
 
 def llm_query(sql: str | None = None):
