@@ -37,8 +37,8 @@ from kinefuse.storage import write_and_read
 
 #: Labelled rows that a model is fitted on, as expected by the hash; and stems that it keeps at most.
 SAMPLE_ROWS, STEMS = 40_000, 20_000
-#: Letters of stems; toxic texts that hold one at least; least likelihood ratio (about 1 in a million by chance) and log odds.
-SHORTEST, LONGEST, LEAST_TEXTS, LEAST_RATIO, LEAST_ODDS = 3, 24, 4, 24.0, 2.0
+#: Letters of stems; toxic texts that hold one at least; least likelihood ratio (some 1 in 30,000 by chance) and log odds.
+SHORTEST, LONGEST, LEAST_TEXTS, LEAST_RATIO, LEAST_ODDS = 3, 24, 4, 17.0, 2.0
 #: Part of the texts that the logistic weights are fitted on: one in so many.
 PARTS = 3
 LEAST_SCORE = 0.7
