@@ -14,37 +14,29 @@ from kinefuse.operators.roles import column_profile, discover_roles, scrub_map
 from kinefuse.schemas import KINEMATIC_ROW, ROLES
 from kinefuse.sinks.landing import write_raw_landing
 from kinefuse.sinks.tables import write_sections, write_unified
-from kinefuse.sources.extract import (
-    column_values,
-    explode_records,
-    extract_events,
-    parse_files,
-)
-from kinefuse.sources.files import (
-    load_existing,
-    plain_path,
-    read_text_files,
-    sample_paths,
-    with_owner,
-)
+from kinefuse.sources.chunks import landing_chunks, list_all_files
+from kinefuse.sources.extract import column_values, events_of, explode_records
+from kinefuse.sources.files import plain_path, sample_paths, with_owner
 from kinefuse.sources.sections import read_sections
+from kinefuse.sources.splits import read_parsed
 from kinefuse.storage import new_path, run_folder, write_and_read
 
 
 def land_raw_files(spark: SparkSession, folders: list[str], path: str) -> None:
-    """Append every file below the folders to the raw table, as bytes with fingerprint."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    contents = load_existing(reader, spark, folders)
-    if contents is not None:
-        files = contents.select(plain_path(F.col("path")).alias("file_path"), "content")
-        write_raw_landing(with_owner(files, folders), path)
+    """Append every file below the folders to the raw table, as bytes with fingerprint.
+
+    Hidden and empty files are landed too. A file is a row, a large one as many rows as it has chunks.
+    """
+    listing = write_and_read(list_all_files(spark, folders).distinct(), "listing")
+    chunks = landing_chunks(listing).withColumn("file_path", plain_path(F.col("file_path")))
+    write_raw_landing(with_owner(chunks, folders), path)
 
 
 def discover_maps(spark: SparkSession, sources: DataFrame, folders: list[str]) -> DataFrame:
     """Kinematic map per source path from the first file of each folder; no other file is opened."""
     paths = sample_paths(spark, folders)
     source = F.col("source_path").alias("source")
-    parsed = parse_files(read_text_files(spark, folders, paths))
+    parsed = read_parsed(spark, folders, paths=paths)
     cells = column_values(parsed).select(source, "column", "value")
     associations = sources.select(plain_path(F.col("path")).alias("source"), "association_type")
     return scrub_map(discover_roles(column_profile(cells), associations))
@@ -69,14 +61,13 @@ def source_maps(sources: DataFrame, maps: DataFrame) -> DataFrame:
     )
 
 
-def file_kinematics(files: DataFrame, maps: DataFrame) -> DataFrame:
-    """Whole-file rows to kinematic rows.
+def file_kinematics(parsed: DataFrame, maps: DataFrame) -> DataFrame:
+    """Parsed files, whole or in pieces, to kinematic rows.
 
-    Parsing, column resolution and event projection happen on the file's own row, so the first
-    shuffle carries one partial aggregate per file.
+    Column resolution and event projection happen on the file's own rows, so the first
+    shuffle carries one partial aggregate per piece and sensor.
     """
-    parsed = parse_files(files.join(maps, "source_path"))
-    return kinematics(explode_records(resolve_on_row(parsed)))
+    return kinematics(explode_records(resolve_on_row(parsed.join(maps, "source_path"))))
 
 
 def build_kinematics(
@@ -93,10 +84,10 @@ def build_kinematics(
     flags = _flags(spark, known, named)
     parts: list[DataFrame] = []
     if any(flags.values()):
-        parts.append(file_kinematics(read_text_files(spark, [f for f, mapped in flags.items() if mapped]), known))
+        parts.append(file_kinematics(read_parsed(spark, [f for f, mapped in flags.items() if mapped]), known))
     if not all(flags.values()):
-        texts = read_text_files(spark, [f for f, mapped in flags.items() if not mapped])
-        parts.append(unmapped_kinematics(extract_events(texts)))
+        parsed = read_parsed(spark, [f for f, mapped in flags.items() if not mapped])
+        parts.append(unmapped_kinematics(events_of(parsed)))
     if not parts:
         return spark.createDataFrame([], KINEMATIC_ROW)
     return union_sections(parts)

@@ -193,7 +193,7 @@ def _sensor(source: Column) -> Column:
     return F.coalesce(F.when(source != "", source), F.lit("generic_sensor"))
 
 
-def _all_columns(columns: Column) -> Column:
+def own_columns(columns: Column) -> Column:
     """Payload columns in order, then the event's own time and sensor."""
     own = [F.struct(F.lit(n).alias("name"), F.array(F.lit(n)).alias("path")) for n in ("event_timestamp", "sensor_id")]
     return F.array_distinct(F.concat(columns, F.array(*own)))
@@ -208,7 +208,12 @@ def route_format(files: DataFrame) -> DataFrame:
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """Whole files to `records` array<map>, their `format`, and the ordered `columns` of the file.
+    """Whole files to `records` array<map>, their `format`, and the ordered `columns` of the file, its own time and sensor last."""
+    return parse_documents(files).withColumn("columns", own_columns(F.col("columns")))
+
+
+def parse_documents(files: DataFrame) -> DataFrame:
+    """The same, with the columns of the payloads alone.
 
     All stay on the file's row, so finding out which columns a file has needs no shuffle. Records
     are not flattened: a column is a dotted name and the keys that lead to its values, so that only
@@ -270,19 +275,20 @@ def parse_files(files: DataFrame) -> DataFrame:
         *kept,
         F.when(is_json, "JSON").otherwise("CSV").alias("format"),
         records.alias("records"),
-        _all_columns(F.col("columns")).alias("columns"),
+        F.col("columns"),
     )
 
 
 def explode_records(parsed: DataFrame) -> DataFrame:
     """One row per event with its unflattened `record`. The sensor is the source; a file's time
-    dates events without their own.
+    dates events without their own. Of a file in pieces, `first_position` counts the records before each.
 
     The outer form keeps Spark from adding a filter on the array below, which would parse each
     file a second time.
     """
-    kept = [c for c in parsed.columns if c not in ("records", "columns")]
-    rows = parsed.select(*kept, F.posexplode_outer("records").alias("line", "record")).filter(
+    kept = [c for c in parsed.columns if c not in ("records", "columns", "first_position")]
+    first = F.col("first_position") if "first_position" in parsed.columns else F.lit(0).cast("long")
+    rows = parsed.select(*kept, first.alias("first_position"), F.posexplode_outer("records").alias("line", "record")).filter(
         F.col("line").isNotNull() & ~F.map_contains_key("record", _SENTINEL)
     )
     dated = rows.withColumn(
@@ -291,7 +297,7 @@ def explode_records(parsed: DataFrame) -> DataFrame:
     return dated.select(
         *[c for c in kept if c not in ("modified", "format")],
         "format",
-        F.col("line").cast("long").alias("position"),
+        (F.col("first_position") + F.col("line")).alias("position"),
         F.coalesce(event_time(F.col("time_text"), F.col("time_number")), F.col("modified")).alias(
             "event_timestamp"
         ),
@@ -313,6 +319,11 @@ def column_values(parsed: DataFrame) -> DataFrame:
 
 def extract_events(files: DataFrame) -> DataFrame:
     """Files (source, file_path, modified, text) to events with flat payloads."""
-    rows = explode_records(parse_files(files))
+    return events_of(parse_files(files))
+
+
+def events_of(parsed: DataFrame) -> DataFrame:
+    """Parsed files to events with flat payloads."""
+    rows = explode_records(parsed)
     payload = F.when(F.col("format") == "JSON", flatten_record(F.col("record"))).otherwise(F.col("record"))
     return rows.withColumn("payload", payload).drop("record", "format")

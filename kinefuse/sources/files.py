@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinefuse.functions.text import base_name, file_extension, known_association, lenient_utf8
+from kinefuse.sources.chunks import PACKED_RATIO, is_packed, list_all_files
 from kinefuse.storage import write_and_read
 
 # File endings and the type they stand for; road networks are not sensor data.
@@ -132,25 +133,41 @@ def register_sources(folders: DataFrame) -> DataFrame:
     )
 
 
+def ancestors(path: Column) -> Column:
+    """All folders that a plain path lies below, outermost first."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
 def with_owner(files: DataFrame, folders: list[str]) -> DataFrame:
-    """Add the folder a file belongs to and its name; a file below two of the folders is in both."""
-    roots = F.array(*[plain_path(F.lit(folder)) for folder in folders]).cast("array<string>")
-    path = F.col("file_path")
-    owners = F.filter(roots, lambda root: F.startswith(path, F.concat(root, F.lit("/"))))
-    return files.withColumn("source_path", F.explode(owners)).withColumn(
-        "source", base_name(F.col("source_path"))
-    )
+    """Add the folder a file belongs to and its name; a file below two of the folders is in both.
+
+    A file looks up each folder above it, whose number is the depth of its path. The table of folders is
+    written, so that Spark joins it where the files are as long as it is small.
+    """
+    spark = files.sparkSession
+    rows = spark.createDataFrame([(f,) for f in dict.fromkeys(folders)], "folder string")
+    roots = write_and_read(rows.select(plain_path(F.col("folder")).alias("source_path")).distinct(), "folders")
+    above = files.withColumn("source_path", F.explode(ancestors(F.col("file_path"))))
+    columns = [c for c in files.columns if c not in ("source_path", "source")]
+    return above.join(roots, "source_path").select(*columns, "source_path", base_name(F.col("source_path")).alias("source"))
 
 
-def read_text_files(spark: SparkSession, folders: list[str], paths: list[str] | None = None) -> DataFrame:
+def read_text_files(
+    spark: SparkSession, folders: list[str], paths: list[str] | None = None, most_bytes: int | None = None
+) -> DataFrame:
     """One row per file below the folders, whatever its name and size; `.gz` is decompressed.
 
-    `paths` narrows the reading to some files.
+    `paths` narrows the reading to some files, `most_bytes` to those that are no larger once unpacked;
+    Spark tells that from the listing.
     """
     reader = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true")
     texts = load_existing(reader, spark, folders if paths is None else paths)
     if texts is None:
         return spark.createDataFrame([], _WHOLE)
+    if most_bytes is not None:
+        path, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
+        texts = texts.where(F.when(is_packed(path), size * PACKED_RATIO).otherwise(size) <= most_bytes)
     decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     read = texts.select(
         plain_path(decoded).alias("file_path"),
@@ -161,8 +178,8 @@ def read_text_files(spark: SparkSession, folders: list[str], paths: list[str] |
 
 
 def sample_paths(spark: SparkSession, folders: list[str]) -> list[str]:
-    """Lowest path below each folder; from the listing alone, one path per folder comes back."""
-    listed = with_owner(list_files(spark, folders).withColumnRenamed("path", "file_path"), folders)
+    """Lowest path below each folder, of a hidden file too; from the listing alone, one path per folder comes back."""
+    listed = with_owner(list_all_files(spark, folders).select(plain_path(F.col("path")).alias("file_path")).distinct(), folders)
     first = listed.groupBy("source_path").agg(F.min("file_path").alias("file_path"))
     return [row.file_path for row in first.collect()]
 

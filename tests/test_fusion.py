@@ -209,9 +209,14 @@ def test_two_sources_with_one_name(spark, tmp_path):
 def test_landed_folders_and_counts(spark, city, tmp_path):
     sources, folders = sources_of(spark, city)
     target = str(tmp_path / "raw")
+    (city / "loop" / "_x").write_text("hidden")
+    (city / "loop" / "none").write_text("")
     fusion.land_raw_files(spark, folders, target)
+    assert {(r.filename, r.file_size_bytes, r.chunk) for r in spark.read.parquet(target).collect()} >= {("_x", 6, 0), ("none", 0, 0)}
+    for name in ("_x", "none"):
+        (city / "loop" / name).unlink()
     landed = {(r.source_id, r.filename) for r in spark.read.parquet(target).collect()}
-    assert landed == {("Radar A", "a.json"), ("Radar A", "b.json"), ("loop", "c.csv"), ("feed", "d.json")}
+    assert landed == {("Radar A", "a.json"), ("Radar A", "b.json"), ("loop", "c.csv"), ("feed", "d.json"), ("loop", "_x"), ("loop", "none")}
     (city / "loop" / "header.csv").write_text("a,b\n")
     listed = files.list_files(spark, folders).withColumnRenamed("path", "file_path")
     rows = fusion.build_kinematics(spark, sources, folders)
