@@ -1,10 +1,12 @@
 """Token ids of whole texts, by the tokenizers library.
 
-A byte-level BPE tokenizer first cuts a text into words and never merges across a cut. In a text whose
-white space is single spaces and line breaks it always cuts before a space, around a line break, and
-between a letter and punctuation that ends a word. Such texts are encoded in these pieces, and every
-distinct piece needs the tokenizer only once; other texts are encoded as they stand. Each worker
-process keeps the ids of the pieces it has met lately, up to PIECES of them.
+A byte-level BPE tokenizer first cuts a text into words and never merges across a cut. It always cuts before
+white space, and in a run of white space before its last character, unless the text ends there; it cuts behind white
+space other than a space, and between a letter and punctuation that ends the word. Texts are encoded in these
+pieces, whatever their white space, and every distinct piece needs the tokenizer only once. Unknown pieces go
+through the tokenizer many at a time, a line break between each two. Texts with control characters, or with
+a special token of the vocabulary in them, are encoded as they stand. Each worker process keeps the ids of the
+pieces it has met lately, up to PIECES of them.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import gc
 import os
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,18 +23,22 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 
 END_ID = 0
-#: Most pieces that a worker process remembers, about 150 bytes each.
-PIECES = 240_000
-#: Texts or pieces that the tokenizer takes at once.
-BATCH = 4096
+#: Most pieces that a worker process remembers, some 250 bytes each.
+PIECES = 400_000
+#: Unknown pieces in one text for the tokenizer, and texts that it takes at once.
+JOINED, BATCH = 256, 16
 #: Texts are encoded in runs of about this many bytes, which bounds a task's memory.
 RUN_BYTES = 3_000_000
 
-# White space and control characters. Texts with two in a row, or with others than space and line break, are encoded whole.
-_WHITE = r"\x00-\x20\x7f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}"
-_IRREGULAR = rf"[{_WHITE}][{_WHITE}]|[\x00-\x09\x0b-\x1f\x7f\x{{85}}\x{{a0}}\x{{1680}}\x{{180e}}\x{{2000}}-\x{{200f}}\x{{2028}}-\x{{202f}}\x{{205f}}-\x{{206f}}\x{{3000}}\x{{feff}}]"
+# White space as the tokenizer's pattern knows it, with and without the plain space.
+_OTHER_WHITE = r"\t\n\x0b\x0c\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_WHITE = r"\x20" + _OTHER_WHITE
+# Characters that are white space to some readers and not to others, and the marks below.
+_ODD = r"[\x00-\x08\x0e-\x1f\x7f\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{feff}]"
+# White space other than single spaces and single line breaks.
+_UNEVEN = rf"[{_WHITE}][{_WHITE}]|[\t\x0b-\r\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]"
 _WORD_END = r"([A-Za-zÀ-ÖØ-öø-ɏ])([.,!|$%&*#]+[\x00\n])"
-# Marks that no regular text holds: a cut, a text's end, a text encoded whole.
+# Marks that no text in pieces holds: a cut, a text's end, a text encoded whole.
 _CUT, _END, _WHOLE = "\x00", "\x01", "\x02"
 _encoders: dict[str, "PieceEncoder"] = {}
 
@@ -56,70 +63,115 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        # Two generations: what was not met again while the younger one filled up is forgotten.
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def raw(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; a few thousand at a time, as the library's results take far more memory than ids."""
-        ids: list[bytes] = []
+        self.special = sorted(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
+        (self.break_id,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known pieces by number; number k has the ids pool[starts[k] : starts[k + 1]]."""
+        self.known: dict[str, int] = {"": 0, _END: 1}
+        self.pool, self.starts = np.array([END_ID], "<u4"), np.array([0, 0, 1])
+
+    def raw(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; a few at a time, as the library's results take far more memory than ids."""
+        ids: list[np.ndarray] = []
         for start in range(0, len(texts), BATCH):
             found = self.tokenizer.encode_batch_fast(texts[start : start + BATCH], add_special_tokens=False)
-            ids += [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
+            ids += [np.array(x.ids, "<u4") for x in found]
         return ids
 
-    def pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece, as little-endian unsigned 32-bit integers. Pieces are distinct."""
-        known, older = self.known, self.older
-        ids = [known.get(piece) for piece in pieces]
-        open_at = [k for k, found in enumerate(ids) if found is None]
-        new = []
-        for k in open_at:
-            piece = pieces[k]
-            if piece in older:
-                known[piece] = ids[k] = older[piece]
-            else:
-                new.append(k)
-        if new:
-            for k, found in zip(new, self.raw([pieces[k] for k in new]), strict=True):
-                known[pieces[k]] = ids[k] = found
-        if len(known) > PIECES // 2:
-            self.known, self.older = {}, known
-        return ids
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that do not end in white space, one after the other, and the number of ids of each. The line breaks between them are words of their own."""
+        groups = self.raw(["\n".join([*pieces[k : k + JOINED], ""]) for k in range(0, len(pieces), JOINED)])
+        ids = np.concatenate([np.empty(0, "<u4"), *groups])
+        breaks = ids == self.break_id
+        at = np.flatnonzero(breaks)
+        if len(at) != len(pieces):
+            raise ValueError("the vocabulary does not keep line breaks apart")
+        return ids[~breaks], np.diff(at, prepend=-1) - 1
+
+    def _learn(self, pieces: list[str]) -> np.ndarray:
+        """Numbers of distinct pieces that were not known."""
+        spaced = np.fromiter((p[-1].isspace() for p in pieces), bool, len(pieces))
+        order = np.argsort(spaced, kind="stable")
+        count = len(pieces) - int(spaced.sum())
+        self._add(*self._joined([pieces[k] for k in order[:count].tolist()]))
+        single = self.raw([pieces[k] for k in order[count:].tolist()])
+        self._add(np.concatenate([np.empty(0, "<u4"), *single]), np.fromiter(map(len, single), np.int64, len(single)))
+        numbers = np.empty(len(pieces), np.int64)
+        numbers[order] = np.arange(len(pieces)) + len(self.starts) - 1 - len(pieces)
+        self.known.update(zip(pieces, numbers.tolist(), strict=True))
+        return numbers
+
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.pool = np.concatenate([self.pool, ids])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+
+    def _marked(self, texts: pa.Array) -> pa.Array:
+        """Texts with a mark at each cut, and at their ends."""
+        uneven = pc.match_substring_regex(texts, _UNEVEN)
+        even = pc.replace_substring(texts, " ", f"{_CUT} ")
+        end = pa.scalar(_END, texts.type)
+        even = pc.replace_substring_regex(pc.binary_join_element_wise(even, end, pa.scalar(_CUT, texts.type)), _WORD_END, rf"\1{_CUT}\2")
+        even = pc.replace_substring(even, "\n", f"{_CUT}\n{_CUT}")
+        if not pc.any(uneven).as_py():
+            return even
+        cut = pc.replace_substring_regex(texts.filter(uneven), rf"([{_WHITE}]+)", rf"{_CUT}\1")
+        cut = pc.replace_substring_regex(cut, rf"([{_WHITE}]+)([{_WHITE}])([^{_WHITE}\x00])", rf"\1{_CUT}\2\3")
+        cut = pc.replace_substring_regex(cut, rf"([{_OTHER_WHITE}])([^{_WHITE}\x00])", rf"\1{_CUT}\2")
+        cut = pc.replace_substring_regex(pc.binary_join_element_wise(cut, end, pa.scalar(_CUT, texts.type)), _WORD_END, rf"\1{_CUT}\2")
+        return pc.replace_with_mask(even, uneven, cut)
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, each text ended by END_ID, and where each text begins (one more entry than texts)."""
         if len(texts) == 0:
             return np.empty(0, "<u4"), np.zeros(1, np.int64)
-        irregular = pc.match_substring_regex(texts, _IRREGULAR)
-        whole = np.flatnonzero(irregular.to_numpy(zero_copy_only=False))
-        kept = [texts[k].as_py() for k in whole.tolist()]
+        odd = pc.match_substring_regex(texts, _ODD)
+        for token in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        kept = [texts[k].as_py() for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()]
         if kept:
-            texts = pc.replace_with_mask(texts, irregular, pa.array([f"{_WHOLE}{k}" for k in range(len(kept))], texts.type))
-        marked = pc.replace_substring(texts, " ", f"{_CUT} ")
-        marked = pc.binary_join_element_wise(marked, pa.scalar(_END, texts.type), pa.scalar(_CUT, texts.type))
-        marked = pc.replace_substring_regex(marked, _WORD_END, rf"\1{_CUT}\2")
-        marked = pc.replace_substring(marked, "\n", f"{_CUT}\n{_CUT}")
-        lists = pc.split_pattern(marked, _CUT)
+            texts = pc.replace_with_mask(texts, odd, pa.array([f"{_WHOLE}{k}" for k in range(len(kept))], texts.type))
+        lists = pc.split_pattern(self._marked(texts), _CUT)
         at = lists.offsets.to_numpy().astype(np.int64)
         at -= at[0]
         coded = lists.flatten().dictionary_encode()
         index, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        plain = [x for x in names if x[:1] not in (_END, _WHOLE)]
-        ids = dict(zip(plain, self.pieces(plain), strict=True))
-        ids[_END] = np.array([END_ID], "<u4").tobytes()
-        ids |= zip((f"{_WHOLE}{k}" for k in range(len(kept))), self.raw(kept), strict=True)
-        table = [ids[x] for x in names]
-        lengths = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        pool = np.frombuffer(b"".join(table), "<u4")
-        taken = lengths[index]
+        if len(self.known) > PIECES:
+            self._remember(names)
+        number = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        unknown = np.flatnonzero(number < 0).tolist()
+        whole = [k for k in unknown if names[k][0] == _WHOLE] if kept else []
+        pieces = [k for k in unknown if names[k][0] != _WHOLE] if kept else unknown
+        number[pieces] = self._learn([names[k] for k in pieces])
+        first = len(self.starts) - 1
+        if kept:
+            ids = self.raw(kept)
+            self._add(np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
+            number[whole] = [first + int(names[k][1:]) for k in whole]
+        number = number[index]
+        begin = self.starts[number]
+        taken = self.starts[number + 1] - begin
         stops = np.cumsum(taken)
-        shift = (np.cumsum(lengths) - lengths)[index] - (stops - taken)
-        small = np.int32 if max(len(pool), stops[-1]) < 2**31 else np.int64
-        out = np.repeat(shift.astype(small), taken)
+        small = np.int32 if max(len(self.pool), stops[-1]) < 2**31 else np.int64
+        out = np.repeat((begin - (stops - taken)).astype(small), taken)
         out += np.arange(len(out), dtype=small)
-        return pool[out], np.append((stops - taken)[at[:-1]], len(out))
+        ids = self.pool[out]
+        if kept:
+            # Whole texts are not pieces that come again.
+            self.pool, self.starts = self.pool[: self.starts[first]], self.starts[: first + 1]
+        return ids, np.append((stops - taken)[at[:-1]], len(out))
+
+    def _remember(self, names: list[str]) -> None:
+        """Forgets all pieces but those that are needed now."""
+        held = [n for n in names if self.known.get(n, 0) > 1]
+        number = np.array([self.known[n] for n in held], np.int64)
+        sizes = self.starts[number + 1] - self.starts[number]
+        stops = np.cumsum(sizes)
+        ids = self.pool[np.repeat(self.starts[number] - (stops - sizes), sizes) + np.arange(sizes.sum())]
+        self._forget()
+        self._add(ids, sizes)
+        self.known.update(zip(held, range(2, 2 + len(held)), strict=True))
 
 
 def encoded_runs(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

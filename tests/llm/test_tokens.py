@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from kinefuse.llm import packing, token_files
+from kinefuse.llm import packing, token_files, tokens
 from kinefuse.llm.tokens import default_tokenizer, encoder
 from kinefuse.storage import new_path
 
@@ -14,18 +16,28 @@ from .conftest import ROWS
 
 
 def plain(texts):
-    tokenizer = encoder(default_tokenizer()).tokenizer
+    """The library by itself, nothing set."""
+    tokenizer = Tokenizer.from_file(default_tokenizer())
     return [x.ids + [0] for x in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
-def test_pieces_give_the_ids_of_whole_texts():
+@pytest.mark.parametrize("most", [tokens.PIECES, 500])
+def test_pieces_give_the_ids_of_whole_texts(monkeypatch, most):
+    monkeypatch.setattr(tokens, "PIECES", most)
     rng = random.Random(3)
     letters = list("ab  \n\t.,'|!sé1́ \x1c\x00 ​$")
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(25))) for _ in range(4000)] + [t or "" for _, t in ROWS]
     texts += ["it's don't 'll x", "<|endoftext|> a", "x.\n\ny z", " a", "a ", "\n", "a\n b", "AB!!\ncd"]
-    ids, begins = encoder(default_tokenizer()).texts(pa.array(texts, pa.string()))
-    for k, want in enumerate(plain(texts)):
-        assert ids[begins[k] : begins[k + 1]].tolist() == want, repr(texts[k])
+    white = list("ab.,  \t\n\r\x0b\x0c\x85\xa0\u2003\u2028\u3000")
+    texts += ["".join(rng.choice(white) for _ in range(rng.randrange(12))) for _ in range(6000)]
+    texts += ["One word.  Two\r\n\r\nthree\t\tfour!\n\n\n", "a <|endoftext|> b", "<|endoftext|>", "x\n<|endoftext|>  y <|endoftext|"]
+    own = tokens.PieceEncoder(default_tokenizer())
+    wanted = plain(texts)
+    for start in range(0, len(texts), 700):
+        ids, begins = own.texts(pa.array(texts[start : start + 700], pa.string()))
+        for k, want in enumerate(wanted[start : start + 700]):
+            assert ids[begins[k] : begins[k + 1]].tolist() == want, repr(texts[start + k])
+    assert 50256 in wanted[-3] and encoder(default_tokenizer()) is encoder(default_tokenizer())
 
 
 def test_packing_cuts_the_stream(spark, docs):
