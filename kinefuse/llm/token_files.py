@@ -35,8 +35,8 @@ OPTIONS = {
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
     """Writes the ids of every document, with the end id, in ascending doc_id order.
 
-    A null text counts as empty. Null ids come first; rows with one doc_id follow each other by text.
-    Only texts are dealt out (not ids), so the tokenizer runs once and after the shuffle.
+    A null text counts as empty. Null ids come first; rows with one doc_id follow each other by a hash of
+    their texts, so a doc_id that very many rows share spreads over files as well. Only texts are dealt out (not ids), so the tokenizer runs once and after the shuffle.
     """
     vocabulary = tokenizer or default_tokenizer()
     ship(docs.sparkSession)
@@ -52,7 +52,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None)
             place += int(begins[-1])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ("doc_id", F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged.mapInArrow(encode, SCHEMA).write.options(**OPTIONS).orc(path)
 
 
