@@ -181,15 +181,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on at most sample_rows labelled rows that are not held out. Rows with equal doc_id, text and label count once.
+    """Fits on at most sample_rows labelled rows that are not held out. Rows with equal doc_id, text and label count once; a doc_id with two labels teaches both.
 
     The chosen ids are broadcast: there are no more of them than sample_rows. Null ids and null labels teach nothing.
     """
     known = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     chosen = known.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_quality")).orderBy(F.xxhash64("_id"), "_id", "_quality").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_quality").distinct()
-    rows = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "_quality", "text").limit(sample_rows)
-    taught = with_statistics(rows).select("_row.doc_id", F.col("_row._quality").cast("double").alias("_quality"), *NAMES)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    rows = with_statistics(rows).select(
+        "_row.doc_id", F.col("_row._quality").cast("double").alias("_quality"), F.xxhash64("_row.text").alias("_h1"), F.xxhash64(F.lit(1), "_row.text").alias("_h2"), *NAMES
+    )
+    # From here on rows are numbers: two hashes stand for a text.
+    rows = rows.groupBy("doc_id", "_quality", "_h1", "_h2").agg(*(F.min(n).alias(n) for n in NAMES))
+    taught = rows.orderBy("_h1", "_h2", "doc_id", "_quality").limit(sample_rows).select("doc_id", "_quality", *NAMES)
     found = np.array([tuple(row) for row in taught.collect()], float).reshape(-1, len(NAMES) + 2)
     found = found[np.lexsort(found.T[::-1])]
     return fit(found[:, 2:], (found[:, 1] > 0.5).astype(float))
