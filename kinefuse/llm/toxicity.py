@@ -41,6 +41,8 @@ SAMPLE_ROWS, STEMS = 40_000, 20_000
 SHORTEST, LONGEST, LEAST_TEXTS, LEAST_RATIO, LEAST_ODDS = 3, 24, 4, 17.0, 2.0
 #: Part of the texts that the logistic weights are fitted on: one in so many.
 PARTS = 3
+#: Texts that a task takes at once; a stem takes some ten times its letters.
+RUN_BYTES = 2_000_000
 LEAST_SCORE = 0.7
 FOLDS, HELD = 3, 1
 #: Words between a negation and what it denies at most.
@@ -228,7 +230,7 @@ COUNTED = "stem string, toxic0 long, clean0 long, toxic1 long, clean1 long"
 
 def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Toxic and clean texts that hold each stem, those of part 0 apart."""
-    for rows in runs(batches):
+    for rows in runs(batches, run_bytes=RUN_BYTES):
         codes, names, begins = coded_words(normalised(rows.column("text")))
         if not len(names):
             continue
@@ -276,7 +278,7 @@ def learned(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> Lexic
 
 def _featured(lexicon: Lexicon):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in runs(batches):
+        for rows in runs(batches, run_bytes=RUN_BYTES):
             text, _, _, scores, n_words = clauses(rows.column("text"), lexicon, GRAMMAR)
             found = features(text, scores, n_words)
             yield pa.RecordBatch.from_arrays([rows.column("toxic"), *(pa.array(found[:, k]) for k in range(1, 4))], ["toxic", "total", "highest", "dense"])
@@ -323,7 +325,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     lexicon = model.lexicon
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in runs(batches):
+        for part in runs(batches, run_bytes=RUN_BYTES):
             text, first, last, scores, n_words = clauses(part.column("text"), lexicon, GRAMMAR)
             score = _sigmoid(features(text, scores, n_words) @ weights)
             at = np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32)

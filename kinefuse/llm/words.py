@@ -41,13 +41,13 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False)[codes], begins
 
 
-def runs(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows in slices of about RUN_BYTES of text, one row at least."""
+def runs(batches: Iterator[pa.RecordBatch], column: str = "text", run_bytes: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of about run_bytes of text, one row at least."""
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
         start = 0
         while start < batch.num_rows:
-            stop = int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + RUN_BYTES))
+            stop = int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + run_bytes))
             stop = min(batch.num_rows, max(stop, start + 1))
             yield batch.slice(start, stop - start)
             start = stop
