@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinefuse.functions.numbers import round_hundredths, round_whole, text_to_number
 from kinefuse.functions.payload import section_fields
 from kinefuse.functions.text import base_name, section_name
-from kinefuse.functions.times import iso_time
+from kinefuse.functions.times import mixed_time
 from kinefuse.operators.associations import assign_location, sensor_lookup
 from kinefuse.schemas import KINEMATIC_FIELDS, UNIFIED_COLUMNS
 
@@ -40,7 +40,7 @@ def unpack_section(rows: DataFrame) -> DataFrame:
     value = {f: F.try_element_at(F.col("payload"), F.lit(f)) for f in fields}
     return opened.select(
         F.col("section").alias("source_table"),
-        iso_time(F.col("event_timestamp")).alias("event_timestamp"),
+        mixed_time(F.col("event_timestamp")).alias("event_timestamp"),
         "sensor_id",
         *[text_to_number(value[f]).alias(f) for f in KINEMATIC_FIELDS],
         value["location_text_raw"].alias("location_text_raw"),

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from kinefuse.functions.numbers import text_to_number
 from kinefuse.functions.payload import key_paths
 from kinefuse.functions.responses import response_fields
-from kinefuse.functions.text import null_words_to_null
+from kinefuse.functions.text import null_words_to_null, strip
 from kinefuse.schemas import ROLES
+from kinefuse.sources.extract import json_records
 
 # Names that point to a role.
 ROLE_WORDS = {
@@ -45,6 +46,21 @@ def source_key_paths(files: DataFrame) -> DataFrame:
     return paths.groupBy("source").agg(F.array_sort(F.collect_set("path")).alias("paths"))
 
 
+# A JSON document that is no array and no object.
+_SCALAR = r'(?s)\A[ \t\r\n]*(?:-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|"(?:[^"\\]++|\\.)*+")[ \t\r\n]*\z'
+
+
+def available_columns(text: Column) -> Column:
+    """The columns of a document as one list: sorted paths of a JSON document, the first line of another text if it has a comma.
+
+    JSON without objects has an empty list; a text without a comma in its first line has none.
+    """
+    first = strip(F.substring_index(text, "\n", 1))
+    listed = F.array_join(F.array_sort(F.array_distinct(key_paths(text))), ", ")
+    is_json = json_records(text).isNotNull() | text.rlike(_SCALAR)
+    return F.when(is_json, listed).when(F.contains(first, F.lit(",")), first)
+
+
 def column_profile(cells: DataFrame) -> DataFrame:
     """Per source and column, from (source, column, value): numeric values, and how many are not zero."""
     number = text_to_number(F.col("value"))

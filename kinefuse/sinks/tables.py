@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from kinefuse.operators.export import section_rows, sort_by_time
 from kinefuse.operators.network import named_elements
+from kinefuse.sinks.replace import replace_table
 
 
 def write_sections(kinematics: DataFrame, path: str, mode: str = "append") -> None:
@@ -18,19 +19,19 @@ def write_sections(kinematics: DataFrame, path: str, mode: str = "append") -> No
 
 
 def write_metadata(nodes: DataFrame, edges: DataFrame, associations: DataFrame, folder: str) -> None:
-    """Replace the node names, edge names and association tables."""
+    """Replace the node names, edge names and association tables, each by one that is complete."""
     tables = {
         "node_metadata": named_elements(nodes),
         "edge_metadata": named_elements(edges),
         "data_associations": associations,
     }
     for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{folder}/{name}")
+        replace_table(table, f"{folder}/{name}")
 
 
 def write_unified(unified: DataFrame, path: str) -> bool:
-    """Write the dataset sorted by time. Without rows nothing is written and False is returned."""
+    """Replace the dataset by one sorted by time. Without rows nothing is written and False is returned."""
     if unified.isEmpty():
         return False
-    sort_by_time(unified).write.mode("overwrite").option("compression", "snappy").parquet(path)
+    replace_table(sort_by_time(unified), path, compression="snappy")
     return True

@@ -139,3 +139,14 @@ def landing_chunks(listing: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFr
     wanted = known.select("path", "file_hash", "file_size_bytes", F.explode("numbers").alias("chunk")).repartition("path", "chunk")
     carried = ["file_hash", "file_size_bytes"]
     return wanted.mapInArrow(_chunks(chunk_bytes, False, carried), f"{CHUNKS}, file_hash string, file_size_bytes long")
+
+
+def write_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Writes each content (binary) to its path, and gives the paths; a task that is repeated writes the same files again."""
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            system, inner = open_path(path)
+            system.create_dir(inner.rpartition("/")[0], recursive=True)
+            with system.open_output_stream(inner, compression=None) as stream:
+                stream.write(content)
+        yield batch.select(["path"])

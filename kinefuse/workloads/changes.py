@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinefuse.operators import associations
+from kinefuse.operators import associations, edit_log
 from kinefuse.workloads.registry import query, table
 from kinefuse.workloads.standins import SQL_DATA_SOURCES, SQL_ROADS, data_sources, roads, with_sql
 
@@ -172,3 +172,68 @@ def delete_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Sources without those an edit of unknown type names."""
     deleted = _edits(spark, folder).filter("new_type = 'somewhere'")
     return associations.delete_sources(data_sources(spark, folder), deleted).select(*_SHOWN)
+
+
+# Orders as one log of all kinds of edits. A save names the source of its customer and that of the next one.
+_EDITED = "concat('Supplier#', lpad(CAST({0} AS STRING), 9, '0'))"
+_SQL_LOG = """
+log AS (
+  SELECT 'Supplier#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS path, 'Supplier#' || lpad(CAST(o_custkey + 1 AS VARCHAR), 9, '0') AS other,
+         o_orderkey AS seq, CAST(o_orderkey % 25 AS VARCHAR) AS element_id,
+         CASE o_orderstatus WHEN 'O' THEN 'GLOBAL' WHEN 'F' THEN 'LOCAL' END AS new_type,
+         CASE WHEN o_orderkey % 48 = 6 THEN 'save' WHEN o_orderkey % 24 = 7 THEN 'delete' WHEN o_orderkey % 8 < 2 THEN 'toggle'
+              WHEN o_orderkey % 8 = 2 THEN 'set' WHEN o_orderkey % 8 < 6 THEN 'request' ELSE 'add' END AS kind
+  FROM orders
+),
+named AS (SELECT path FROM data_sources UNION SELECT path FROM log WHERE kind = 'add' AND path <= 'Supplier#000000120'),
+ev AS (
+  SELECT l.path, seq, kind, element_id, new_type, FALSE AS is_named FROM log l JOIN named USING (path) WHERE kind <> 'save'
+  UNION ALL SELECT n.path, seq, kind, element_id, NULL, n.path IN (l.path, l.other) FROM log l, named n WHERE kind = 'save'
+),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq) AS k FROM ev)"""
+
+
+@query(
+    with_sql(SQL_DATA_SOURCES, _SQL_LOG).replace("WITH", "WITH RECURSIVE", 1)
+    + """,
+state AS (
+  SELECT n.path, CAST(0 AS BIGINT) AS k, d.path IS NOT NULL AS there, association_type AS t, associated_element_id AS e
+  FROM named n LEFT JOIN data_sources d USING (path)
+  UNION ALL
+  SELECT s.path, v.k,
+    CASE WHEN s.there THEN kind <> 'delete' ELSE kind = 'add' END,
+    CASE WHEN NOT s.there THEN CASE WHEN kind = 'add' THEN coalesce(new_type, 'UNASSOCIATED') END
+         WHEN kind = 'delete' THEN NULL
+         WHEN kind = 'toggle' THEN CASE WHEN t = 'GLOBAL' THEN 'LOCAL' ELSE 'GLOBAL' END
+         WHEN kind = 'set' THEN coalesce(new_type, t)
+         WHEN kind = 'request' AND e IS NULL THEN 'LOCAL'
+         WHEN kind = 'save' AND is_named AND e IS DISTINCT FROM element_id THEN 'LOCAL' ELSE t END,
+    CASE WHEN NOT s.there OR kind IN ('delete', 'toggle') THEN NULL
+         WHEN kind = 'set' THEN CASE WHEN new_type IS NULL THEN e END
+         WHEN kind = 'request' THEN coalesce(e, element_id)
+         WHEN kind = 'save' THEN CASE WHEN is_named THEN element_id WHEN e <> element_id THEN e END
+         ELSE e END
+  FROM state s JOIN numbered v ON v.path = s.path AND v.k = s.k + 1
+)
+SELECT path, t AS association_type, e AS associated_element_id
+FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY k DESC) AS last FROM state) WHERE last = 1 AND there"""
+)
+def edit_log_apply(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources after one log of adds, deletes, toggles, types, requests and saves."""
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    kind = (
+        F.when(key % 48 == 6, "save").when(key % 24 == 7, "delete").when(key % 8 < 2, "toggle").when(key % 8 == 2, "set").when(key % 8 < 6, "request").otherwise("add")
+    )
+    path, other = F.expr(_EDITED.format("o_custkey")), F.expr(_EDITED.format("o_custkey + 1"))
+    log = table(spark, folder, "orders").select(
+        path.alias("path"),
+        key.alias("seq"),
+        kind.alias("kind"),
+        (key % 25).cast("string").alias("element_id"),
+        F.when(status == "O", "global").when(status == "F", "Local").otherwise("somewhere").alias("new_type"),
+        F.when(kind == "save", F.array(path, other)).alias("paths"),
+    )
+    # Only the first few of the added sources; the others are edited like any name that is no source.
+    sources = data_sources(spark, folder)
+    known = log.where((F.col("kind") != "add") | (F.col("path") <= "Supplier#000000120"))
+    return edit_log.apply_edits(sources, known).select(*_SHOWN)

@@ -238,6 +238,26 @@ def key_paths(spark: SparkSession, folder: str) -> DataFrame:
     return roles.source_key_paths(documents).select("source", F.array_join("paths", ",").alias("paths"))
 
 
+@query(
+    """
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN CASE o_orderstatus WHEN 'F' THEN 'at, at.f, at.lat, speed' ELSE 'at, at.lat, at.' || lower(o_orderstatus) || ', speed' END WHEN 1 THEN 'k, k.v, list, list.x'
+       WHEN 2 THEN 'speed,flow_' || lower(o_orderstatus) WHEN 3 THEN NULL ELSE '' END AS listed
+FROM orders"""
+)
+def available_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """The columns a document offers: paths of JSON, the header of CSV, nothing of other texts."""
+    key, digits, status = F.col("o_orderkey"), F.col("o_custkey").cast("string"), F.lower("o_orderstatus")
+    turn = key % 5
+    text = (
+        F.when(turn == 0, F.concat(F.lit('{"speed":'), digits, F.lit(',"at":{"lat":1,"'), status, F.lit('":"x, y"}}')))
+        .when(turn == 1, F.concat(F.lit('[{"list":[{"x":'), digits, F.lit('}]},{"k":{"v":null}}, 3]')))
+        .when(turn == 2, F.concat(F.lit(" speed,flow_"), status, F.lit("\r\n1,"), digits))
+        .when(turn == 3, F.concat(F.lit("speed\n1,"), digits))
+        .otherwise(digits)
+    )
+    return table(spark, folder, "orders").select("o_orderkey", roles.available_columns(text).alias("listed"))
+
+
 # Wanted names and the columns of each file, by source; the first listed fit of the best kind wins.
 _RESOLUTION = {
     "click": ("Speed", "flow", "x.density", "speed,data.flow,density,geo.lat"),

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinefuse.functions.numbers import text_to_number
 from kinefuse.operators.export import sort_by_time
 from kinefuse.plans.fusion import build_unified
 from kinefuse.sources import files
-from kinefuse.storage import new_path
+from kinefuse.sources.chunks import landing_chunks, list_all_files
+from kinefuse.sources.extract import events_of
+from kinefuse.sources.splits import read_parsed
+from kinefuse.storage import new_path, write_and_read
 from kinefuse.workloads.measures import SQL_FLOW, SQL_SPEED
 from kinefuse.workloads.registry import query, table
 from kinefuse.workloads.standins import SQL_SENSOR_EVENTS, sensor_events, with_sql
@@ -124,3 +128,87 @@ def fuse_folders(spark: SparkSession, folder: str) -> DataFrame:
         F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("real_name")
     )
     return sort_by_time(build_unified(spark, sources, folders, edges)).drop("event_timestamp")
+
+
+# Bytes of a split: small, so that each of the files below falls apart into many.
+SPLIT = 16 << 10
+
+
+def write_large_files(spark: SparkSession, folder: str, target: str) -> None:
+    """One file for each event type, written by one task as a stream of lines: CSV with quoted line breaks, arrays, and an object with two arrays."""
+    events = sensor_events(spark, folder)
+    number, speed, source = F.col("position"), F.col("speed_val"), F.col("source")
+    note = F.concat(F.lit('say "'), number.cast("string"), F.lit('",\n{['), source)
+    quoted = F.concat(F.lit('"'), F.replace(note, F.lit('"'), F.lit('""')), F.lit('"'))
+    record = F.concat(F.to_json(F.struct(number.alias("id"), speed.alias("speed"), note.alias("note"), F.struct(F.struct(number.alias("c")).alias("b")).alias("a"))), F.lit(","))
+    csv = F.concat_ws(",", number.cast("string"), speed.cast("string"), quoted)
+    is_csv, is_object = source.isin(*CSV_SOURCES), source == "purchase"
+    part = F.when(is_object, number % 2).otherwise(0)
+    lines = events.select("source", part.alias("part"), number.alias("at"), F.when(is_csv, csv).otherwise(record).alias("line"))
+    first, last = F.lit(-1).cast("long"), F.lit(2).cast("long")
+    kinds = events.select("source").distinct()
+    opening = F.when(is_csv, "id,speed,note").when(is_object, '{"meta":{"pages":[1,{"x":2}]},"even":[').otherwise("[")
+    closing = F.when(is_csv, "").when(is_object, 'null],"end":[[],{"id":0}]}').otherwise("[7]]")
+    between = kinds.where(is_object).select("source", F.lit(1).cast("long").alias("part"), first.alias("at"), F.lit('null],"odd":[').alias("line"))
+    ends = kinds.select("source", F.explode(F.array(F.struct(first.alias("part"), first.alias("at"), opening.alias("line")), F.struct(last.alias("part"), first.alias("at"), closing.alias("line")))).alias("end"))
+    rows = lines.unionByName(between).unionByName(ends.select("source", "end.*"))
+    ordered = rows.repartition("source").sortWithinPartitions("source", "part", "at")
+    ordered.select("source", F.col("line").alias("value")).write.partitionBy("source").text(target)
+
+
+def _large_files(spark: SparkSession, folder: str) -> list[str]:
+    target = new_path(spark, "large-files")
+    write_large_files(spark, folder, target)
+    kinds = sensor_events(spark, folder).select("source").distinct()
+    # One path per sensor folder, as a user of the job would list them.
+    return [f"{target}/source={row.source}" for row in kinds.collect()]
+
+
+@query(
+    with_sql(SQL_SENSOR_EVENTS)
+    + """
+SELECT 'source=' || source AS sensor, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN source = 'purchase' THEN position % 2 ELSE 0 END, position) - 1 AS event_no,
+       CAST(position AS DOUBLE) AS id, speed_val AS speed, 'say "' || position || '",' || chr(10) || '{[' || source AS note,
+       CASE WHEN source NOT IN ('view', 'error') THEN CAST(position AS VARCHAR) END AS nested
+FROM sensor_events"""
+)
+def split_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of many splits to events, each with its place in its file; quoted line breaks and brackets lie across the splits."""
+    events = events_of(read_parsed(spark, _large_files(spark, folder), SPLIT))
+    value = lambda name: F.try_element_at("payload", F.lit(name))
+    return events.select(
+        F.col("sensor_id").alias("sensor"),
+        F.col("position").alias("event_no"),
+        text_to_number(value("id")).alias("id"),
+        text_to_number(value("speed")).alias("speed"),
+        value("note").alias("note"),
+        value("a.b.c").alias("nested"),
+    )
+
+
+@query(
+    with_sql(SQL_SENSOR_EVENTS)
+    + """
+, names AS (SELECT 'source=' || source AS folder, unnest(['_hidden', '.hidden', 'empty', 'a=b']) AS name, source FROM (SELECT DISTINCT source FROM sensor_events))
+SELECT folder, name, CAST(CASE WHEN name = 'empty' THEN 0 ELSE strlen(source || name) END AS BIGINT) AS size_bytes,
+       md5(CASE WHEN name = 'empty' THEN '' ELSE source || name END) AS file_hash
+FROM names"""
+)
+def landed_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of all names and sizes as they are listed and landed: hidden and empty ones too."""
+    kinds = sensor_events(spark, folder).select("source").distinct()
+    target = new_path(spark, "odd-names")
+    texts = {name: F.concat("source", F.lit(name)) for name in ("_hidden", ".hidden", "a=b")} | {"empty": F.lit("")}
+    rows = kinds.select("source", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), t.alias("value")) for n, t in texts.items()])).alias("x"))
+    write_named_texts(rows.select(F.concat(F.lit(f"{target}/source="), "source", F.lit("/"), "x.name").alias("path"), "x.value"))
+    folders = [f"{target}/source={row.source}" for row in kinds.collect()]
+    chunks = landing_chunks(write_and_read(list_all_files(spark, folders), "listing"))
+    landed = files.folder_listing(chunks.withColumnRenamed("file_path", "path"))
+    return landed.select(files.base_name(F.col("folder")).alias("folder"), "name", F.col("file_size_bytes").alias("size_bytes"), "file_hash")
+
+
+def write_named_texts(rows: DataFrame) -> None:
+    """Write each row's value to the file its path names."""
+    from kinefuse.sources.chunks import write_files
+
+    rows.select("path", F.col("value").cast("binary").alias("content")).mapInArrow(write_files, "path string").count()

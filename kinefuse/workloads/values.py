@@ -132,6 +132,41 @@ def export_time(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Forms of one time; those without a clock, or without a day, give its start.
+_TIME_FORMS = (
+    ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "t"),
+    ("MM/dd/yyyy hh:mm:ss a", "date_trunc('second', t)"),
+    ("dd MMMM yyyy HH:mm", "date_trunc('minute', t)"),
+    ("MMM d, yyyy h:mm a", "date_trunc('minute', t)"),
+    ("EEE, dd MMM yyyy HH:mm:ss '+0130'", "date_trunc('second', t) - INTERVAL 90 MINUTE"),
+    ("EEE MMM d HH:mm:ss yyyy", "date_trunc('second', t)"),
+    ("yyyyMMddHHmmss", "date_trunc('second', t)"),
+    ("dd-MMM-yyyy", "date_trunc('day', t)"),
+    ("yyyy.MM.dd HH:mm", "date_trunc('minute', t)"),
+    ("HH:mm yyyy/M/d", "date_trunc('minute', t)"),
+    ("MMM yyyy", "date_trunc('month', t)"),
+    # The first number is the month unless it is above 12.
+    ("dd/MM/yyyy", "CASE WHEN day(t) > 12 THEN date_trunc('day', t) ELSE CAST(make_date(year(t), day(t), month(t)) AS TIMESTAMP) END"),
+    ("HH:mm", "NULL"),
+)
+_SQL_TIME = "(o_orderdate + INTERVAL (o_orderkey * 7919 % 86400) SECOND + INTERVAL (o_custkey % 1000 * 1000) MICROSECOND)"
+
+
+@query(
+    f"""
+SELECT o_orderkey, strftime(CASE o_orderkey % {len(_TIME_FORMS)} {" ".join(f"WHEN {k} THEN {sql}" for k, (_, sql) in enumerate(_TIME_FORMS))} END, '{SQL_TIME_TEXT}') AS event_timestamp
+FROM (SELECT *, {_SQL_TIME} AS t FROM orders)"""
+)
+def mixed_times(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored times written in a dozen forms."""
+    micros = (F.col("o_orderkey") * 7919 % 86400) * 1_000_000 + F.col("o_custkey") % 1000 * 1000
+    time = F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + micros)
+    shown = _by_key(F.col("o_orderkey"), *(F.date_format(time, form) for form, _ in _TIME_FORMS))
+    return table(spark, folder, "orders").select(
+        "o_orderkey", F.date_format(times.mixed_time(shown), TIME_TEXT).alias("event_timestamp")
+    )
+
+
 @query(
     """
 SELECT l_orderkey, l_linenumber,
