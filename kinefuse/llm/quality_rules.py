@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from kinefuse.llm.queries import llm_query, table
 from kinefuse.storage import write_and_read
 
-#: Rows that costs and rejections are estimated on.
-SAMPLE_ROWS = 1000
+#: Rows that costs and rejections are estimated on, as expected by the hash; and times that each rule is timed.
+SAMPLE_ROWS, TIMES = 2000, 3
 REPEAT_WORDS = 8
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -33,14 +33,12 @@ class Rule:
 
 
 @dataclass(frozen=True)
-class Estimate:
-    rule: Rule
-    seconds: float
-    rejected: float
+class Estimates:
+    """Seconds of each rule by name, and rows of the sample by the set of rules that reject them."""
 
-    @property
-    def worth(self) -> float:
-        return self.rejected / max(self.seconds, 1e-4)
+    rules: tuple[Rule, ...]
+    seconds: dict[str, float]
+    rejected: dict[frozenset[str], int]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -111,21 +109,40 @@ def default_rules(stat: dict[str, Column]) -> list[Rule]:
     ]
 
 
-def estimate(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Estimate]:
-    """Seconds and share rejected of each rule on at most sample_rows rows. An empty table rejects nothing."""
-    sample = write_and_read(docs.limit(sample_rows), "rule-sample")
-    sample.select(F.sum(F.length("text"))).collect()
-    found = []
-    for rule in rules:
-        start = time.perf_counter()
-        share = sample.select(F.avg(F.coalesce(rule.rejects, F.lit(False)).cast("int"))).first()[0]
-        found.append(Estimate(rule, time.perf_counter() - start, share or 0.0))
-    return found
-
-
-def ordered(estimates: list[Estimate]) -> list[Rule]:
-    """Most rejections per second first."""
-    return [x.rule for x in sorted(estimates, key=lambda x: (-x.worth, x.seconds))]
+def estimate(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> Estimates:
+    """Costs and rejections on about sample_rows rows from all over the table. An empty table rejects nothing."""
+    count = docs.count()
+    rows = docs if count <= sample_rows else docs.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) < int((1 << 30) * sample_rows / count))
+    sample = write_and_read(rows, "rule-sample")
+    verdict = {rule.name: F.coalesce(rule.rejects, F.lit(False)) for rule in rules}
+
+    def seconds(column: Column) -> float:
+        taken = []
+        for _ in range(TIMES + 1):
+            start = time.perf_counter()
+            sample.select(F.sum(column.cast("int"))).collect()
+            taken.append(time.perf_counter() - start)
+        # The first run also compiles.
+        return min(taken[1:])
+
+    empty = seconds(F.length("text") >= 0)
+    costs = {name: max(seconds(column) - empty, 1e-4) for name, column in verdict.items()}
+    # One row for each set of rules, no more than there are such sets.
+    names = F.array_compact(F.array(*(F.when(column, F.lit(name)) for name, column in verdict.items())))
+    sets = sample.select(names.alias("names")).groupBy("names").agg(F.count("*").alias("n")).collect()
+    return Estimates(tuple(rules), costs, {frozenset(row.names): row.n for row in sets})
+
+
+def ordered(estimates: Estimates) -> list[Rule]:
+    """Rules by rejections per second, each among the rows that those before it leave."""
+    left, out, rest = dict(estimates.rejected), [], list(estimates.rules)
+    while rest:
+        worth = lambda rule: sum(n for names, n in left.items() if rule.name in names) / estimates.seconds[rule.name]  # noqa: B023, E731
+        best = max(rest, key=lambda rule: (worth(rule), -estimates.seconds[rule.name]))  # noqa: B023
+        out.append(best)
+        rest.remove(best)
+        left = {names: n for names, n in left.items() if best.name not in names}
+    return out
 
 
 def rejected_by(rules: list[Rule]) -> Column:
