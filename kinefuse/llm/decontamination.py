@@ -12,7 +12,7 @@ Names are known by capitals, which a text in capitals or title case makes useles
 sentence hides; so windows are taken with names as plain words, with the capitals within sentences as
 names, and with all capitals as names, and matches of any kind count.
 
-Before the join a bitmap of a fixed size, made from the benchmark's hashes, drops windows that cannot
+Before the join a bitmap of bounded size, made from the benchmark's hashes, drops windows that cannot
 match. Only it is sent to the workers; the benchmark itself is joined by size.
 """
 
@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinefuse.llm.queries import llm_query, table
+from kinefuse.llm.rows import row_key
 from kinefuse.llm.shipping import ship
 from kinefuse.llm.words import M1, M2, coded_words, mix, runs
 from kinefuse.storage import write_and_read
@@ -39,8 +40,8 @@ LEAST_PLAIN = 2
 LEAST_SHARE = 80
 #: Or a run along one alignment: share of the item's words, in hundredths, and words.
 RUN_SHARE, RUN_WORDS = 60, 12
-#: Bits of the bitmap, whatever the size of the benchmark.
-BITMAP_BITS = 1 << 22
+#: Bits of the bitmap: some 16 a window of the benchmark, within these limits. Beyond the upper one more windows pass it.
+LEAST_BITS, MOST_BITS = 1 << 22, 1 << 28
 
 # Kinds of words, and words for units.
 PLAIN, NUMBER, UNIT, NAME = 0, 1, 2, 3
@@ -61,7 +62,7 @@ _NUMBER = r"^[+-]?[$€£]?\d[\d.,:/]*(?:[a-z%°]{0,4})$"
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "$%+-") + "“”„‘’«»…–—¿¡"
 _CODES = mix(np.arange(101, 105, dtype=np.uint64))
 
-WINDOWS = "_uid long, _tie int, item long, at int, upto int, hash long, kinds array<tinyint>, words array<string>, total int"
+WINDOWS = "_uid long, _tie long, item long, at int, upto int, hash long, kinds array<tinyint>, words array<string>, total int"
 
 
 def _canonical(texts: pa.Array):
@@ -155,7 +156,7 @@ def _windows(keyed: tuple[str, ...], bitmap: np.ndarray | None, short: tuple[int
                             continue
                         window = _window_hashes(literal if exact else typed, at[where], size)
                         if bitmap is not None:
-                            bit = window % np.uint64(BITMAP_BITS)
+                            bit = (window.view(np.int64) % np.int64(8 * len(bitmap))).astype(np.uint64)
                             known = (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
                             where, window = where[known], window[known]
                         if len(where):
@@ -172,7 +173,7 @@ def _batch(rows, keyed, trimmed, codes, words, shown, owner, at, size, window, b
     ends = np.cumsum(sizes)
     places = np.repeat(words[inner] - (ends - sizes), sizes) + np.arange(int(ends[-1]))
     said = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), trimmed.take(pa.array(codes[places]))), " ")
-    ids = {name: rows.column(name).take(pa.array(owner)) if name in keyed else pa.nulls(len(owner), kind) for name, kind in (("_uid", pa.int64()), ("_tie", pa.int32()), ("item", pa.int64()))}
+    ids = {name: rows.column(name).take(pa.array(owner)) if name in keyed else pa.nulls(len(owner), kind) for name, kind in (("_uid", pa.int64()), ("_tie", pa.int64()), ("item", pa.int64()))}
     columns = ids | {
         "at": pa.array((words[at] - begins[owner]).astype(np.int32)),
         "upto": pa.array((words[at + size] - begins[owner]).astype(np.int32)),
@@ -185,8 +186,20 @@ def _batch(rows, keyed, trimmed, codes, words, shown, owner, at, size, window, b
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    doc_id, text = docs["doc_id"].cast("long"), docs["text"]
-    return docs.select(F.coalesce(doc_id, F.xxhash64(text)).alias("_uid"), F.hash(text).alias("_tie"), text.alias("text"))
+    return docs.select(*row_key(docs["doc_id"], docs["text"]), docs["text"].alias("text"))
+
+
+def _bitmap(known: DataFrame) -> np.ndarray:
+    """A bit for each window hash of the benchmark, put together by Spark in buckets. Its size grows with the benchmark, up to MOST_BITS."""
+    windows = known.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * windows).bit_length()))
+    place = F.pmod(F.col("hash"), F.lit(bits)) + 1
+    buckets = known.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bytes"))
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for row in buckets.toLocalIterator():
+        part = np.frombuffer(bytes(row.bytes), np.uint8)
+        bitmap[(row.bucket - 1) * len(part) : row.bucket * len(part)] = part
+    return bitmap
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -195,10 +208,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ship(spark)
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item"), benchmark["text"].alias("text")).where("item is not null")
     known = write_and_read(items.mapInArrow(_windows(("item",), None), WINDOWS).drop("_uid", "_tie"), "benchmark-windows")
-    bits = known.select(F.pmod(F.col("hash"), F.lit(BITMAP_BITS)).cast("int").alias("bit")).distinct()
-    bitmap = np.zeros(BITMAP_BITS // 8, np.uint8)
-    set_bits = np.array([row[0] for row in bits.collect()], np.int64)
-    np.bitwise_or.at(bitmap, set_bits >> 3, (1 << (set_bits & 7)).astype(np.uint8))
+    bitmap = _bitmap(known)
     short = known.select(F.size("kinds").alias("size")).where(F.col("size") < WINDOW).distinct().collect()
     found = _identified(docs).mapInArrow(_windows(("_uid", "_tie"), bitmap, tuple(row[0] for row in short)), WINDOWS).drop("item", "total")
 
@@ -239,10 +249,6 @@ def _longest(words: str) -> Column:
     return F.aggregate(words, begin, step, lambda seen: seen["best"])
 
 
-def _key(doc_id: Column, text: Column) -> tuple[Column, Column]:
-    return F.coalesce(doc_id.cast("long"), F.xxhash64(text)), F.hash(text)
-
-
 def marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """_row (all columns of docs) and items: the sorted ids of the benchmark items that a document holds, empty if none.
 
@@ -250,8 +256,7 @@ def marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     with LEAST_PLAIN plain words, else word for word, or by its template as a whole text. An item without words is never held. Null item ids are left out. Rows with equal doc_id and text get the same items.
     """
     found = leaks(docs, benchmark)
-    uid, tie = _key(docs["doc_id"], docs["text"])
-    rows = docs.select(F.struct("*").alias("_row"), uid.alias("_uid"), tie.alias("_tie")).join(found, ["_uid", "_tie"], "left")
+    rows = docs.select(F.struct("*").alias("_row"), *row_key(docs["doc_id"], docs["text"])).join(found, ["_uid", "_tie"], "left")
     return rows.select("_row", F.coalesce("items", F.array().cast("array<long>")).alias("items"))
 
 

@@ -1,12 +1,13 @@
 """MinHash near-dedup by an inverted join over signature coordinates.
 
 Texts with equal shingle sets form one class, which takes part once. Each class has a signature of
-COORDINATES minima. A pair at or above the similarity wanted agrees in at least MATCHES of them, but
-for a chance of about 2e-9 at the threshold itself.
+COORDINATES minima. A pair at or above the similarity wanted agrees in at least `matches(percent)` of
+them, but for a chance of MISSED or less at the threshold itself. With `exact`, classes are posted under
+their rarest shingles instead, as many as any pair that similar must share one of, and no pair is missed.
 
 Merging by prefix and skip: a class is posted under a coordinate-value pair only if another class
-has it too, and with `shared` of these it needs posting under the `shared - MATCHES + 1` rarest alone, as
-two classes that agree in MATCHES coordinates must meet in one of those. The frequent values, the long
+has it too, and with `shared` of these it needs posting under the `shared - matches + 1` rarest alone, as
+two classes that agree in `matches` coordinates must meet in one of those. The frequent values, the long
 posting lists, are skipped; whether candidates agree in them is read from their signatures.
 
 Posting lists are never expanded into all pairs. Of the candidates, shingles that no other candidate
@@ -18,6 +19,7 @@ links of both rounds give the components. A pair within one component needs no t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +30,14 @@ from pyspark.sql import functions as F
 
 from kinefuse.llm.components import components
 from kinefuse.llm.queries import llm_query, table
+from kinefuse.llm.rows import row_key
 from kinefuse.llm.shipping import ship
 from kinefuse.llm.words import M1, M2, M3, hashed_words, mix, runs
 from kinefuse.storage import write_and_read
 
 COORDINATES = 48
-MATCHES = 24
+#: Chance at most that a pair at the threshold agrees in too few coordinates to be found.
+MISSED = 4e-9
 #: Similarity wanted, in hundredths, and words in a shingle, for corpus stages; the query fixes its own.
 PERCENT = 80
 SHINGLE = 5
@@ -47,6 +51,16 @@ _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _BLOCK = 4096
 
 
+def matches(percent: int) -> int:
+    """Coordinates in which a pair of this similarity agrees at least, but for a chance of MISSED: a binomial tail."""
+    below, share = 0.0, percent / 100
+    for k in range(COORDINATES + 1):
+        below += math.comb(COORDINATES, k) * share**k * (1 - share) ** (COORDINATES - k)
+        if below > MISSED:
+            return max(1, k)
+    return COORDINATES
+
+
 def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of `size` words; with fewer words the whole sequence is the only one."""
     if not len(words):
@@ -102,20 +116,29 @@ def _full_sets(size: int):
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and two numbers that tell rows apart unless doc_id and text are equal."""
+    """doc_id, text, and the two numbers that tell rows apart, see `row_key`."""
     doc_id, text = docs["doc_id"].cast("long"), docs["text"]
-    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.coalesce(doc_id, F.xxhash64(text)).alias("_uid"), F.hash(text).alias("_tie"))
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), *row_key(doc_id, text))
 
 
-def _postings(classes: DataFrame) -> DataFrame:
+def _postings(classes: DataFrame, least: int) -> DataFrame:
     """node, key: each class under the rarest of the coordinate-value pairs it shares with another class."""
     keys = classes.select("node", F.posexplode("sig").alias("at", "value")).select(
         "node", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").bitwiseAND(0xFFFFFFFF)).alias("key")
     )
     often = keys.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
     shared = keys.join(often, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("_shared"))
-    rarest = F.slice("_shared", 1, F.size("_shared") - MATCHES + 1)
-    return shared.where(F.size("_shared") >= MATCHES).select("node", F.explode(rarest["key"]).alias("key"))
+    rarest = F.slice("_shared", 1, F.size("_shared") - least + 1)
+    return shared.where(F.size("_shared") >= least).select("node", F.explode(rarest["key"]).alias("key"))
+
+
+def _exact_postings(sets: DataFrame, percent: int) -> DataFrame:
+    """node, key: each class under its rarest shingles. Of n, two similar classes share at least percent of n, so any n - that + 1 hold one of them."""
+    each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("often"))
+    ranked = each.join(often, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("_all"))
+    rarest = F.slice("_all", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    return ranked.select("node", F.explode(F.filter(rarest, lambda x: x["often"] > 1)["key"]).alias("key"))
 
 
 def _similar(common, n_a, n_b, percent: int):
@@ -123,13 +146,13 @@ def _similar(common, n_a, n_b, percent: int):
     return 100 * common >= percent * (n_a + n_b - common)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in MATCHES places and whose full sets are similar."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, least: int) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in `least` places and whose full sets are similar."""
     a = sets.select(F.col("node").alias("a"), F.col("sig").alias("_sig_a"), F.col("shingles").alias("_set_a"))
     b = sets.select(F.col("node").alias("b"), F.col("sig").alias("_sig_b"), F.col("shingles").alias("_set_b"))
     agree = F.size(F.filter(F.zip_with("_sig_a", "_sig_b", lambda x, y: x == y), lambda same: same))
     common = F.size(F.array_intersect("_set_a", "_set_b"))
-    both = pairs.join(a, "a").join(b, "b").where(agree >= MATCHES)
+    both = pairs.join(a, "a").join(b, "b").where(agree >= least)
     return both.where(_similar(common, F.size("_set_a"), F.size("_set_b"), percent)).select("a", "b")
 
 
@@ -245,28 +268,38 @@ def _outsiders(placed: DataFrame, leads: DataFrame, sets: DataFrame, percent: in
     return asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(_compared(percent), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row, and _uid, _tie, which tell rows apart unless doc_id and text are equal.
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row.
 
     A null or empty text, or one of white space, has no shingles and is linked with nothing. Rows with
-    equal doc_id share their component if their texts are linked, and both count as kept if they are
-    its first. Null ids are never a component's id unless it has no other; then it is kept. Letters A to Z
+    equal doc_id share their component if their texts are linked, and all count as kept if it is
+    theirs. Null ids are never a component's id unless it has no other; then it is kept. Letters A to Z
     count as lower case. Other columns are left out.
     """
+    rows = _labelled(docs, shingle, percent, exact)
+    return rows.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+
+
+def _labelled(docs: DataFrame, shingle: int, percent: int, exact: bool) -> DataFrame:
+    """doc_id, n_shingles, component_id, comp (its number; null without shingles), and _uid, _tie of every row."""
+    least = 0 if exact else matches(percent)
     ship(docs.sparkSession)
     texts = _identified(docs)
     sketched = write_and_read(
-        texts.mapInArrow(_sketches(shingle), "doc_id long, _uid long, _tie int, n long, h1 long, h2 long, sig array<int>"), "sketches"
+        texts.mapInArrow(_sketches(shingle), "doc_id long, _uid long, _tie long, n long, h1 long, h2 long, sig array<int>"), "sketches"
     )
     grouped = sketched.where("n > 0").groupBy("h1", "h2", "n")
     classes = grouped.agg(F.min("doc_id").alias("first_id"), F.min(F.struct("_uid", "_tie")).alias("_row"), F.any_value("sig").alias("sig"))
     classes = write_and_read(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    postings = write_and_read(_postings(classes), "postings")
+    postings = None if exact else write_and_read(_postings(classes, least), "postings")
 
-    wanted = classes.join(postings.select("node").distinct(), "node").select("node", "sig", "_row._uid", "_row._tie")
+    wanted = classes if exact else classes.join(postings.select("node").distinct(), "node")
+    wanted = wanted.select("node", "sig", "_row._uid", "_row._tie")
     made = texts.select("_uid", "_tie", "text").join(wanted, ["_uid", "_tie"]).select("node", "sig", "text")
     sets = made.mapInArrow(_full_sets(shingle), "node long, sig array<int>, shingles array<long>")
     sets = write_and_read(sets.groupBy("node").agg(F.any_value("sig").alias("sig"), F.any_value("shingles").alias("shingles")), "sets")
+    if exact:
+        postings = write_and_read(_exact_postings(sets, percent), "postings")
 
     owned = sets.select("node", F.explode("shingles").alias("_s")).groupBy("_s").agg(F.count("*").alias("_c"), F.min("node").alias("node"))
     alone = owned.where("_c = 1").groupBy("node").agg(F.count("*").alias("_alone"))
@@ -280,7 +313,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     leads = leads.select("key", "_lead.*")
     stars = members.alias("x").join(leads.alias("y"), "key").where(possible & F.expr("x.node <> y.node")).select(*ends).distinct()
     stars = write_and_read(stars, "star-pairs")
-    links = write_and_read(_confirmed(stars, sets, percent), "star-links")
+    links = write_and_read(_confirmed(stars, sets, percent, least), "star-links")
 
     labels = components(links)
     placed = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -294,28 +327,33 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     labels = components(links.union(more))
     of_class = classes.select("h1", "h2", "n", "first_id", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     firsts = of_class.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    of_class = of_class.join(firsts, "comp").select("h1", "h2", "n", "component_id", F.lit(True).alias("_known"))
+    of_class = of_class.join(firsts, "comp").select("h1", "h2", "n", "component_id", "comp", F.lit(True).alias("_known"))
     rows = sketched.select("doc_id", "_uid", "_tie", "n", "h1", "h2").join(of_class, ["h1", "h2", "n"], "left")
     component = F.when(F.col("_known"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "_uid", "_tie").withColumn("kept", F.expr("doc_id <=> component_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "comp", "_uid", "_tie")
 
 
-def first_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, in all their columns, that are the first of their component; of rows with equal doc_id and text, one."""
+def first_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, exact: bool = False) -> DataFrame:
+    """The rows of docs, in all their columns, one of each component: that of the least doc_id, null last.
+
+    Several texts under that doc_id, or without any, go by their hashes; of rows with equal doc_id and text, one stays.
+    """
     key = ["_uid", "_tie"]
-    known = write_and_read(near_duplicates(docs, shingle, percent).select(*key, "kept"), "kept-rows")
+    rows = write_and_read(_labelled(docs, shingle, percent, exact), "labelled-rows")
+    first = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", *key)).alias("_first"))
+    known = rows.join(first, "comp", "left").withColumn("kept", F.expr("comp IS NULL OR (_first._uid = _uid AND _first._tie = _tie)")).select(*key, "kept")
+    known = write_and_read(known, "kept-rows")
     dropped = known.where("not kept").select(*key).distinct()
     repeated = known.where("kept").groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*key)
-    doc_id = docs["doc_id"].cast("long")
-    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(doc_id, F.xxhash64(docs["text"])).alias("_uid"), F.hash(docs["text"]).alias("_tie"))
+    named = docs.select(F.struct("*").alias("_row"), *row_key(docs["doc_id"], docs["text"]))
     gone = write_and_read(dropped.union(repeated).distinct(), "dropped-or-repeated")
-    single = rows.join(gone, key, "left_anti")
+    single = named.join(gone, key, "left_anti")
     repeated = write_and_read(repeated, "repeated-rows")
-    once = rows.join(repeated, key, "left_semi").dropDuplicates(key)
+    once = named.join(repeated, key, "left_semi").dropDuplicates(key)
     return single.union(once).select("_row.*")
 
 
 @llm_query()
 def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Component of every document, with 3-word shingles and a similarity of 0.85 or more."""
-    return near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85).drop("_uid", "_tie")
+    return near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85)

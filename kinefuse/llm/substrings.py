@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinefuse.llm.queries import llm_query, table
+from kinefuse.llm.rows import row_key
 from kinefuse.llm.shipping import ship
 from kinefuse.llm.words import M1, hashed_words, mix, runs
 from kinefuse.storage import write_and_read
@@ -92,13 +93,9 @@ def _keys(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """_row (the columns but the text), text, and two numbers that tell rows apart unless both doc_id and text are equal, when the rows share all results."""
-    return docs.select(
-        F.struct(*(docs[n] for n in docs.columns if n != "text")).alias("_row"),
-        docs["text"],
-        F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(docs["text"])).alias("_uid"),
-        F.hash(docs["text"]).alias("_tie"),
-    )
+    """_row (the columns but the text), text, and the two numbers that tell rows apart, see `row_key`."""
+    fields = F.struct(*(docs[n] for n in docs.columns if n != "text")).alias("_row")
+    return docs.select(fields, docs["text"], *row_key(docs["doc_id"], docs["text"]))
 
 
 def _text_anchors(window: int, anchor: int):
@@ -150,6 +147,8 @@ def _suffixes(window: int, anchor: int, short: int, groups: int):
             known = np.flatnonzero(np.isin(np.arange(len(place)), order[np.append(same, False) | np.append(False, same)], assume_unique=True))
             yield _packed(group[cut[:-1]], cut, shallow[lead], deep[lead], uid[owner[lead]], tie[owner[lead]], pos[lead], met)
             if len(known):
+                # Rows of equal doc_id and text share their places.
+                known = known[_distinct(uid[owner[known]], tie[owner[known]], pos[known])]
                 none = np.zeros(len(known), np.uint64)
                 at_group = np.array([-1 - int(mix(deep[known[:1]])[0] % np.uint64(groups))])
                 yield _packed(at_group, np.array([0, len(known)], np.int32), none, none, uid[owner[known]], tie[owner[known]], pos[known], np.ones(len(known), bool))
@@ -157,6 +156,14 @@ def _suffixes(window: int, anchor: int, short: int, groups: int):
     return emit
 
 
+def _distinct(*columns: np.ndarray) -> np.ndarray:
+    """Indexes of the distinct rows of some columns."""
+    order = np.lexsort(columns[::-1])
+    first = np.ones(len(order), bool)
+    first[1:] = np.any([x[order][1:] != x[order][:-1] for x in columns], axis=0)
+    return order[first]
+
+
 def _member(values: np.ndarray, at: np.ndarray, owner: np.ndarray, lists: pa.ListArray) -> np.ndarray:
     """Whether each window's anchor is in its text's list."""
     begins = lists.offsets.to_numpy()
@@ -166,7 +173,7 @@ def _member(values: np.ndarray, at: np.ndarray, owner: np.ndarray, lists: pa.Lis
     return np.isin(values[at] ^ salt[owner], listed ^ np.repeat(salt, sizes))
 
 
-SUFFIXES = "grp long, shallow array<long>, deep array<long>, uid array<long>, tie array<int>, pos array<int>, met array<boolean>"
+SUFFIXES = "grp long, shallow array<long>, deep array<long>, uid array<long>, tie array<long>, pos array<int>, met array<boolean>"
 
 
 def _packed(group, cut, shallow, deep, uid, tie, pos, met) -> pa.RecordBatch:
@@ -176,8 +183,8 @@ def _packed(group, cut, shallow, deep, uid, tie, pos, met) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["grp", "shallow", "deep", "uid", "tie", "pos", "met"])
 
 
-REPEATED = "shard long, uid array<long>, tie array<int>, pos array<int>"
-FOUND = "_uid long, _tie int, places array<int>"
+REPEATED = "shard long, uid array<long>, tie array<long>, pos array<int>"
+FOUND = "_uid long, _tie long, places array<int>"
 
 
 def _flat(table: pa.Table, names: tuple[str, ...]) -> dict[str, np.ndarray]:
@@ -199,7 +206,9 @@ def _subtree(shards: int):
             repeated[order] = np.append(branch, False) | np.append(False, branch)
             repeated |= flat["met"]
         uid, tie, pos = flat["uid"][repeated], flat["tie"][repeated], flat["pos"][repeated]
-        shard = (mix(uid.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+        once = _distinct(uid, tie, pos)
+        uid, tie, pos = uid[once], tie[once], pos[once]
+        shard = (mix(uid.view(np.uint64) ^ mix(tie.view(np.uint64))) % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         shard = shard[order]
         cut = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard)).astype(np.int32)
@@ -212,8 +221,8 @@ def _subtree(shards: int):
 def _by_text(repeated: pa.Table) -> pa.Table:
     """One row for each text of a shard."""
     uid, tie, pos = _flat(repeated, ("uid", "tie", "pos")).values()
-    order = np.lexsort((pos, tie, uid))
-    uid, tie, pos = uid[order], tie[order], pos[order]
+    once = _distinct(uid, tie, pos)
+    uid, tie, pos = uid[once], tie[once], pos[once]
     first = np.flatnonzero(np.append(True, (uid[1:] != uid[:-1]) | (tie[1:] != tie[:-1])))[: len(uid)]
     lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(uid)).astype(np.int32)), pa.array(pos))
     return pa.Table.from_arrays([pa.array(uid[first]), pa.array(tie[first]), lists], ["_uid", "_tie", "places"])
@@ -226,11 +235,11 @@ def repeated_places(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     spark = docs.sparkSession
     ship(spark)
     texts = identified(docs)
-    held = texts.select("_uid", "_tie", "text").mapInArrow(_text_anchors(window, anchor), "anchor long, _uid long, _tie int, often boolean")
+    held = texts.select("_uid", "_tie", "text").mapInArrow(_text_anchors(window, anchor), "anchor long, _uid long, _tie long, often boolean")
     count = held.groupBy("anchor").agg(F.count("*").alias("n"), F.max("often").alias("often")).where("n > 1 or often")
     live = held.join(count.select("anchor", (F.col("n") >= FREQUENT).alias("frequent")), "anchor")
     by_text = live.groupBy("_uid", "_tie").agg(
-        F.collect_list("anchor").alias("live"), F.collect_list(F.when(F.col("frequent"), F.col("anchor"))).alias("frequent")
+        F.collect_set("anchor").alias("live"), F.collect_set(F.when(F.col("frequent"), F.col("anchor"))).alias("frequent")
     )
     by_text = write_and_read(by_text, "live-anchors")
     suffixes = (by_text.agg(F.sum(F.size("live"))).first()[0] or 0) * (window - anchor + 1) // 2

@@ -86,6 +86,44 @@ def test_first_of_each_keeps_all_columns(spark, docs, none):
     assert near_duplicates.near_duplicates(none).count() == 0
 
 
+def test_one_of_each_group_without_usual_ids(spark):
+    """Near copies without doc_id, or under one doc_id, are still one group."""
+    near = lambda k, n: " ".join([*(f"g{k}w{i}" for i in range(100)), f"end{n}"])
+    pairs = [(None, near(0, n)) for n in range(3)] + [(7, near(1, 0)), (7, near(1, 1)), (9, near(1, 2))] + [(None, near(2, 0)), (3, near(2, 1))] + [(None, ""), (None, None), (5, near(1, 0)[:20])] + [(7, near(1, 0))] * 3
+    kept = near_duplicates.first_of_each(spark.createDataFrame(rows(pairs), DOCS)).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:3]) for r in kept) == [(0, ""), (0, ""), (0, "g0w"), (3, "g2w"), (5, "g1w"), (7, "g1w")]
+
+
+def test_exact_postings_find_every_link(spark):
+    """At a low threshold few coordinates agree; posting by the rarest shingles misses nothing."""
+    rng = random.Random(12)
+    words = [f"v{k}" for k in range(25)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(3, 14))) for _ in range(150)]
+    texts += [" ".join(t.split()[: rng.randrange(1, 12)] + ["v1"]) for t in texts[:60]]
+    frame = spark.createDataFrame(rows(list(enumerate(texts))), DOCS)
+    found = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(frame, 2, 40, exact=True).collect()}
+    sets = [{tuple(w[i : i + 2]) for i in range(len(w) - 1)} or {tuple(w)} for w in (t.split() for t in texts)]
+    comp = list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(texts)):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 40 * len(sets[a] | sets[b]):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+        if comp == (last := locals().get("last")):
+            break
+        last = list(comp)
+    assert found == dict(enumerate(comp))
+
+
+def test_matches_follow_the_threshold():
+    import math
+
+    for percent in (95, 85, 80, 60):
+        least = near_duplicates.matches(percent)
+        missed = sum(math.comb(48, k) * (percent / 100) ** k * (1 - percent / 100) ** (48 - k) for k in range(least))
+        assert missed <= near_duplicates.MISSED
+
+
 def test_components(spark):
     rng = random.Random(2)
     chain = [(k, k + 1) for k in range(40)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(20)]
@@ -118,6 +156,18 @@ def test_repeats(spark, docs, none):
     assert substrings.remove_repeats(none).count() == 0
 
 
+def test_many_equal_rows(spark):
+    """Equal rows share one list of places, each place once."""
+    text = " ".join(f"w{k}" for k in range(60))
+    frame = spark.createDataFrame(rows([(1, text)] * 3000 + [(2, text + " more")] + [(3, "short")] * 500), DOCS).repartition(5)
+    texts, places = substrings.repeated_places(frame)
+    found = places.collect()
+    assert sorted(len(r.places) for r in found) == [26, 26] and all(len(set(r.places)) == 26 for r in found)
+    assert texts.count() == 3501
+    kept = substrings.remove_repeats(frame).groupBy("_row.doc_id", "n_removed", "kept_text").count().collect()
+    assert sorted((r.doc_id, r.n_removed, r.kept_text, r["count"]) for r in kept) == [(1, 60, "", 3000), (2, 60, "more", 1), (3, 0, "short", 500)]
+
+
 def test_random_repeats(spark):
     """Few words, so that runs repeat within and across texts at all offsets."""
     rng = random.Random(8)
