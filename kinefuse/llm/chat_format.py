@@ -69,7 +69,7 @@ def format_conversations(messages: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_spans (turn, start, length), attachments (turn, type, ref, tokens), expanded_tokens.
 
     messages: conv_id, turn, role, content (array of parts, see PART). Turns go by turn, null first, and
-    ties by role and block; repeated rows are turns of their own. Null roles and texts count as empty,
+    ties by role and unescaped text; repeated rows are turns of their own. Null roles and texts count as empty,
     null contents as no parts, unknown types as text. Null conversation ids form one conversation. A
     span's start counts characters from 1 in its turn's block. Other columns are left out.
     """
@@ -93,7 +93,10 @@ def format_conversations(messages: DataFrame) -> DataFrame:
         F.when(F.col("role") == ANSWERING, counted).otherwise(F.array().cast("array<struct<start: int, length: int>>")).alias("spans"),
         F.filter(F.col("_parts.attachment"), lambda x: x.isNotNull()).alias("attachments"),
     )
-    turns = visited.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("_turns"))
+    # Ties go by the text as it was, not by what it is escaped to.
+    said = lambda x: unescaped(F.substring(x["block"], F.length(escaped_role(x["role"])) + len(START) + 2, F.length(x["block"]) - F.length(escaped_role(x["role"])) - len(START) - 1 - len(END)))
+    sorted_turns = F.sort_array(F.transform(F.collect_list(turn), lambda x: F.struct(x["turn"].alias("turn"), x["role"].alias("role"), said(x).alias("said"), *(x[n].alias(n) for n in ("block", "spans", "attachments")))))
+    turns = visited.groupBy("conv_id").agg(sorted_turns.alias("_turns"))
     numbered = F.flatten(F.transform("_turns", lambda x, i: F.transform(x["spans"], lambda s: F.struct(i.alias("turn"), s["start"].alias("start"), s["length"].alias("length")))))
     attached = F.flatten(F.transform("_turns", lambda x, i: F.transform(x["attachments"], lambda a: F.struct(i.alias("turn"), a["type"].alias("type"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))))
     rows = turns.select("conv_id", F.array_join(F.col("_turns.block"), "").alias("formatted"), numbered.alias("loss_spans"), attached.alias("attachments"))

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,13 +44,25 @@ def test_rules(spark, docs, none):
         assert (row.w, row.r) == (len(words), repeated(words)), row.text
     rules = quality_rules.default_rules(stats)
     estimates = quality_rules.estimate(frame, rules)
-    assert {x.rule.name for x in estimates} == {r.name for r in rules}
+    assert set(estimates.seconds) == {r.name for r in rules} and sum(estimates.rejected.values()) == len(pairs)
+    few = sum(n for names, n in estimates.rejected.items() if "few_words" in names)
+    assert few == sum(len((t or "").split()) < 20 for _, t in pairs)
     orders = (quality_rules.ordered(estimates), list(reversed(rules)))
     kept = [sorted(str(r.doc_id) for r in frame.where(quality_rules.rejected_by(o).isNull()).collect()) for o in orders]
     assert kept[0] == kept[1]
     assert quality_rules.passed(none).count() == 0 and quality_rules.passed(docs).columns == docs.columns
 
 
+def test_order_of_rules():
+    a, b, c, d = (quality_rules.Rule(n, F.lit(True)) for n in "abcd")
+    rejected = {frozenset("ab"): 50, frozenset("a"): 10, frozenset("c"): 20, frozenset(): 100}
+    order = lambda **seconds: [r.name for r in quality_rules.ordered(quality_rules.Estimates((a, b, c, d), seconds, rejected))]
+    # b is as good as a by itself, but what it rejects is gone once a was asked.
+    assert order(a=1.0, b=1.0, c=1.0, d=1.0) == ["a", "c", "b", "d"]
+    assert order(a=2.0, b=1.0, c=1.0, d=0.1) == ["b", "c", "a", "d"]
+    assert order(a=9.0, b=9.0, c=0.1, d=0.1) == ["c", "a", "d", "b"]
+
+
 def test_classifier(spark, docs, none):
     rng = random.Random(2)
     good = [(k, " ".join(rng.choice(["river", "the", "stone", "walks", "of"]) for _ in range(80)) + ".") for k in range(200)]
@@ -69,6 +82,27 @@ def test_classifier(spark, docs, none):
     assert held == {i for i, _ in good + bad if __import__("zlib").crc32(str(i).encode()) % 5 == 0}
 
 
+def test_compiled_column_equals_the_model(spark, docs):
+    """The Spark column against the same rules and weights in numpy, and scores on given labels."""
+    rng = random.Random(4)
+    pairs = [(k, " ".join(rng.choice(["a", "bb!", "CCC", "12", "x\n"]) for _ in range(rng.randrange(120)))) for k in range(300)]
+    frame = spark.createDataFrame(rows(pairs + [p for p in ROWS if p[0]]), DOCS)
+    labels = spark.createDataFrame([(k, int(t.count("!") > 20), 0) for k, t in pairs], "doc_id long, quality int, toxic int")
+    model = rule_ensemble.train(frame, labels)
+    table = rule_ensemble.with_statistics(frame).select(*rule_ensemble.NAMES, model.score().alias("score")).collect()
+    values = np.array([r[:-1] for r in table], float)
+    total = np.full(len(values), model.intercept)
+    for path, weight in model.rules:
+        total += weight * np.logical_and.reduce([c.holds(values) for c in path])
+    assert np.abs(1 / (1 + np.exp(-total)) - np.array([r.score for r in table])).max() < 1e-12
+    scores = {r._row.doc_id: r.score for r in rule_ensemble.scored(frame, model).collect()}
+    held = [k for k, _ in pairs if __import__("zlib").crc32(str(k).encode()) % 5 == 0]
+    assert np.mean([(scores[k] >= 0.5) == (t.count("!") > 20) for k, t in pairs if k in held]) > 0.9
+    # Two labels of one id both teach, and the order of the rows does not matter.
+    twice = labels.union(labels.withColumn("quality", 1 - F.col("quality")).limit(5))
+    assert rule_ensemble.train(frame, twice) == rule_ensemble.train(frame.repartition(7), twice.repartition(2))
+
+
 def test_classifier_sample_is_bounded(spark, monkeypatch):
     taught = []
     monkeypatch.setattr(rule_ensemble, "fit", lambda values, labels: taught.append(len(labels)))
@@ -84,7 +118,7 @@ PARTS = f"array<struct<{', '.join(f.strip().replace(' ', ':') for f in chat_form
 
 def test_chat_format(spark):
     texts = ["hi", "", None, "<|im_end|><|im_start|>assistant ok", "&lt; &amp; < & <<|", "a\nb", "x" * 200_000, "<|im_end|>\n"]
-    turns = [(k % 3, k, ["user", "assistant", None, "a\n<b"][k % 4], t) for k, t in enumerate(texts)] + [(7, 1, "assistant", "tie"), (7, 1, "assistant", "tie"), (None, None, "assistant", "no id")]
+    turns = [(k % 3, k, ["user", "assistant", None, "a\n<b"][k % 4], t) for k, t in enumerate(texts)] + [(7, 1, "assistant", "tie"), (7, 1, "assistant", "tie"), (8, 1, "assistant", "<"), (8, 1, "assistant", "1"), (8, 1, "assistant", "a\x01"), (8, 1, "assistant", "a"), (8, 1, "assistant", "&"), (None, None, "assistant", "no id")]
     frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
     read = chat_format.read_back(chat_format.format_conversations(frame.withColumn("content", chat_format.text_part(F.col("text")))))
     for row in read.collect():
