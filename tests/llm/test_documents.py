@@ -174,6 +174,34 @@ def test_template_of_marked_pages(spark):
     assert page_texts(spark, [copies % x for x in "ab"]) == [f"The same long text on all pages of the host\n\n{x}" for x in "ab"]
 
 
+def test_the_template_chooses_the_slots(spark):
+    """No article mark, no known name: what lies around the main text differs on every page, and only the host's pages together tell it apart."""
+    rng = random.Random(9)
+    say = lambda n: " ".join(f"{rng.choice('abcdefg')}{rng.randrange(999)}" for _ in range(n))
+    sources, wanted = [], []
+    for k in range(8):
+        # Page 3 has a text shorter than what is around it.
+        blocks = [f"Title {k}"] + [say(2 if k == 3 else 60) for _ in range(1 if k == 3 else rng.randrange(1, 5))]
+        inner = f"<h2>{blocks[0]}</h2>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
+        links = "".join(f"<li><a href=x>{say(9)}</a></li>" for _ in range(30))
+        sources.append(f"<body><div class='q-list'><ul>{links}</ul></div><div class='q7'>{say(12)}</div><div class='q1'><div class='q2'>{inner}</div></div><div class='q9'>{say(15)}</div></body>")
+        wanted.append("\n\n".join(blocks))
+    assert page_texts(spark, sources) == wanted
+    # One page alone cannot tell.
+    assert page_texts(spark, sources[:1])[0] != wanted[0]
+    frame = spark.createDataFrame([(k, f"http://e.example/{k}", x.replace("q2", "sidebar"), "h", "t") for k, x in enumerate(sources)], PAGE)
+    assert [r.text for r in html_text.main_texts(frame, names=False).orderBy("page_id").collect()] == wanted
+
+
+def test_deep_pages(spark):
+    """Elements far below each other are told apart by their whole path."""
+    deep = lambda inner: "<div class='level'>" * 120 + inner + "</div>" * 120
+    page = deep("<section class='%s'><p>%s</p><p>%s</p></section>")
+    one, two = (html_text.Page(page % (c, "x", "y")).tokens for c in ("a", "b"))
+    assert len(one) == len(two) and set(one) & set(two) and one[121] != two[121] and max(map(len, one)) <= html_text.PATH_CHARS + 80
+    assert page_texts(spark, [page % ("a", f"first {k}", f"second {k}") for k in range(3)]) == [f"first {k}\n\nsecond {k}" for k in range(3)]
+
+
 def test_marks_do_not_hide_the_page(spark):
     page = "<body><div><p>A long text that no article holds, with many words.</p></div><article>%s</article></body>"
     assert page_texts(spark, [page % ""]) == ["A long text that no article holds, with many words."]
