@@ -4,6 +4,9 @@ import itertools
 import random
 import re
 
+import numpy as np
+import pytest
+
 from kinefuse.llm import decontamination, near_duplicates, substrings
 from kinefuse.llm.components import components
 
@@ -168,13 +171,37 @@ def test_many_equal_rows(spark):
     assert sorted((r.doc_id, r.n_removed, r.kept_text, r["count"]) for r in kept) == [(1, 60, "", 3000), (2, 60, "more", 1), (3, 0, "short", 500)]
 
 
-def test_random_repeats(spark):
+def test_windows_of_a_group():
+    """Both sides of the trees against windows as tuples."""
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        window, reach = 6, 4
+        back = rng.integers(0, reach + 1, 30)
+        size = window + rng.integers(0, back + 1)
+        words = rng.integers(0, 2, size.sum()).astype(np.int64)
+        begin = np.cumsum(size) - size
+        found = substrings.repeated_windows(words, size, back, window, reach)
+        seen = {}
+        for i, (a, n, b) in enumerate(zip(begin, size, back)):
+            for k in range(n - window + 1):
+                seen.setdefault((int(b - k), *words[a + k : a + k + window].tolist()), []).append((i, k))
+        wanted = np.zeros_like(found)
+        for places in seen.values():
+            if len(places) > 1:
+                for i, k in places:
+                    wanted[i, k] = True
+        assert (found == wanted).all()
+
+
+@pytest.mark.parametrize("frequent", [substrings.FREQUENT, 3])
+def test_random_repeats(spark, monkeypatch, frequent):
     """Few words, so that runs repeat within and across texts at all offsets."""
+    monkeypatch.setattr(substrings, "FREQUENT", frequent)
     rng = random.Random(8)
     pairs = [(k, " ".join(rng.choice("ab") for _ in range(rng.randrange(60)))) for k in range(60)]
     pairs += [(100 + k, f"{k} " + "same " * rng.randrange(50)) for k in range(20)]
     docs = spark.createDataFrame(rows(pairs), DOCS)
-    texts, places = substrings.repeated_places(docs, 12, 4, 6)
+    texts, places = substrings.repeated_places(docs, 12, 4)
     found = {(r._uid, r._tie): r.places for r in places.collect()}
     have = []
     for r in texts.collect():
