@@ -6,7 +6,8 @@ each. Windows of WINDOW such tokens are hashed and joined with those of the benc
 few plain words is taken word for word. For each document and item, the values that the matched windows
 put into the placeholders must agree: along one alignment a value of the item stands for one value of the
 document. Windows that disagree do not count. Of an item the words count that the windows left cover, over
-all alignments, or the longest run of them along one.
+all alignments, or the longest run of them along one. Of items that are found at the same place, the one that the
+document covers best is reported, and others that it covers as well.
 
 Names are known by capitals, which a text in capitals or title case makes useless and the start of a
 sentence hides; so windows are taken with names as plain words, with the capitals within sentences as
@@ -40,6 +41,8 @@ LEAST_PLAIN = 2
 LEAST_SHARE = 80
 #: Or a run along one alignment: share of the item's words, in hundredths, and words.
 RUN_SHARE, RUN_WORDS = 60, 12
+#: Share of an item's words in a document, in hundredths, that another item covers better, from which it is not reported.
+LEAST_LOST = 90
 #: Bits of the bitmap: some 16 a window of the benchmark, within these limits. Beyond the upper one more windows pass it.
 LEAST_BITS, MOST_BITS = 1 << 22, 1 << 28
 
@@ -222,7 +225,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # Added words and longer values move the shift: an alignment is one shift, or one of two overlapping ranges of shifts.
     wide = "(8 + total div 8)"
     lines = F.expr(f"array(struct(0 as way, shift as line), struct(1 as way, cast(floor(shift / {wide}) as int) as line), struct(2 as way, cast(floor(shift / {wide} + 0.5) as int) as line))")
-    matched = write_and_read(matched, "template-matches").withColumn("_line", F.explode(lines)).select("*", "_line.*").drop("_line", "shift")
+    matched = write_and_read(matched, "template-matches").withColumn("_line", F.explode(lines)).select("*", "_line.*").drop("_line")
 
     line = ("_uid", "_tie", "item", "way", "line")
     said = matched.select(*line, F.explode("slots").alias("_s")).groupBy(*line, "_s").agg(F.count("*").alias("_n"))
@@ -232,10 +235,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     words = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("at", "upto")), lambda x: F.sequence(x["at"], x["upto"] - 1)))))
     runs_of = rows.groupBy(*line).agg(words.alias("_words"), F.max("total").alias("total")).withColumn("_run", _longest("_words"))
     one = (F.col("_run") >= RUN_WORDS) & (100 * F.col("_run") >= RUN_SHARE * F.col("total"))
-    over = runs_of.groupBy("_uid", "_tie", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("_words")))).alias("_n"), F.max("total").alias("total"), F.max(one).alias("_one"))
+    item = ("_uid", "_tie", "item")
+    over = runs_of.groupBy(*item).agg(F.size(F.array_distinct(F.flatten(F.collect_list("_words")))).alias("_n"), F.max("total").alias("total"), F.max(one).alias("_one"))
     less = F.least(F.lit(WINDOW), "total") - 1
     held = over.where(F.col("_one") | (100 * (F.col("_n") - less) >= LEAST_SHARE * (F.col("total") - less)))
-    return write_and_read(held.groupBy("_uid", "_tie").agg(F.sort_array(F.collect_set("item")).alias("items")), "leaks")
+    held = write_and_read(held.select(*item, (F.col("_n") / F.col("total")).alias("share")), "held-items")
+    return write_and_read(_best_items(held, rows).groupBy("_uid", "_tie").agg(F.sort_array(F.collect_set("item")).alias("items")), "leaks")
+
+
+def _best_items(held: DataFrame, rows: DataFrame) -> DataFrame:
+    """The held items without those whose words in the document are, by LEAST_LOST of them, better covered by another item.
+
+    Items that differ in a plain word share most windows; the one that the document holds covers more of itself. Each document keeps an item.
+    """
+    item = ("_uid", "_tie", "item")
+    spans = rows.join(held.select(*item), list(item), "left_semi").select(*item, F.explode(F.sequence(F.col("at") + F.col("shift"), F.col("upto") + F.col("shift") - 1)).alias("word"))
+    words = write_and_read(spans.distinct().join(held, list(item)), "held-words")
+    best = words.groupBy("_uid", "_tie", "word").agg(F.max("share").alias("_best"))
+    lost = words.join(best, ["_uid", "_tie", "word"]).groupBy(*item).agg((100 * F.avg((F.col("_best") > F.col("share")).cast("int"))).alias("_lost"))
+    return lost.where(F.col("_lost") < LEAST_LOST)
 
 
 def _longest(words: str) -> Column:

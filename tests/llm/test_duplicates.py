@@ -242,6 +242,16 @@ def test_decontamination(spark, docs, none):
     assert decontamination.clean(held, benchmark.limit(0)).count() == 7
 
 
+def test_siblings_are_told_apart(spark):
+    """Items that differ in one plain word: a text of one is not marked with the others; with other numbers in it, all fit."""
+    ask = lambda colour, n: f"Pick the answer that fits the question best for case {colour} when {n} boats leave the quiet harbour in the early morning"
+    colours = ["red", "blue", "green", "black", "white", "brown"]
+    benchmark = spark.createDataFrame([(k, ask(c, 3)) for k, c in enumerate(colours)] + [(10, ask("red", 7))], "item_id long, text string")
+    docs = spark.createDataFrame(rows([(k, f"Some words first. {ask(c, 3)}. And more words after.") for k, c in enumerate(colours)] + [(20, ask("blue", 3) + ". " + ask("white", 3))]), DOCS)
+    found = {r._row.doc_id: r["items"] for r in decontamination.marked(docs, benchmark).collect()}
+    assert found == {0: [0, 10], 1: [1], 2: [2], 3: [3], 4: [4], 5: [5], 20: [1, 4]}
+
+
 def test_slots_must_agree(spark):
     """The same template with a value that stands for two others is no copy."""
     item = "Of 10 red boxes 10 were sold and of the rest 10 went back to the 10 shops they came from."
