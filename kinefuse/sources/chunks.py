@@ -16,8 +16,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a chunk.
-CHUNK_BYTES = 16 << 20
+#: Bytes of a chunk. Parquet holds a hundred rows before it looks at their size, so chunks in tables must be small.
+CHUNK_BYTES = 2 << 20
 # File endings that are decompressed when read, and how much larger a text may become.
 PACKED_ENDINGS = (".gz", ".bz2", ".zst", ".lz4")
 PACKED_RATIO = 16

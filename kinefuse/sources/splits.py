@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 
 from kinefuse.functions.payload import RECORD
 from kinefuse.functions.text import lenient_utf8
-from kinefuse.sources.chunks import PACKED_RATIO, is_packed, list_all_files, read_chunks
+from kinefuse.sources.chunks import CHUNK_BYTES, PACKED_RATIO, is_packed, list_all_files, read_chunks
 from kinefuse.sources.extract import csv_payload, own_columns, parse_documents, split_csv_fields, split_csv_records
 from kinefuse.sources.files import plain_path, read_text_files, with_owner
 from kinefuse.storage import write_and_read
 
-#: Bytes of a file above which it is read in pieces, and of a chunk.
+#: Bytes of a file above which it is read in pieces. Chunks are no larger, and no larger than CHUNK_BYTES.
 SPLIT_BYTES = 16 << 20
 
 # States of a CSV reader: at a field's start, in a plain field, in a quoted field, after a quote in a quoted field.
@@ -371,7 +371,7 @@ def read_parsed(spark: SparkSession, folders: list[str], split_bytes: int = SPLI
     whole = whole.withColumn("columns", own_columns(F.col("columns"))).withColumn("first_position", F.lit(0).cast("long"))
     if others.isEmpty():
         return whole
-    chunks = write_and_read(read_chunks(others, split_bytes), "chunks")
+    chunks = write_and_read(read_chunks(others, min(split_bytes, CHUNK_BYTES)), "chunks")
     times = others.select(F.col("path").alias("file_path"), F.col("modificationTime").alias("modified"))
     pieces = parse_chunks(chunks).drop("piece").join(times, "file_path").withColumn("file_path", plain_path(F.col("file_path")))
     return whole.unionByName(with_owner(pieces, folders).select(whole.columns))
