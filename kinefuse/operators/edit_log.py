@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinefuse.schemas import ASSOCIATION_TYPES
+from kinefuse.shipping import ship
 from kinefuse.storage import write_and_read
 
 # Kinds of edits.
@@ -170,6 +171,7 @@ def apply_edits(sources: DataFrame, edits: DataFrame) -> DataFrame:
     request (an element for a source that has none), save (element_id gets exactly `paths`). Edits of one source with one seq go by kind,
     element and type. Edits of sources that are not there change nothing, but for add. Added sources have null in the other columns of `sources`.
     """
+    ship(sources.sparkSession)
     ranged = ("path", "seq", "kind", "element_id", "new_type")
     events = write_and_read(source_edits(sources, edits), "source-edits")
     folded = events.repartitionByRange(*ranged).sortWithinPartitions(*ranged).mapInArrow(_fold, FOLDED)

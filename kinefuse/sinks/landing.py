@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinefuse.functions.text import base_name, file_extension
+from kinefuse.storage import LARGE_ROWS
 
 
 def raw_landing(files: DataFrame) -> DataFrame:
@@ -32,4 +33,4 @@ def landing_rows(files: DataFrame) -> DataFrame:
 def write_raw_landing(files: DataFrame, path: str) -> None:
     """Append files, whole or in chunks, to the raw table."""
     rows = landing_rows(files) if "file_hash" in files.columns else raw_landing(files)
-    rows.write.mode("append").option("compression", "zstd").parquet(path)
+    rows.write.mode("append").options(**LARGE_ROWS).option("compression", "zstd").parquet(path)

@@ -16,7 +16,9 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a chunk. Parquet holds a hundred rows before it looks at their size, so chunks in tables must be small.
+from kinefuse.shipping import ship
+
+#: Bytes of a chunk.
 CHUNK_BYTES = 2 << 20
 # File endings that are decompressed when read, and how much larger a text may become.
 PACKED_ENDINGS = (".gz", ".bz2", ".zst", ".lz4")
@@ -67,6 +69,7 @@ def list_all_files(spark: SparkSession, folders: list[str]) -> DataFrame:
     """
     if not folders:
         return spark.createDataFrame([], LISTING)
+    ship(spark)
     rows = spark.createDataFrame([(f.rstrip("/") or "/",) for f in folders], "folder string").repartition(len(folders))
     return rows.mapInArrow(_listed, LISTING)
 
@@ -109,6 +112,7 @@ def _numbered(chunk_bytes: int) -> Column:
 
 def read_chunks(listing: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Listed files as chunks numbered from 0. Packed files are unpacked as a stream by one task each; an empty file has no chunk."""
+    ship(listing.sparkSession)
     numbers = F.when(is_packed(F.col("path")), F.array(F.lit(-1).cast("long"))).otherwise(_numbered(chunk_bytes))
     wanted = listing.where("length > 0").select("path", F.explode(numbers).alias("chunk"))
     return wanted.repartition("path", "chunk").mapInArrow(_chunks(chunk_bytes, True, []), CHUNKS)
@@ -134,6 +138,7 @@ def landing_chunks(listing: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFr
     An empty file is one empty chunk. MD5 needs a file's bytes in order, so one task streams a file for it,
     a chunk at a time; the chunks themselves are read by as many tasks as there are. No task holds more than a chunk.
     """
+    ship(listing.sparkSession)
     digests = listing.select("path").repartition("path").mapInArrow(_digests(chunk_bytes), "path string, file_hash string")
     known = listing.select("path", F.col("length").alias("file_size_bytes"), _numbered(chunk_bytes).alias("numbers")).join(digests, "path")
     wanted = known.select("path", "file_hash", "file_size_bytes", F.explode("numbers").alias("chunk")).repartition("path", "chunk")
@@ -141,12 +146,18 @@ def landing_chunks(listing: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFr
     return wanted.mapInArrow(_chunks(chunk_bytes, False, carried), f"{CHUNKS}, file_hash string, file_size_bytes long")
 
 
-def write_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Writes each content (binary) to its path, and gives the paths; a task that is repeated writes the same files again."""
-    for batch in batches:
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            system, inner = open_path(path)
-            system.create_dir(inner.rpartition("/")[0], recursive=True)
-            with system.open_output_stream(inner, compression=None) as stream:
-                stream.write(content)
-        yield batch.select(["path"])
+def write_files(files: DataFrame) -> None:
+    """Writes each content (binary) to its path."""
+    ship(files.sparkSession)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A task that is repeated writes the same files again.
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                system, inner = open_path(path)
+                system.create_dir(inner.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(inner, compression=None) as stream:
+                    stream.write(content)
+            yield batch.select(["path"])
+
+    files.select("path", "content").mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()

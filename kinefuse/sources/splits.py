@@ -26,7 +26,8 @@ from kinefuse.functions.text import lenient_utf8
 from kinefuse.sources.chunks import CHUNK_BYTES, PACKED_RATIO, is_packed, list_all_files, read_chunks
 from kinefuse.sources.extract import csv_payload, own_columns, parse_documents, split_csv_fields, split_csv_records
 from kinefuse.sources.files import plain_path, read_text_files, with_owner
-from kinefuse.storage import write_and_read
+from kinefuse.shipping import ship
+from kinefuse.storage import LARGE_ROWS, write_and_read
 
 #: Bytes of a file above which it is read in pieces. Chunks are no larger, and no larger than CHUNK_BYTES.
 SPLIT_BYTES = 16 << 20
@@ -318,27 +319,28 @@ def parse_chunks(chunks: DataFrame) -> DataFrame:
 
     chunks must be a written table; it is read several times.
     """
+    ship(chunks.sparkSession)
     reports = chunks.mapInArrow(_report, REPORTS).groupBy("file_path").applyInArrow(_compose, STARTS)
     starts = write_and_read(reports, "chunk-starts")
     may_be_json = F.col("closed") & F.col("root").isin(ord("["), ord("{"))
     candidates = chunks.join(starts.where(may_be_json).drop("csv_state", "closed"), ["file_path", "chunk"])
     held = write_and_read(candidates.mapInArrow(_outline, OUTLINES).groupBy("file_path").applyInArrow(_hold, HELD), "chunk-outlines")
     sound = candidates.join(held.where("sound").drop("sound"), ["file_path", "chunk"])
-    cut = write_and_read(sound.mapInArrow(_cuts("json"), "file_path string, chunk long, content binary, cut long"), "json-cuts")
+    cut = write_and_read(sound.mapInArrow(_cuts("json"), "file_path string, chunk long, content binary, cut long"), "json-cuts", **LARGE_ROWS)
     roots = write_and_read(starts.select("file_path", "root").distinct(), "roots")
-    documents = write_and_read(_json_documents(_pieces(cut, 1), roots), "json-documents")
+    documents = write_and_read(_json_documents(_pieces(cut, 1), roots), "json-documents", **LARGE_ROWS)
     # Of a key that an object repeats the last value counts, wherever it is: such a document stays in one piece.
     keys = documents.where(F.col("text").rlike(r"\A\s*+\{")).select("file_path", F.explode(F.json_object_keys("text")).alias("key")).where("key <> '\u0002piece'")
     twice = write_and_read(keys.groupBy("file_path", "key").count().where("count > 1").select("file_path").distinct(), "repeated-keys")
     uncut = cut.join(twice, "file_path", "left_semi").withColumn("cut", F.when(F.col("chunk") == 0, F.col("cut")))
     documents = documents.join(twice, "file_path", "left_anti").unionByName(_json_documents(_pieces(uncut, 1), roots))
     parsed = parse_documents(documents)
-    parsed = write_and_read(parsed.withColumn("sound", F.col("whole") & (F.col("format") == "JSON")).drop("whole"), "json-pieces")
+    parsed = write_and_read(parsed.withColumn("sound", F.col("whole") & (F.col("format") == "JSON")).drop("whole"), "json-pieces", **LARGE_ROWS)
     as_json = parsed.groupBy("file_path").agg(F.min("sound").alias("sound")).where("sound").select("file_path")
     as_csv = chunks.join(as_json, "file_path", "left_anti").join(starts.select("file_path", "chunk", "csv_state"), ["file_path", "chunk"])
-    csv_cut_ = write_and_read(as_csv.mapInArrow(_cuts("csv"), "file_path string, chunk long, content binary, cut long"), "csv-cuts")
+    csv_cut_ = write_and_read(as_csv.mapInArrow(_cuts("csv"), "file_path string, chunk long, content binary, cut long"), "csv-cuts", **LARGE_ROWS)
     both = parsed.join(as_json, "file_path", "left_semi").drop("sound").unionByName(_csv_parsed(_pieces(csv_cut_, 0)))
-    return _placed(write_and_read(both, "pieces"))
+    return _placed(write_and_read(both, "pieces", **LARGE_ROWS))
 
 
 def _placed(pieces: DataFrame) -> DataFrame:
@@ -371,7 +373,7 @@ def read_parsed(spark: SparkSession, folders: list[str], split_bytes: int = SPLI
     whole = whole.withColumn("columns", own_columns(F.col("columns"))).withColumn("first_position", F.lit(0).cast("long"))
     if others.isEmpty():
         return whole
-    chunks = write_and_read(read_chunks(others, min(split_bytes, CHUNK_BYTES)), "chunks")
+    chunks = write_and_read(read_chunks(others, min(split_bytes, CHUNK_BYTES)), "chunks", **LARGE_ROWS)
     times = others.select(F.col("path").alias("file_path"), F.col("modificationTime").alias("modified"))
     pieces = parse_chunks(chunks).drop("piece").join(times, "file_path").withColumn("file_path", plain_path(F.col("file_path")))
     return whole.unionByName(with_owner(pieces, folders).select(whole.columns))

@@ -68,7 +68,11 @@ def run_folder(spark: SparkSession) -> Iterator[str]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def write_and_read(df: DataFrame, label: str) -> DataFrame:
+#: For rows of some MB: Parquet looks at their size after each row and closes a row group early, as a reader holds a group whole.
+LARGE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "10"}
+
+
+def write_and_read(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     This ends the lineage in files that outlive any executor, and gives Spark the table's real
@@ -76,5 +80,5 @@ def write_and_read(df: DataFrame, label: str) -> DataFrame:
     shuffles it when it is not.
     """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

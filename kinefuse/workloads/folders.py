@@ -9,7 +9,7 @@ from kinefuse.functions.numbers import text_to_number
 from kinefuse.operators.export import sort_by_time
 from kinefuse.plans.fusion import build_unified
 from kinefuse.sources import files
-from kinefuse.sources.chunks import landing_chunks, list_all_files
+from kinefuse.sources.chunks import landing_chunks, list_all_files, write_files
 from kinefuse.sources.extract import events_of
 from kinefuse.sources.splits import read_parsed
 from kinefuse.storage import new_path, write_and_read
@@ -200,15 +200,9 @@ def landed_names(spark: SparkSession, folder: str) -> DataFrame:
     target = new_path(spark, "odd-names")
     texts = {name: F.concat("source", F.lit(name)) for name in ("_hidden", ".hidden", "a=b")} | {"empty": F.lit("")}
     rows = kinds.select("source", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), t.alias("value")) for n, t in texts.items()])).alias("x"))
-    write_named_texts(rows.select(F.concat(F.lit(f"{target}/source="), "source", F.lit("/"), "x.name").alias("path"), "x.value"))
+    path = F.concat(F.lit(f"{target}/source="), "source", F.lit("/"), "x.name")
+    write_files(rows.select(path.alias("path"), F.col("x.value").cast("binary").alias("content")))
     folders = [f"{target}/source={row.source}" for row in kinds.collect()]
     chunks = landing_chunks(write_and_read(list_all_files(spark, folders), "listing"))
     landed = files.folder_listing(chunks.withColumnRenamed("file_path", "path"))
     return landed.select(files.base_name(F.col("folder")).alias("folder"), "name", F.col("file_size_bytes").alias("size_bytes"), "file_hash")
-
-
-def write_named_texts(rows: DataFrame) -> None:
-    """Write each row's value to the file its path names."""
-    from kinefuse.sources.chunks import write_files
-
-    rows.select("path", F.col("value").cast("binary").alias("content")).mapInArrow(write_files, "path string").count()
