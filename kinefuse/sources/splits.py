@@ -366,7 +366,7 @@ def read_parsed(spark: SparkSession, folders: list[str], split_bytes: int = SPLI
     if paths is not None:
         listing = listing.where(plain_path(F.col("path")).isin(paths))
     size = F.col("length") * F.when(is_packed(F.col("path")), PACKED_RATIO).otherwise(1)
-    listing = write_and_read(listing.withColumn("in_pieces", (size > split_bytes) | hidden(F.col("path"), folders)), "listing")
+    listing = write_and_read(listing.withColumn("in_pieces", (size > split_bytes) | hidden(plain_path(F.col("path")), folders)), "listing")
     others = listing.where("in_pieces")
     shown = paths if paths is None else [r.path for r in listing.where("NOT in_pieces").select("path").collect()]
     whole = parse_documents(read_text_files(spark, folders, shown, split_bytes))
@@ -383,7 +383,7 @@ def hidden(path: Column, folders: list[str]) -> Column:
     """Whether Spark hides a file below one of the folders: a name on the way starts with `.`, or with `_` and holds no `=`."""
     test = F.lit(False)
     for folder in folders:
-        top = folder.rstrip("/")
+        top = re.sub(r"\Afile:/+", "/", folder).rstrip("/")
         below = F.substring(path, len(top) + 1, 1 << 30)
         test = test | (F.startswith(path, F.lit(top + "/")) & below.rlike(r"/(?:\.|_[^/=]*(?:/|\z))"))
     return test

@@ -161,6 +161,8 @@ def test_hidden_and_empty_files(spark, tmp_path):
     folders = [str(top), str(top / "sub")]
     events = events_of(splits.read_parsed(spark, folders)).select("source", "payload").collect()
     assert sorted((r.source, r.payload["v"]) for r in events) == [("sensors", str(k)) for k in range(1, 7)] + [("sub", "4")]
+    spelled = events_of(splits.read_parsed(spark, [f"file://{top}//"])).select("payload").collect()
+    assert sorted(r.payload["v"] for r in spelled) == [str(k) for k in range(1, 7)]
 
 
 def test_chunks_and_landing(spark, tmp_path):
