@@ -32,11 +32,11 @@ def land_raw_files(spark: SparkSession, folders: list[str], path: str) -> None:
     write_raw_landing(with_owner(chunks, folders), path)
 
 
-def discover_maps(spark: SparkSession, sources: DataFrame, folders: list[str]) -> DataFrame:
+def discover_maps(spark: SparkSession, sources: DataFrame, folders: list[str], listing: DataFrame | None = None) -> DataFrame:
     """Kinematic map per source path from the first file of each folder; no other file is opened."""
-    paths = sample_paths(spark, folders)
+    paths = sample_paths(spark, folders, listing)
     source = F.col("source_path").alias("source")
-    parsed = read_parsed(spark, folders, paths=paths)
+    parsed = read_parsed(spark, folders, paths=paths, listing=listing)
     cells = column_values(parsed).select(source, "column", "value")
     associations = sources.select(plain_path(F.col("path")).alias("source"), "association_type")
     return scrub_map(discover_roles(column_profile(cells), associations))
@@ -79,14 +79,15 @@ def build_kinematics(
     has one flag per folder the caller named.
     """
     named = list(dict.fromkeys(folders))
-    found = discover_maps(spark, sources, named) if maps is None else maps
+    listing = write_and_read(list_all_files(spark, named).distinct(), "listing")
+    found = discover_maps(spark, sources, named, listing) if maps is None else maps
     known = source_maps(sources, found)
     flags = _flags(spark, known, named)
     parts: list[DataFrame] = []
     if any(flags.values()):
-        parts.append(file_kinematics(read_parsed(spark, [f for f, mapped in flags.items() if mapped]), known))
+        parts.append(file_kinematics(read_parsed(spark, [f for f, mapped in flags.items() if mapped], listing=listing), known))
     if not all(flags.values()):
-        parsed = read_parsed(spark, [f for f, mapped in flags.items() if not mapped])
+        parsed = read_parsed(spark, [f for f, mapped in flags.items() if not mapped], listing=listing)
         parts.append(unmapped_kinematics(events_of(parsed)))
     if not parts:
         return spark.createDataFrame([], KINEMATIC_ROW)

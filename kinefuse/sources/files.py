@@ -177,9 +177,10 @@ def read_text_files(
     return with_owner(read, folders).select(*_WHOLE.names)
 
 
-def sample_paths(spark: SparkSession, folders: list[str]) -> list[str]:
+def sample_paths(spark: SparkSession, folders: list[str], listing: DataFrame | None = None) -> list[str]:
     """Lowest path below each folder, of a hidden file too; from the listing alone, one path per folder comes back."""
-    listed = with_owner(list_all_files(spark, folders).select(plain_path(F.col("path")).alias("file_path")).distinct(), folders)
+    files = list_all_files(spark, folders) if listing is None else listing
+    listed = with_owner(files.select(plain_path(F.col("path")).alias("file_path")).distinct(), folders)
     first = listed.groupBy("source_path").agg(F.min("file_path").alias("file_path"))
     return [row.file_path for row in first.collect()]
 

@@ -29,6 +29,8 @@ from kinefuse.sources.files import plain_path, read_text_files, with_owner
 from kinefuse.shipping import ship
 from kinefuse.storage import LARGE_ROWS, write_and_read
 
+# What Spark hides below a folder: a name on the way that starts with `.`, or with `_` and holds no `=`.
+HIDDEN = r"/(?:\.|_[^/=]*(?:/|\z))"
 #: Bytes of a file above which it is read in pieces. Chunks are no larger, and no larger than CHUNK_BYTES.
 SPLIT_BYTES = 16 << 20
 
@@ -356,20 +358,32 @@ def _placed(pieces: DataFrame) -> DataFrame:
     return rows.withColumn("columns", own_columns(F.coalesce("columns", F.array().cast(COLUMNS))))
 
 
-def read_parsed(spark: SparkSession, folders: list[str], split_bytes: int = SPLIT_BYTES, paths: list[str] | None = None) -> DataFrame:
+def read_parsed(
+    spark: SparkSession,
+    folders: list[str],
+    split_bytes: int = SPLIT_BYTES,
+    paths: list[str] | None = None,
+    listing: DataFrame | None = None,
+) -> DataFrame:
     """Every file below the folders, parsed: source_path, source, file_path, modified, format, records, columns, first_position.
 
     Files that Spark shows and that are no larger than split_bytes are one row each; all others, hidden ones
-    too, are a row a piece. The rows are the same for every split_bytes. `paths` narrows the reading to some files.
+    too, are a row a piece. The rows are the same for every split_bytes. `paths` narrows the reading to some files;
+    `listing` is a written list of files (see `list_all_files`) that is known already, which may hold more than these folders.
     """
-    listing = list_all_files(spark, folders).distinct()
+    if listing is None:
+        listing = write_and_read(list_all_files(spark, folders).distinct(), "listing")
+    named = listing.withColumn("file_path", plain_path(F.col("path")))
     if paths is not None:
-        listing = listing.where(plain_path(F.col("path")).isin(paths))
+        named = named.where(F.col("file_path").isin(paths))
     size = F.col("length") * F.when(is_packed(F.col("path")), PACKED_RATIO).otherwise(1)
-    listing = write_and_read(listing.withColumn("in_pieces", (size > split_bytes) | hidden(plain_path(F.col("path")), folders)), "listing")
+    # A file below two of the folders is read by Spark if one of them shows it.
+    shown = F.min(F.expr("substring(file_path, length(source_path) + 1)").rlike(HIDDEN))
+    listing = with_owner(named, folders).groupBy("path", "modificationTime", "length").agg(shown.alias("hidden"))
+    listing = listing.withColumn("in_pieces", (size > split_bytes) | F.col("hidden"))
     others = listing.where("in_pieces")
-    shown = paths if paths is None else [r.path for r in listing.where("NOT in_pieces").select("path").collect()]
-    whole = parse_documents(read_text_files(spark, folders, shown, split_bytes))
+    alone = paths if paths is None else [r.path for r in listing.where("NOT in_pieces").select("path").collect()]
+    whole = parse_documents(read_text_files(spark, folders, alone, split_bytes))
     whole = whole.withColumn("columns", own_columns(F.col("columns"))).withColumn("first_position", F.lit(0).cast("long"))
     if others.isEmpty():
         return whole
@@ -377,13 +391,3 @@ def read_parsed(spark: SparkSession, folders: list[str], split_bytes: int = SPLI
     times = others.select(F.col("path").alias("file_path"), F.col("modificationTime").alias("modified"))
     pieces = parse_chunks(chunks).drop("piece").join(times, "file_path").withColumn("file_path", plain_path(F.col("file_path")))
     return whole.unionByName(with_owner(pieces, folders).select(whole.columns))
-
-
-def hidden(path: Column, folders: list[str]) -> Column:
-    """Whether Spark hides a file below one of the folders: a name on the way starts with `.`, or with `_` and holds no `=`."""
-    test = F.lit(False)
-    for folder in folders:
-        top = re.sub(r"\Afile:/+", "/", folder).rstrip("/")
-        below = F.substring(path, len(top) + 1, 1 << 30)
-        test = test | (F.startswith(path, F.lit(top + "/")) & below.rlike(r"/(?:\.|_[^/=]*(?:/|\z))"))
-    return test
