@@ -110,12 +110,17 @@ def _numbered(chunk_bytes: int) -> Column:
     return F.sequence(F.lit(0).cast("long"), last)
 
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out to as many tasks as a shuffle has. Without the number Spark would count the rows' bytes, not what is read for them, and give all to one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def read_chunks(listing: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Listed files as chunks numbered from 0. Packed files are unpacked as a stream by one task each; an empty file has no chunk."""
     ship(listing.sparkSession)
     numbers = F.when(is_packed(F.col("path")), F.array(F.lit(-1).cast("long"))).otherwise(_numbered(chunk_bytes))
     wanted = listing.where("length > 0").select("path", F.explode(numbers).alias("chunk"))
-    return wanted.repartition("path", "chunk").mapInArrow(_chunks(chunk_bytes, True, []), CHUNKS)
+    return _spread(wanted, "path", "chunk").mapInArrow(_chunks(chunk_bytes, True, []), CHUNKS)
 
 
 def _digests(chunk_bytes: int):
@@ -139,9 +144,9 @@ def landing_chunks(listing: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFr
     a chunk at a time; the chunks themselves are read by as many tasks as there are. No task holds more than a chunk.
     """
     ship(listing.sparkSession)
-    digests = listing.select("path").repartition("path").mapInArrow(_digests(chunk_bytes), "path string, file_hash string")
+    digests = _spread(listing.select("path"), "path").mapInArrow(_digests(chunk_bytes), "path string, file_hash string")
     known = listing.select("path", F.col("length").alias("file_size_bytes"), _numbered(chunk_bytes).alias("numbers")).join(digests, "path")
-    wanted = known.select("path", "file_hash", "file_size_bytes", F.explode("numbers").alias("chunk")).repartition("path", "chunk")
+    wanted = _spread(known.select("path", "file_hash", "file_size_bytes", F.explode("numbers").alias("chunk")), "path", "chunk")
     carried = ["file_hash", "file_size_bytes"]
     return wanted.mapInArrow(_chunks(chunk_bytes, False, carried), f"{CHUNKS}, file_hash string, file_size_bytes long")
 

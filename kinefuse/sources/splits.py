@@ -36,8 +36,17 @@ SPLIT_BYTES = 16 << 20
 
 # States of a CSV reader: at a field's start, in a plain field, in a quoted field, after a quote in a quoted field.
 START, PLAIN, QUOTED, AFTER = range(4)
-_AT_QUOTE = np.array([QUOTED, PLAIN, AFTER, QUOTED], np.uint8)
-_AT_GAP = {"none": np.arange(4, dtype=np.uint8), "end": np.array([START, START, QUOTED, START], np.uint8), "text": np.array([PLAIN, PLAIN, QUOTED, PLAIN], np.uint8)}
+# A move says for each of the four states which one follows, two bits each; _THEN holds the move that two moves make, first one first.
+_FOLLOWS = (np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3
+_THEN = (np.take(_FOLLOWS, _FOLLOWS, axis=1).transpose(1, 0, 2) << np.arange(0, 8, 2)).sum(axis=2).astype(np.uint8)
+
+
+def _move(*follows: int) -> int:
+    return sum(state << 2 * k for k, state in enumerate(follows))
+
+
+_STAY, _AT_END, _AT_TEXT = _move(START, PLAIN, QUOTED, AFTER), _move(START, START, QUOTED, START), _move(PLAIN, PLAIN, QUOTED, PLAIN)
+_AT_QUOTE = _move(QUOTED, PLAIN, AFTER, QUOTED)
 # States of a JSON reader: outside strings, inside one, inside one and after a backslash.
 OUTSIDE, INSIDE, ESCAPED = range(3)
 
@@ -56,13 +65,13 @@ def csv_ends(content: bytes) -> list[int]:
     sizes = stops - np.concatenate(([0], quotes + 1))
     before = data[np.maximum(stops - 1, 0)] if len(data) else np.zeros(1, np.uint8)
     ended = (before == ord(",")) | (before == ord("\n")) | (before == ord("\r"))
-    gaps = np.where((sizes == 0)[:, None], _AT_GAP["none"], np.where(ended[:, None], _AT_GAP["end"], _AT_GAP["text"]))
-    moves = np.vstack([gaps[:1], np.take_along_axis(gaps[1:], np.broadcast_to(_AT_QUOTE, (len(quotes), 4)).astype(np.int64), axis=1)])
+    moves = np.where(sizes == 0, _STAY, np.where(ended, _AT_END, _AT_TEXT)).astype(np.uint8)
+    moves[1:] = _THEN[_AT_QUOTE][moves[1:]]
     while len(moves) > 1:
         if len(moves) % 2:
-            moves = np.vstack([moves, _AT_GAP["none"][None]])
-        moves = np.take_along_axis(moves[1::2], moves[::2].astype(np.int64), axis=1)
-    return moves[0].tolist()
+            moves = np.append(moves, np.uint8(_STAY))
+        moves = _THEN[moves[::2], moves[1::2]]
+    return _FOLLOWS[moves[0]].tolist()
 
 
 def csv_cut(content: bytes, state: int) -> int | None:
@@ -114,7 +123,9 @@ def _steps(kind: np.ndarray) -> np.ndarray:
 
 def json_ends(content: bytes) -> tuple[list[int], list[int]]:
     """For each of the three start states the end state, and by how much the depth grows."""
-    plain, escaped = Structure(content, False), Structure(content, True)
+    plain = Structure(content, False)
+    # A backslash before the chunk takes effect on its first byte only.
+    escaped = Structure(content, True) if content[:1] in (b'"', b"\\") else plain
     ends = [plain.end(False), plain.end(True), escaped.end(True) if content else ESCAPED]
     grown = [int(_steps(s.outside(inside)[1]).sum()) for s, inside in ((plain, False), (plain, True), (escaped, True))]
     return ends, grown
@@ -267,23 +278,22 @@ def _pieces(cut: DataFrame, skipped: int) -> DataFrame:
 
     A piece is put together from the chunks it reaches into: one for itself, others only as long as they hold no cut.
     """
-    by_file = Window.partitionBy("file_path").orderBy("chunk")
+    file = Window.partitionBy("file_path")
+    earlier = file.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     at = F.col("cut")
-    numbered = cut.select("file_path", "chunk", at.isNotNull().alias("has_cut")).withColumn(
-        "before", F.last(F.when(F.col("has_cut"), F.col("chunk")), ignorenulls=True).over(by_file.rowsBetween(Window.unboundedPreceding, -1))
-    )
-    placed = cut.join(numbered.drop("has_cut"), ["file_path", "chunk"])
+    own = cut.select("file_path", "chunk", F.when(at.isNotNull(), F.col("chunk")).alias("own"))
+    numbered = own.select("file_path", "chunk", F.last("own", ignorenulls=True).over(earlier).alias("before"), F.max("own").over(file).alias("last"))
+    placed = cut.join(write_and_read(numbered, "piece-numbers"), ["file_path", "chunk"])
     skip = F.when(F.col("chunk") > 0, skipped).otherwise(0)
     size = F.octet_length("content")
     part = lambda owner, start, length: F.struct(owner.alias("piece"), F.substring("content", start.cast("int"), length.cast("int")).alias("content"))
     head = part(F.col("before"), F.lit(1), F.coalesce(at, size))
     rest = part(F.col("chunk"), at + skip + 1, size - at - skip)
     parts = F.array_compact(F.array(F.when(F.col("before").isNotNull(), head), F.when(at.isNotNull(), rest)))
-    rows = placed.select("file_path", "chunk", F.explode(parts).alias("part")).select("file_path", "chunk", "part.*")
-    joined = rows.groupBy("file_path", "piece").agg(F.sort_array(F.collect_list(F.struct("chunk", "content")))["content"].alias("parts"))
+    rows = placed.select("file_path", "chunk", "last", F.explode(parts).alias("part")).select("file_path", "chunk", "last", "part.*")
+    joined = rows.groupBy("file_path", "piece").agg(F.sort_array(F.collect_list(F.struct("chunk", "content")))["content"].alias("parts"), F.max("last").alias("last"))
     text = F.aggregate("parts", F.lit(b""), lambda done, x: F.concat(done, x))
-    last = numbered.where("has_cut").groupBy("file_path").agg(F.max("chunk").alias("last"))
-    return joined.join(last, "file_path").select("file_path", "piece", text.alias("content"), (F.col("piece") == F.col("last")).alias("is_last"))
+    return joined.select("file_path", "piece", text.alias("content"), (F.col("piece") == F.col("last")).alias("is_last"))
 
 
 def _json_documents(pieces: DataFrame, roots: DataFrame) -> DataFrame:
@@ -298,11 +308,11 @@ def _json_documents(pieces: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _csv_parsed(pieces: DataFrame) -> DataFrame:
-    """Pieces under the header of their file: the first record of the first piece that has one."""
+    """Pieces (a written table) under the header of their file: the first record of the first piece that has one."""
     texts = pieces.select("file_path", "piece", lenient_utf8(F.col("content").cast("string")).alias("text"))
     head = F.regexp_extract("text", r"(?s)\A[\r\n]*+(" + _RECORD.decode().replace(r"\Z", r"\z") + ")", 1)
     heads = texts.select("file_path", "piece", head.alias("head")).where("head <> ''")
-    heads = heads.groupBy("file_path").agg(F.min(F.struct("piece", "head")).alias("first"))
+    heads = write_and_read(heads.groupBy("file_path").agg(F.min(F.struct("piece", "head")).alias("first")), "heads")
     rows = texts.join(heads, "file_path", "left").withColumn("records", split_csv_records(F.col("text"))).withColumn("header", split_csv_fields(F.col("first.head")))
     own = F.when(F.col("piece") == F.col("first.piece"), F.slice("records", 2, F.size("records"))).when(F.col("piece") > F.col("first.piece"), F.col("records"))
     names = F.transform(F.array_distinct("header"), lambda k: F.struct(k.alias("name"), F.array(k).alias("path")))
@@ -319,7 +329,8 @@ COLUMNS = "array<struct<name:string,path:array<string>>>"
 def parse_chunks(chunks: DataFrame) -> DataFrame:
     """Chunks (file_path, chunk, content) to pieces: file_path, piece, format, records, columns (of the whole file, in order), first_position (records before).
 
-    chunks must be a written table; it is read several times.
+    chunks must be a written table; it is read several times. What is known of a file, a chunk or a piece is written
+    before contents or records meet it: so they stay where they are, or are dealt out by chunk or piece. By file, a task would hold a whole one.
     """
     ship(chunks.sparkSession)
     reports = chunks.mapInArrow(_report, REPORTS).groupBy("file_path").applyInArrow(_compose, STARTS)
@@ -337,24 +348,28 @@ def parse_chunks(chunks: DataFrame) -> DataFrame:
     uncut = cut.join(twice, "file_path", "left_semi").withColumn("cut", F.when(F.col("chunk") == 0, F.col("cut")))
     documents = documents.join(twice, "file_path", "left_anti").unionByName(_json_documents(_pieces(uncut, 1), roots))
     parsed = parse_documents(documents)
-    parsed = write_and_read(parsed.withColumn("sound", F.col("whole") & (F.col("format") == "JSON")).drop("whole"), "json-pieces", **LARGE_ROWS)
-    as_json = parsed.groupBy("file_path").agg(F.min("sound").alias("sound")).where("sound").select("file_path")
+    parsed = write_and_read(_counted(parsed).withColumn("sound", F.col("whole") & (F.col("format") == "JSON")).drop("whole"), "json-pieces", **LARGE_ROWS)
+    as_json = write_and_read(parsed.groupBy("file_path").agg(F.min("sound").alias("sound")).where("sound").select("file_path"), "json-files")
     as_csv = chunks.join(as_json, "file_path", "left_anti").join(starts.select("file_path", "chunk", "csv_state"), ["file_path", "chunk"])
     csv_cut_ = write_and_read(as_csv.mapInArrow(_cuts("csv"), "file_path string, chunk long, content binary, cut long"), "csv-cuts", **LARGE_ROWS)
-    both = parsed.join(as_json, "file_path", "left_semi").drop("sound").unionByName(_csv_parsed(_pieces(csv_cut_, 0)))
-    return _placed(write_and_read(both, "pieces", **LARGE_ROWS))
+    csv_pieces = write_and_read(_pieces(csv_cut_, 0), "csv-pieces", **LARGE_ROWS)
+    csv = write_and_read(_counted(_csv_parsed(csv_pieces)), "csv-records", **LARGE_ROWS)
+    return _placed(parsed.join(as_json, "file_path", "left_semi").drop("sound").unionByName(csv))
+
+
+def _counted(pieces: DataFrame) -> DataFrame:
+    """Adds the number of records of a piece, so that it is known without reading them again."""
+    return pieces.withColumn("n", F.size(F.filter("records", lambda r: ~F.map_contains_key(r, "\u0002end"))))
 
 
 def _placed(pieces: DataFrame) -> DataFrame:
-    """Adds what a piece must know of its file: all columns in the order of their first place, and the number of records before."""
+    """What a piece must know of its file instead of its own `columns` and `n`: all columns in the order of their first place, and the number of records before."""
     cells = pieces.select("file_path", "piece", F.posexplode("columns").alias("place", "column"))
     first = cells.groupBy("file_path", "column").agg(F.min(F.struct("piece", "place")).alias("at"))
-    ordered = first.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("at", "column")))["column"].alias("columns"))
-    own = F.size(F.filter("records", lambda r: ~F.map_contains_key(r, "\u0002end")))
+    ordered = write_and_read(first.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("at", "column")))["column"].alias("columns")), "piece-columns")
     earlier = Window.partitionBy("file_path").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    counts = pieces.select("file_path", "piece", own.alias("n"))
-    counts = counts.select("file_path", "piece", F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("long").alias("first_position"))
-    rows = pieces.drop("columns").join(ordered, "file_path", "left").join(counts, ["file_path", "piece"])
+    counts = write_and_read(pieces.select("file_path", "piece", F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("long").alias("first_position")), "positions")
+    rows = pieces.drop("columns", "n").join(ordered, "file_path", "left").join(counts, ["file_path", "piece"])
     return rows.withColumn("columns", own_columns(F.coalesce("columns", F.array().cast(COLUMNS))))
 
 
@@ -380,7 +395,7 @@ def read_parsed(
     # A file below two of the folders is read by Spark if one of them shows it.
     shown = F.min(F.expr("substring(file_path, length(source_path) + 1)").rlike(HIDDEN))
     listing = with_owner(named, folders).groupBy("path", "modificationTime", "length").agg(shown.alias("hidden"))
-    listing = listing.withColumn("in_pieces", (size > split_bytes) | F.col("hidden"))
+    listing = write_and_read(listing.withColumn("in_pieces", (size > split_bytes) | F.col("hidden")), "ways")
     others = listing.where("in_pieces")
     alone = paths if paths is None else [r.path for r in listing.where("NOT in_pieces").select("path").collect()]
     whole = parse_documents(read_text_files(spark, folders, alone, split_bytes))

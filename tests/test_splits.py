@@ -185,6 +185,45 @@ def test_chunks_and_landing(spark, tmp_path):
             assert {r[2:] for r in rows} == {(hashlib.md5(whole).hexdigest(), len(whole))}
 
 
+def test_chunks_are_read_by_many_tasks(spark, tmp_path):
+    (tmp_path / "raw.csv").write_bytes(b"speed,n\n" + b"1,2\n" * 5_000)
+    listing = list_all_files(spark, [str(tmp_path)])
+    for chunks in (read_chunks(listing, 500), landing_chunks(listing, 500)):
+        tasks = chunks.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 41
+
+
+def test_no_task_gets_a_whole_file(spark, tmp_path, monkeypatch):
+    """Contents and records are dealt out by chunk or piece, never by their file alone."""
+    (tmp_path / "a.csv").write_text("id,note\n" + "".join(f'{k},"x\n{k}"\n' for k in range(400)))
+    (tmp_path / "b.json").write_text(json.dumps([{"id": k, "a": {"b": k}} for k in range(400)]))
+    (tmp_path / "c.json").write_text("[1,2\n" + "".join(f"{k},{k}\n" for k in range(400)))
+    plans = {}
+
+    def explained(frame, label):
+        plan = frame._jdf.queryExecution().executedPlan()
+        plans.setdefault(label, []).append((frame, [line for line in plan.toString().split("\n") if "Exchange hashpartitioning(file_path#" in line]))
+
+    def write(frame, label, **options):
+        if options:
+            explained(frame, label)
+        return write_and_read(frame, label, **options)
+
+    write_and_read = splits.write_and_read
+    monkeypatch.setattr(splits, "write_and_read", write)
+    parsed = splits.read_parsed(spark, [str(tmp_path)], 100)
+    explained(parsed, "parsed")
+    assert {"chunks", "json-cuts", "json-documents", "json-pieces", "csv-cuts", "parsed"} <= set(plans)
+    for label, found in plans.items():
+        for _, exchanges in found:
+            assert all(line.split("hashpartitioning(")[1].split(")")[0].count("#") > 1 for line in exchanges), (label, exchanges)
+    # Three files lie in many pieces, each with the number of records before it.
+    pieces = sorted((os.path.basename(r.file_path), r.first_position, r.n) for r in parsed.select("file_path", "first_position", F.size("records").alias("n")).collect())
+    for name in ("a.csv", "b.json", "c.json"):
+        own = [p for p in pieces if p[0] == name]
+        assert len(own) > 10 and sum(n for *_, n in own) >= 400
+
+
 def test_no_files(spark, tmp_path):
     assert splits.read_parsed(spark, [str(tmp_path / "gone")]).count() == 0
     assert plain_path(F.lit("file:///a/b/")) is not None
