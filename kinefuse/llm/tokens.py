@@ -4,9 +4,10 @@ A byte-level BPE tokenizer first cuts a text into words and never merges across
 white space, and in a run of white space before its last character, unless the text ends there; it cuts behind white
 space other than a space, and between a letter and punctuation that ends the word. Texts are encoded in these
 pieces, whatever their white space, and every distinct piece needs the tokenizer only once. Unknown pieces go
-through the tokenizer many at a time, a line break between each two. Texts with control characters, or with
-a special token of the vocabulary in them, are encoded as they stand. Each worker process keeps the ids of the
-pieces it has met lately, up to PIECES of them.
+through the tokenizer many at a time: those that start with a space just one after the other, as the ids show where
+each begins, and others with a line break between each two. Texts with control characters, or with a special token
+of the vocabulary in them, are encoded as they stand. Each worker process keeps the ids of the pieces it has met
+lately, up to PIECES of them.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ PIECES = 400_000
 #: Unknown pieces in one text for the tokenizer, and texts that it takes at once.
 JOINED, BATCH = 256, 16
 #: Texts are encoded in runs of about this many bytes, which bounds a task's memory.
-RUN_BYTES = 3_000_000
+RUN_BYTES = 6_000_000
 
 # White space as the tokenizer's pattern knows it, with and without the plain space.
 _OTHER_WHITE = r"\t\n\x0b\x0c\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -40,6 +41,8 @@ _UNEVEN = rf"[{_WHITE}][{_WHITE}]|[\t\x0b-\r\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}
 _WORD_END = r"([A-Za-zÀ-ÖØ-öø-ɏ])([.,!|$%&*#]+[\x00\n])"
 # Marks that no text in pieces holds: a cut, a text's end, a text encoded whole.
 _CUT, _END, _WHOLE = "\x00", "\x01", "\x02"
+# What byte-level vocabularies write for the byte of a space.
+_SPACE = "Ġ"
 _encoders: dict[str, "PieceEncoder"] = {}
 
 
@@ -65,6 +68,11 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = sorted(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
         (self.break_id,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose bytes start with a space
+        self.spaced[[number for token, number in vocabulary.items() if token.startswith(_SPACE)]] = True
+        # Pieces that start with a space need nothing between them, unless a special token could arise where they meet.
+        self.between = "\n" if any(" " in x for x in self.special) or not self.spaced.any() else ""
         self._forget()
 
     def _forget(self) -> None:
@@ -80,23 +88,30 @@ class PieceEncoder:
             ids += [np.array(x.ids, "<u4") for x in found]
         return ids
 
-    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces that do not end in white space, one after the other, and the number of ids of each. The line breaks between them are words of their own."""
-        groups = self.raw(["\n".join([*pieces[k : k + JOINED], ""]) for k in range(0, len(pieces), JOINED)])
-        ids = np.concatenate([np.empty(0, "<u4"), *groups])
-        breaks = ids == self.break_id
-        at = np.flatnonzero(breaks)
+    def _joined(self, pieces: list[str], mark: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that do not end in white space, one after the other, and the number of ids of each.
+
+        Line breaks between the pieces are words of their own. With no mark, each piece starts with a space, its
+        only one, so it starts where an id does that holds a space.
+        """
+        if not pieces:
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        ids = np.concatenate(self.raw([mark.join([*pieces[k : k + JOINED], ""]) for k in range(0, len(pieces), JOINED)]))
+        cuts = ids == self.break_id if mark else self.spaced[ids]
+        at = np.flatnonzero(cuts)
         if len(at) != len(pieces):
-            raise ValueError("the vocabulary does not keep line breaks apart")
-        return ids[~breaks], np.diff(at, prepend=-1) - 1
+            raise ValueError("the vocabulary does not keep line breaks and spaces apart")
+        return (ids[~cuts], np.diff(at, prepend=-1) - 1) if mark else (ids, np.diff(at, append=len(ids)))
 
     def _learn(self, pieces: list[str]) -> np.ndarray:
         """Numbers of distinct pieces that were not known."""
-        spaced = np.fromiter((p[-1].isspace() for p in pieces), bool, len(pieces))
-        order = np.argsort(spaced, kind="stable")
-        count = len(pieces) - int(spaced.sum())
-        self._add(*self._joined([pieces[k] for k in order[:count].tolist()]))
-        single = self.raw([pieces[k] for k in order[count:].tolist()])
+        # 0: starts with a space, 1: does not, 2: ends in white space
+        kinds = np.fromiter((2 if p[-1].isspace() else p[0] != " " for p in pieces), np.int8, len(pieces))
+        order = np.argsort(kinds, kind="stable")
+        led, plain, white = np.split(order, np.cumsum(np.bincount(kinds, minlength=3))[:2])
+        self._add(*self._joined([pieces[k] for k in led.tolist()], self.between))
+        self._add(*self._joined([pieces[k] for k in plain.tolist()], "\n"))
+        single = self.raw([pieces[k] for k in white.tolist()])
         self._add(np.concatenate([np.empty(0, "<u4"), *single]), np.fromiter(map(len, single), np.int64, len(single)))
         numbers = np.empty(len(pieces), np.int64)
         numbers[order] = np.arange(len(pieces)) + len(self.starts) - 1 - len(pieces)
@@ -136,7 +151,8 @@ class PieceEncoder:
         at = lists.offsets.to_numpy().astype(np.int64)
         at -= at[0]
         coded = lists.flatten().dictionary_encode()
-        index, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        index, names = coded.indices, coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        del lists, coded
         if len(self.known) > PIECES:
             self._remember(names)
         number = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
@@ -149,28 +165,30 @@ class PieceEncoder:
             ids = self.raw(kept)
             self._add(np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
             number[whole] = [first + int(names[k][1:]) for k in whole]
-        number = number[index]
-        begin = self.starts[number]
-        taken = self.starts[number + 1] - begin
-        stops = np.cumsum(taken)
-        small = np.int32 if max(len(self.pool), stops[-1]) < 2**31 else np.int64
-        out = np.repeat((begin - (stops - taken)).astype(small), taken)
-        out += np.arange(len(out), dtype=small)
-        ids = self.pool[out]
+        ids, stops = self._ids(number)
         if kept:
             # Whole texts are not pieces that come again.
             self.pool, self.starts = self.pool[: self.starts[first]], self.starts[: first + 1]
-        return ids, np.append((stops - taken)[at[:-1]], len(out))
+        # The ids of each distinct piece as one value of bytes: Arrow puts them in the order of the texts.
+        ends = np.append(0, stops * 4)
+        values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(names), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+        _, places, data = values.take(index).buffers()
+        places = np.frombuffer(places, np.int64, at[-1] + 1)[at] // 4
+        return np.frombuffer(data, "<u4", places[-1]), places
+
+    def _ids(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces of these numbers one after the other, and where each piece's ids end."""
+        begin = self.starts[number]
+        sizes = self.starts[number + 1] - begin
+        stops = np.cumsum(sizes)
+        return self.pool[np.repeat(begin - (stops - sizes), sizes) + np.arange(sizes.sum())], stops
 
     def _remember(self, names: list[str]) -> None:
         """Forgets all pieces but those that are needed now."""
         held = [n for n in names if self.known.get(n, 0) > 1]
-        number = np.array([self.known[n] for n in held], np.int64)
-        sizes = self.starts[number + 1] - self.starts[number]
-        stops = np.cumsum(sizes)
-        ids = self.pool[np.repeat(self.starts[number] - (stops - sizes), sizes) + np.arange(sizes.sum())]
+        ids, stops = self._ids(np.array([self.known[n] for n in held], np.int64))
         self._forget()
-        self._add(ids, sizes)
+        self._add(ids, np.diff(stops, prepend=0))
         self.known.update(zip(held, range(2, 2 + len(held)), strict=True))
 
 

@@ -40,6 +40,28 @@ def test_pieces_give_the_ids_of_whole_texts(monkeypatch, most):
     assert 50256 in wanted[-3] and encoder(default_tokenizer()) is encoder(default_tokenizer())
 
 
+def test_pieces_after_a_space_need_no_marks():
+    own = tokens.PieceEncoder(default_tokenizer())
+    handed, plainly = [], own.raw
+    own.raw = lambda texts: handed.extend(texts) or plainly(texts)
+    texts = ["one alpha beta's gamma1 ,x é", "one alpha delta beta's", " é alpha"] * 3
+    ids, begins = own.texts(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(begins[:-1], begins[1:], strict=True)] == plain(texts)
+    # Each distinct piece once; a line break only after the one that does not start with a space.
+    assert sum(map(len, handed)) == len("".join([" alpha", " beta's", " gamma1", " ,x", " é", " delta", "one", "\n"]))
+
+
+def test_a_special_token_with_a_space(tmp_path):
+    path = str(tmp_path / "special.json")
+    tokenizer = Tokenizer.from_file(default_tokenizer())
+    tokenizer.add_special_tokens(["<|a b|>"])
+    tokenizer.save(path)
+    texts = ["x <|a", "y b|>", "x <|a b|> y", "x <|a c b|>"]
+    ids, begins = tokens.PieceEncoder(path).texts(pa.array(texts))
+    want = [x.ids + [0] for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(begins[:-1], begins[1:], strict=True)] == want
+
+
 def test_packing_cuts_the_stream(spark, docs):
     for window in (16, 1024):
         pieces = packing.pack_documents(docs, window).collect()
